@@ -32,6 +32,16 @@ def group(text: Column, pat: Column, index) -> Column:
     return F.call_function("regexp_extract", text, pat, index if isinstance(index, Column) else F.lit(index))
 
 
+# A noncharacter, so no text holds it.
+MARK = "\uffff"
+
+
+def whole_line(raw: Column) -> Column:
+    """A stored pattern widened to the whole line. The lazy start finds the same
+    leftmost match, and one replace then reads all of its groups at once."""
+    return F.concat(F.lit(FLAGS + "^.*?(?:"), raw, F.lit(").*$"))
+
+
 def group_count(pat: Column) -> Column:
     """Number of capture groups written in a pattern."""
     return F.regexp_count(pat, F.lit(r"(?<!\\)(?:\\\\)*\((?!\?)"))

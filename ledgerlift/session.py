@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and the bench; a cluster brings its own."""
-    return (
+    spark = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("ledgerlift")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -22,6 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="ledgerlift-"))
         .getOrCreate()
     )
+    ship_package(spark)
+    return spark
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
@@ -37,3 +41,15 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.mkdtemp(prefix="ledgerlift-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ledgerlift_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    archive = shutil.make_archive(
+        str(Path(tempfile.mkdtemp(prefix="ledgerlift-")) / "ledgerlift"), "zip", package.parent, package.name)
+    sc.addPyFile(archive)
+    sc._ledgerlift_shipped = True
