@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import MapType, StringType
+from pyspark.sql.types import ArrayType, MapType, StringType
 
 from ..functions import fixed, fuzzy
 from ..functions.expr import MARK, bind, found, group, group_count, pattern, regex_escape, truthy, whole_line
@@ -251,25 +251,37 @@ def _haystack(line_no: int, pattern_text: str, lines) -> str | None:
     return " ".join(parts) if any(parts) else None
 
 
-@F.pandas_udf(MapType(StringType(), StringType()))
-def fuzzy_haystack(lines: pd.Series, extractors: pd.Series, last_item: pd.Series, found_fields: pd.Series) -> pd.Series:
-    """Values of the multi-line extractors of a document."""
-    out = []
-    for doc, configs, last, known in zip(lines, extractors, last_item, found_fields):
-        values = dict(known) if known is not None else {}
-        for e in configs if configs is not None else []:
-            spots = [e["line"]] + ([last + e["offset"]] if pd.notna(last) and pd.notna(e["offset"]) else [])
-            for spot in spots:
-                if e["field"] in values or not e["expected_present"] or not e["fuzzy"]:
-                    break
-                if pd.isna(spot) or not 0 <= spot < len(doc):
-                    continue
-                hits = (_haystack(int(spot), p, doc) for p in e["patterns"] if p)
-                value = next((h for h in hits if h is not None), None)
-                if value is not None:
-                    values[e["field"]] = value
-        out.append(values)
-    return pd.Series(out)
+def _fill(lines, extractors, last, known) -> dict:
+    values = dict(known) if known is not None else {}
+    for e in extractors if extractors is not None else []:
+        if not e["expected_present"] or not e["fuzzy"]:
+            continue
+        after_items = last + e["offset"] if pd.notna(last) and pd.notna(e["offset"]) else None
+        for spot in (e["line"], after_items):
+            if e["field"] in values or pd.isna(spot) or not 0 <= spot < len(lines):
+                continue
+            hits = (_haystack(int(spot), p, lines) for p in e["patterns"] if p)
+            value = next((h for h in hits if h is not None), None)
+            if value is not None:
+                values[e["field"]] = value
+    return values
+
+
+@F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
+def fill_fuzzy(lines: pd.Series, extractors: pd.Series, last: pd.Series, fields: pd.Series) -> pd.Series:
+    """Fields of each candidate with the values of its multi-line extractors added."""
+    return pd.Series([
+        None if configs is None else [_fill(doc, c, l, f) for c, l, f in zip(configs, ends, known)]
+        for doc, configs, ends, known in zip(lines, extractors, last, fields)])
+
+
+def fuzzy_haystack(documents: DataFrame, template: Column) -> DataFrame:
+    """Adds ``values``: the template's fields, multi-line ones included."""
+    done = extract(F.col("lines"), template, F.col("currency"))
+    out = documents.withColumn("extracted", done)
+    filled = fill_fuzzy("lines", F.array(extractor_list(template["field_extractors"])),
+                        F.array("extracted.last_item_line"), F.array("extracted.fields"))
+    return out.withColumn("values", F.get(filled, F.lit(0)))
 
 
 # --- whole-table operators ---------------------------------------------------

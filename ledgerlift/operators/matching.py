@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..functions import fixed, fuzzy
 from ..functions.expr import first_token
 from ..functions.text import document_head, strip
-from .extraction import correspondence, extract, extraction_score
+from .extraction import correspondence, extract, extraction_score, extractor_list
 
 DICTIONARY_BYTES = 32 * 1024 * 1024
 MATCH = StructType([StructField("merchant", StringType()), StructField("score", DoubleType())])
@@ -299,26 +299,27 @@ def identify_merchant(documents: DataFrame, templates: DataFrame, hint: str | No
     return documents.withColumn("hint", F.coalesce(given, matched, strip(F.get(F.col("lines"), F.lit(0))), F.lit("Unknown")))
 
 
-def best_template(documents: DataFrame, templates: DataFrame, **options) -> DataFrame:
+def best_template(documents: DataFrame, templates: DataFrame, fill: Callable[..., Column] | None = None, **options) -> DataFrame:
     """Template whose extraction fills most outputs; the first candidate wins ties.
 
     ``documents`` holds ``lines``, ``currency``, ``hint`` and ``head``. Candidates
     arrive as an array of at most five, so each document tries them and chooses
-    in its own row.
+    in its own row. ``fill`` adds the values of multi-line extractors.
     """
     tried = attach_candidates(documents, templates, parts=TEMPLATE_PARTS, **options).withColumn(
         "tried", F.transform("candidates", lambda c: F.struct(
             c["template_id"].alias("template_id"), c["cand_ord"].alias("cand_ord"),
             extract(F.col("lines"), c, F.col("currency")).alias("out"))))
-
-    def scored(t: Column) -> Column:
-        return extraction_score(t["out"]["fields"], t["out"]["cost_items"], F.col("currency"))
-
-    scores = tried.withColumn("scores", F.transform("tried", scored))
-    chosen = scores.withColumn("score", F.array_max("scores")).withColumn(
-        "best", F.get("tried", (F.array_position("scores", F.col("score")) - 1).cast("int")))
+    fields = F.transform("tried", lambda t: t["out"]["fields"])
+    if fill is not None:
+        fields = fill("lines", F.transform("candidates", lambda c: extractor_list(c["field_extractors"])),
+                      F.transform("tried", lambda t: t["out"]["last_item_line"]), fields)
+    tried = tried.withColumn("all_fields", fields)
+    scores = F.zip_with("tried", "all_fields", lambda t, f: extraction_score(f, t["out"]["cost_items"], F.col("currency")))
+    chosen = tried.withColumn("scores", scores).withColumn("score", F.array_max("scores")).withColumn(
+        "at", (F.array_position("scores", F.col("score")) - 1).cast("int"))
+    chosen = chosen.withColumn("best", F.get("tried", F.col("at"))).withColumn("fields", F.get("all_fields", F.col("at")))
     return chosen.select(
         *documents.columns, F.col("best.template_id").alias("template_id"), "tier",
-        F.col("best.cand_ord").alias("cand_ord"), "score", F.col("best.out.fields").alias("fields"),
-        F.col("best.out.cost_items").alias("cost_items"),
-        correspondence(F.col("best.out.fields"), F.col("best.out.n_extractors")).alias("correspondence"))
+        F.col("best.cand_ord").alias("cand_ord"), "score", "fields", F.col("best.out.cost_items").alias("cost_items"),
+        correspondence(F.col("fields"), F.col("best.out.n_extractors")).alias("correspondence"))
