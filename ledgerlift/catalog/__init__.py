@@ -1,0 +1,6 @@
+"""All named queries and their SQL."""
+
+from . import basics  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
