@@ -85,7 +85,11 @@ def admit_uploads(files: DataFrame) -> DataFrame:
 
 
 def encode_payload(files: DataFrame) -> DataFrame:
-    return files.withColumn("file", F.base64(F.encode("content", "UTF-8") if dict(files.dtypes)["content"] == "string" else F.col("content")))
+    """File contents as base64 without line breaks."""
+    content = F.col("content")
+    if dict(files.dtypes)["content"] == "string":
+        content = F.encode(content, "UTF-8")
+    return files.withColumn("file", F.translate(F.base64(content), "\r\n", ""))
 
 
 def generic_template(spark: SparkSession) -> DataFrame:
