@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from . import basics, documents  # noqa: F401
+from . import basics, documents, upkeep  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -15,6 +15,11 @@ def as_col(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def instant(value) -> Column:
+    """A time column as a point in time; files may hold times without a zone."""
+    return as_col(value).cast("timestamp")
+
+
 def pattern(value) -> Column:
     """A pattern, stored or literal, ready for Java's regex engine."""
     if isinstance(value, str):

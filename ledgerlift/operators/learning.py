@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType)
 
 from ..functions import fixed, fuzzy
-from ..functions.expr import bind, pattern, regex_escape, truthy
+from ..functions.expr import instant, pattern, regex_escape, truthy
 from ..functions.text import guess_merchant
 from ..schemas import CONFIG_EXTRACTOR
 from .extraction import derive_item_pattern, item_section
@@ -251,15 +251,14 @@ def derive_field_extractors(documents: DataFrame) -> DataFrame:
     library = F.create_map(*[part for f, patterns in fixed.FIELD_PATTERNS.items()
                              for part in (F.lit(f), F.array(*[F.lit(p) for p in patterns]))])
 
-    def build(x: Column, i: Column) -> Column:
-        pick = F.get(F.col("picks"), i)
+    def build(x: Column, pick: Column) -> Column:
         literal = F.concat(F.lit(".*("), regex_escape(x["value"]), F.lit(").*"))
         return F.struct(
             x["field"].alias("field"), F.when(pick >= 0, F.get(library[x["field"]], pick)).otherwise(literal).alias("pattern"),
             x["line"].alias("line"), F.coalesce(x["offset"], F.lit(0)).alias("offset_from_last_item"),
             x["score"].alias("score"), x["fuzzy"].alias("is_fuzzy_haystack"))
 
-    return picks.withColumn("derived", F.transform("located", build)).drop("located", "picks")
+    return picks.withColumn("derived", F.zip_with("located", "picks", build)).drop("located", "picks")
 
 
 def build_template_rows(derived: DataFrame, key: str, carry_item_start: bool = False) -> DataFrame:
@@ -334,7 +333,7 @@ def map_mean(values: Column) -> Column:
 
 def template_flags(templates: DataFrame, now: Column) -> DataFrame:
     """Five warning flags and their number."""
-    idle_days = F.floor((F.unix_seconds(now) - F.unix_seconds("last_used_at")) / 86400)
+    idle_days = F.floor((F.unix_seconds(now) - F.unix_seconds(instant("last_used_at"))) / 86400)
     usage = (F.coalesce(F.col("recent_usage.last_30_days"), F.lit(0)) < 3) | (
         F.coalesce(F.col("recent_usage.usage_percentage"), F.lit(0.0)) < 10)
     flagged = templates.withColumns({

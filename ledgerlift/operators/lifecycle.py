@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.expr import instant
 from ..functions.ledger import file_extension, format_minute
 from .receipts import owned_by
 
@@ -57,9 +58,9 @@ def with_metadata(metadata: Column, **entries: Column) -> Column:
 def job_duration(jobs: DataFrame) -> DataFrame:
     """Seconds between start and end; finished jobs without an end use their record times."""
     span = F.when(F.col("processing_started").isNotNull() & F.col("processing_completed").isNotNull(),
-                  F.unix_micros("processing_completed") - F.unix_micros("processing_started"))
+                  F.unix_micros(instant("processing_completed")) - F.unix_micros(instant("processing_started")))
     fallback = F.when(F.col("status").isin("completed", "confirmed", "failed") & F.col("processing_completed").isNull(),
-                      F.unix_micros("updated_at") - F.unix_micros("created_at"))
+                      F.unix_micros(instant("updated_at")) - F.unix_micros(instant("created_at")))
     return jobs.withColumn("duration_seconds", F.coalesce(span, fallback) / 1000000)
 
 
@@ -159,7 +160,7 @@ def once_per_job(requests: DataFrame, seconds: int = 3600, key: str = "job_id",
     job's requests into bursts, and only within a burst is the next start found
     step by step, over the burst's distinct seconds.
     """
-    firsts = requests.groupBy(key, F.unix_seconds(ts).alias("second")).agg(F.min(F.struct(ts, order)).alias("first"))
+    firsts = requests.groupBy(key, F.unix_seconds(instant(ts)).alias("second")).agg(F.min(F.struct(ts, order)).alias("first"))
     in_order = Window.partitionBy(key).orderBy("second")
     opens = F.coalesce((F.col("second") - F.lag("second").over(in_order) >= seconds).cast("int"), F.lit(1))
     bursts = firsts.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(in_order))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import fixed
+from ..functions.expr import instant
 from ..operators.learning import affine_fold
 from ..session import shared_dir
 
@@ -41,7 +42,7 @@ def stream_receipts(source: DataFrame, parse: Callable[[DataFrame], DataFrame],
 
 def dedup_corrections(source: DataFrame, key: str = "job_id", ts: str = "ts") -> DataFrame:
     """First correction of each job within an hour of watermark."""
-    return source.withWatermark(ts, "1 hour").dropDuplicatesWithinWatermark([key])
+    return source.withColumn(ts, instant(ts)).withWatermark(ts, "1 hour").dropDuplicatesWithinWatermark([key])
 
 
 def run_to_table(stream: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
@@ -77,7 +78,7 @@ def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 def stream_job_expiry(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Jobs with no confirmation or discard within four hours of their first event,
     emitted when the watermark passes that time."""
-    watched = events.select("job_id", "status", "ts").withWatermark("ts", delay)
+    watched = events.select("job_id", "status", instant("ts").alias("ts")).withWatermark("ts", delay)
     return watched.groupBy("job_id").applyInPandasWithState(
         _expire, "job_id string, status string, expired_at timestamp", "first long, closed boolean",
         "append", GroupStateTimeout.EventTimeTimeout)
