@@ -204,7 +204,7 @@ def pass_rows(t, which):
     else:
         docs = docs.withColumn("last", extracted_last(F.col("lines"), F.col("template"), F.col("currency.symbol")))
         values = ex.relative_fields(F.col("lines"), extractors, F.col("currency.symbol"), F.col("last"))
-    return docs.select("receipt_id", F.explode(values).alias("v")).select("receipt_id", "v.field", "v.value").where("value is not null")
+    return ex.unnest(docs, ["receipt_id"], values, ("n", "v")).select("receipt_id", "v.field", "v.value").where("value is not null")
 
 
 def islands(lines: Column, template: Column, symbol: Column) -> Column:
@@ -220,10 +220,11 @@ add("f14_extract_absolute_fields", lambda t: pass_rows(t, "absolute"), ("noisy_r
     f", {d_lines('noisy_receipts')}, {D_ABSOLUTE} SELECT receipt_id, field, value FROM absolute WHERE value IS NOT NULL")
 add("f15_extract_relative_fields", lambda t: pass_rows(t, "relative"), ("noisy_receipts",),
     f", {D_ITEMS}, {D_RELATIVE} SELECT receipt_id, field, value FROM relative WHERE value IS NOT NULL")
-add("w9_line_item_islands", lambda t: ex.with_lines(t.noisy_receipts).withColumn("template", template_column()).select(
-        "receipt_id", F.explode(islands(F.col("lines"), F.col("template"), F.col("currency.symbol"))).alias("r")).select("receipt_id", "r.*"),
+add("w9_line_item_islands", lambda t: ex.unnest(
+        ex.with_lines(t.noisy_receipts).withColumn("template", template_column()), ["receipt_id"],
+        islands(F.col("lines"), F.col("template"), F.col("currency.symbol")), ("n", "r")).select("receipt_id", "r.*"),
     ("noisy_receipts",), f", {D_ITEMS} SELECT receipt_id, pos, item, kind FROM islands")
-add("f17_extract_line_items", lambda t: extracted(t).select("receipt_id", F.posexplode("extracted.cost_items").alias("pos", "i")).select(
+add("f17_extract_line_items", lambda t: ex.unnest(extracted(t), ["receipt_id"], F.col("extracted.cost_items"), ("pos", "i")).select(
         "receipt_id", "pos", "i.*"), ("noisy_receipts",), f""", {D_ITEMS}, {D_BUILT}
     SELECT receipt_id, CAST(item - 1 AS INT) AS pos, item_name, quantity, total_price,
       CASE WHEN CAST(quantity AS BIGINT) > 0 THEN CAST({UNIT} // 100 AS VARCHAR) || '.' || lpad(CAST({UNIT} % 100 AS VARCHAR), 2, '0') END AS unit_price FROM built""")
@@ -288,7 +289,7 @@ add("w8_item_section_bounds", lambda t: sections(t).select("receipt_id", "sectio
     ("corrected_receipts",), f""", {D_SECTION} SELECT c.receipt_id, CAST(coalesce(min(start), -1) AS INT) AS start,
     CAST(coalesce(max(line_no), -1) AS INT) AS end, CAST(count(line_no) AS INT) AS n_items
     FROM corrected_receipts c LEFT JOIN located l ON l.receipt_id = c.receipt_id GROUP BY 1""")
-add("o3_order_items", lambda t: sections(t).select("receipt_id", F.posexplode("section.items").alias("n", "i")).select(
+add("o3_order_items", lambda t: ex.unnest(sections(t), ["receipt_id"], F.col("section.items"), ("n", "i")).select(
         "receipt_id", "n", F.col("i.line").alias("line_no"), "i.item.item_name"), ("corrected_receipts",), f""", {D_SECTION}
     SELECT receipt_id, CAST(n - 1 AS INT) AS n, line_no, item_name FROM located""")
 add("u1_word_overlap", lambda t: t.noisy_receipts.select("receipt_id", F.explode(tx.lines_of(F.col("ocr_text"))).alias("line")).withColumn(
@@ -299,7 +300,7 @@ add("u1_word_overlap", lambda t: t.noisy_receipts.select("receipt_id", F.explode
 add("u2_has_keys", lambda t: t.templates.select("template_id", F.explode("item_patterns").alias("p")).select("template_id", (F.size(F.array_except(
         F.array(F.lit("total_price"), F.lit("quantity")), F.map_keys("p.groups"))) == 0).alias("has_keys")), ("templates",), """
     SELECT template_id, list_has_all(map_keys(p.groups), ['total_price', 'quantity']) AS has_keys FROM (SELECT template_id, unnest(item_patterns) AS p FROM templates)""")
-add("u3_lines_outside_items", lambda t: sections(t).select("receipt_id", F.explode(ex.lines_outside_items(F.col("lines"), F.col("section"))).alias("x")).select(
+add("u3_lines_outside_items", lambda t: ex.unnest(sections(t), ["receipt_id"], ex.lines_outside_items(F.col("lines"), F.col("section")), ("n", "x")).select(
         "receipt_id", "x.pos", "x.line"), ("corrected_receipts",), f""", {D_SECTION},
     bounds AS (SELECT c.receipt_id, coalesce(min(start), -1) AS s, coalesce(max(line_no), -1) AS e FROM corrected_receipts c LEFT JOIN located l ON l.receipt_id = c.receipt_id GROUP BY 1)
     SELECT receipt_id, pos, line FROM lines JOIN bounds USING (receipt_id) WHERE pos < s OR pos > e""")
@@ -317,17 +318,17 @@ def d_reads(p, groups):
 D_COVERAGE = D_SECTION + ", scores AS (" + " UNION ALL ".join(
     f"SELECT receipt_id, {i} AS ord, CAST(sum({d_reads(p, g)}) AS INT) AS score, count(*) AS n FROM located GROUP BY receipt_id"
     for i, (p, g) in enumerate(fixed.ITEM_PATTERNS)) + ")"
-add("j17_item_lines_by_pattern", lambda t: sections(t).select("receipt_id", F.posexplode(ex.library_item_scores(F.col("section.items"))).alias("ord", "score")).where(
-        "receipt_id is not null"), ("corrected_receipts",), f""", {D_COVERAGE} SELECT receipt_id, ord, score FROM scores""")
+add("j17_item_lines_by_pattern", lambda t: ex.unnest(sections(t).where(F.size("section.items") > 0), ["receipt_id"],
+        ex.library_item_scores(F.col("section.items")), ("ord", "score")), ("corrected_receipts",), f""", {D_COVERAGE} SELECT receipt_id, ord, score FROM scores""")
 add("a12_pattern_coverage", lambda t: sections(t).withColumn("scores", ex.library_item_scores(F.col("section.items"))).where(
         F.size("section.items") > 0).select("receipt_id", (F.array_position("scores", F.array_max("scores")) - 1).cast("int").alias("best"),
         F.round(F.array_max("scores") / F.size("section.items"), 6).alias("coverage"),
         (F.array_max("scores") >= F.size("section.items") * 0.5).alias("accepted")), ("corrected_receipts",), f""", {D_COVERAGE}
     SELECT receipt_id, ord AS best, round(CAST(score AS DOUBLE) / n, 6) AS coverage, score >= n * 0.5 AS accepted FROM scores
     QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY score DESC, ord) = 1""")
-add("o4_pattern_order", lambda t: sections(t).where(F.size("section.items") > 0).select("receipt_id", F.posexplode(ex.library_item_scores(
-        F.col("section.items"))).alias("ord", "score")).groupBy("receipt_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.struct((-F.col("score")).alias("s"), "ord"))), lambda x: x["ord"].cast("string")), ",").alias("ranking")),
+add("o4_pattern_order", lambda t: sections(t).where(F.size("section.items") > 0).select("receipt_id", F.array_join(F.transform(F.array_sort(F.transform(
+        ex.library_item_scores(F.col("section.items")), lambda s, i: F.struct((-s).alias("s"), i.alias("ord")))),
+        lambda x: x["ord"].cast("string")), ",").alias("ranking")),
     ("corrected_receipts",), f""", {D_COVERAGE} SELECT receipt_id, string_agg(CAST(ord AS VARCHAR), ',' ORDER BY score DESC, ord) AS ranking FROM scores GROUP BY 1""")
 LITERAL = "'.*(' || {q} || ').*(' || {n} || ').*(' || {p} || ').*'".format(**{k: f"regexp_replace({c}, '([-.+*?^$|()\\[\\]{{}}\\\\&~# ])', '\\\\\\1', 'g')" for k, c in (
     ("q", "quantity"), ("n", "item_name"), ("p", "total_price"))})

@@ -212,11 +212,11 @@ def derived_docs(t):
 def located(t):
     docs = ex.with_lines(t.corrected_receipts).withColumn("section", ex.item_section(F.col("lines"), F.col("cost_items")))
     spots = learning.locate_fields("lines", F.array(*[F.col(f) for f in fixed.FIELDS]), F.col("section.start"), F.col("section.end"))
-    return docs.select("receipt_id", F.explode(spots).alias("x")).select("receipt_id", "x.field", "x.target", F.round("x.score", 6).alias("score"))
+    return ex.unnest(docs, ["receipt_id"], spots, ("n", "x")).select("receipt_id", "x.field", "x.target", F.round("x.score", 6).alias("score"))
 
 
 add("j18_corrected_value_lines", located)
-add("l1_derive_field_extractors", lambda t: derived_docs(t).select("receipt_id", F.explode("derived").alias("e")).select(
+add("l1_derive_field_extractors", lambda t: ex.unnest(derived_docs(t), ["receipt_id"], F.col("derived"), ("n", "e")).select(
         "receipt_id", "e.field", "e.pattern", "e.line", "e.offset_from_last_item"))
 add("l3_build_template_rows", lambda t: learning.build_template_rows(derived_docs(t), "receipt_id").select(
         "receipt_id", "merchant_name", F.size("field_extractors").alias("n_extractors"), F.size("item_patterns").alias("n_patterns"), "line_items_start_line", "success_rate"))

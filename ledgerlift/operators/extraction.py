@@ -18,12 +18,19 @@ from ..functions.text import (currency_aware, detect_currency, is_continuation,
 from ..schemas import ITEM
 
 
+def unnest(rows: DataFrame, keep: list, array: Column, names: tuple[str, str]) -> DataFrame:
+    """One row per element with its position. The outer form stops the optimizer from
+    computing the array once more for a filter on its size."""
+    out = rows.select(*keep, F.posexplode_outer(array).alias(*names))
+    return out.where(F.col(names[0]).isNotNull())
+
+
 ITEM_PARTS = ("item_name", "quantity", "total_price", "unit_price")
 
 
 def ocr_lines(documents: DataFrame, key: str, text: str = "ocr_text") -> DataFrame:
     """One row per line, positions from 0."""
-    return documents.select(key, F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    return unnest(documents, [key], lines_of(F.col(text)), ("pos", "line"))
 
 
 # --- fields -----------------------------------------------------------------

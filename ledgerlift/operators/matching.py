@@ -12,7 +12,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from ..functions import fixed, fuzzy
 from ..functions.expr import first_token
 from ..functions.text import document_head, strip
-from .extraction import correspondence, extract, extraction_score, extractor_list
+from .extraction import correspondence, extract, extraction_score, extractor_list, unnest
 
 DICTIONARY_BYTES = 32 * 1024 * 1024
 MATCH = StructType([StructField("merchant", StringType()), StructField("score", DoubleType())])
@@ -285,7 +285,7 @@ def attach_candidates(requests: DataFrame, templates: DataFrame, use_text: bool
 def template_candidates(requests: DataFrame, templates: DataFrame, key: str = "receipt_id", **options) -> DataFrame:
     """One row per request and candidate; see ``attach_candidates``."""
     attached = attach_candidates(requests.select(key, "hint", "head"), templates, **options)
-    return attached.select(key, "tier", F.explode("candidates").alias("c")).select(
+    return unnest(attached, [key, "tier"], F.col("candidates"), ("n", "c")).select(
         key, "tier", "c.cand_ord", "c.template_id")
 
 
