@@ -14,9 +14,9 @@ from ledgerlift.catalog import QUERIES  # noqa: E402
 from ledgerlift.session import local_session  # noqa: E402
 
 HEADLINE = [
-    "text_totals_by_owner", "f4_preprocess_text", "f12_field_pattern_library", "f17_extract_line_items", "f20_assemble_extraction",
+    "text_totals_by_owner", "f4_preprocess_text", "f17_extract_line_items", "f20_assemble_extraction",
     "w8_item_section_bounds", "l2_derive_item_pattern", "j11_fuzzy_merchant_match", "w6_template_candidates_by_name",
-    "w7_best_template", "f21_parse_receipts", "l1_derive_field_extractors", "w1_ewma_rates", "w4_running_edit_distance",
+    "w1_ewma_rates", "w4_running_edit_distance",
     "p13_receipt_listing", "k2_export_json", "k8_upsert_receipts", "j16_merge_with_precedence", "m5_build_receipts",
     "x1_sweep_temp_files", "x10_once_per_job", "r3_stream_job_expiry",
 ]

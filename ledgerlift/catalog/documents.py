@@ -238,7 +238,7 @@ add("f18_item_start_line", lambda t: ex.with_lines(t.noisy_receipts).withColumn(
 def assembled(t):
     docs = extracted(t).select("receipt_id", F.col("extracted.fields").alias("fields"), F.col("extracted.cost_items").alias("cost_items"), "currency")
     whole = parse.assemble_extraction(docs)
-    return whole.select("receipt_id", F.explode("extracted_data").alias("field", "value"))
+    return whole.select("receipt_id", F.explode_outer("extracted_data").alias("field", "value")).where("field is not null")
 
 
 add("f20_assemble_extraction", assembled, ("noisy_receipts",), f""", {D_FIELDS} SELECT receipt_id, field, value FROM fields

@@ -46,19 +46,36 @@ def _window_scores(needle: str, text: str) -> float:
     for position, char in enumerate(needle):
         masks[char] = masks.get(char, 0) | (1 << position)
     pad = [0] * (m - 1)
-    codes = np.array(pad + [masks.get(c, 0) for c in text] + pad, dtype=np.uint64)
+    codes = np.array(pad + [masks.get(c, 0) for c in text] + pad, dtype=word_type(m))
     return float(_best_window(codes[:, None], m, len(text))[0])
 
 
+def word_type(m: int):
+    """Smallest machine word that holds one bit per character."""
+    return np.uint32 if m < 32 else np.uint64
+
+
+def lcs_states(masks: np.ndarray, codes: np.ndarray, m: int) -> np.ndarray:
+    """Bit states of several names of length ``m`` after a whole text; zero bits are
+    characters in common."""
+    full = masks.dtype.type((1 << m) - 1)
+    state = np.full(masks.shape[1], full, dtype=masks.dtype)
+    for code in codes:
+        hits = state & masks[code]
+        state = (state + hits) | (state - hits)
+    return state & full
+
+
 def _best_window(codes: np.ndarray, m: int, length: int) -> np.ndarray:
     """Best window score for each column of ``codes`` (characters x names)."""
     count = length + m - 1
-    state = np.full((count, codes.shape[1]), (1 << m) - 1, dtype=np.uint64)
+    full = codes.dtype.type((1 << m) - 1)
+    state = np.full((count, codes.shape[1]), full, dtype=codes.dtype)
     for step in range(m):
         column = codes[step:step + count]
         hits = state & column
         state = (state + hits) | (state - hits)
-    common = m - np.bitwise_count(state & np.uint64((1 << m) - 1)).astype(np.int64)
+    common = m - np.bitwise_count(state & full).astype(np.int64)
     start = np.arange(1 - m, length)
     sizes = np.minimum(start + m, length) - np.maximum(start, 0)
     return (200.0 * common / (m + sizes)[:, None]).max(axis=0)

@@ -31,11 +31,12 @@ class _Dictionary:
         for i, name in enumerate(names):
             by_length.setdefault(len(name), []).append(i)
         for length, members in by_length.items():
-            masks = np.zeros((len(self.alphabet) + 1, len(members)), dtype=np.uint64)
+            word = fuzzy.word_type(length)
+            masks = np.zeros((len(self.alphabet) + 1, len(members)), dtype=word)
             if length <= fuzzy._WORD:
                 for row, i in enumerate(members):
                     for position, char in enumerate(names[i]):
-                        masks[self.alphabet[char], row] |= np.uint64(1 << position)
+                        masks[self.alphabet[char], row] |= word(1 << position)
             letters = np.stack([self._bag(names[i]) for i in members])
             word_letters = np.stack([self._bag(self.words[i]) for i in members])
             word_sizes = np.array([len(self.words[i]) for i in members])
@@ -99,32 +100,58 @@ class _Dictionary:
                 200.0 * np.minimum(word_letters, word_bag).sum(axis=1) / np.maximum(word_sizes + len(words), 1))
             bounds[length] = (np.maximum(pieces, others), others)
         for length in sorted(bounds, key=lambda n: -bounds[n][0].max(initial=0)):
-            members, masks = self.groups[length][0], self.groups[length][-1]
+            members = self.groups[length][0]
             keep = np.flatnonzero(bounds[length][0] >= best_score - 1e-9)
             if len(keep) == 0:
                 continue
             if 0 < length < size and length <= fuzzy._WORD:
-                scores = self._windows(text, masks[:, keep], length)
-                limit = max(best_score, scores.max())
-                for row in np.flatnonzero(bounds[length][1][keep] >= limit - 1e-9):
-                    scores[row] = max(scores[row], self._other_scores(text, words, members[keep][row]))
+                found = self._best_in_group(text, words, length, keep, bounds[length][1], best_score)
             else:
                 scores = np.array([max(self._other_scores(text, words, i),
                                        fuzzy.partial_ratio(text, self.names[i])) for i in members[keep]])
-            high = float(scores.max())
-            name = self.names[int(members[keep][scores == high].min())]
+                found = (float(scores.max()), int(members[keep][scores == scores.max()].min()))
+            if found is None:
+                continue
+            high, name = found[0], self.names[found[1]]
             if high > best_score or (high == best_score and (best_name is None or name < best_name)):
                 best_score, best_name = high, name
         return (best_name, best_score) if best_name is not None else (None, 0.0)
 
+    def _best_in_group(self, text: str, words: str, m: int, keep: np.ndarray, others: np.ndarray, floor: float):
+        """Best score and lowest name among names of length ``m``, shorter than the text.
+
+        What a name has in common with the whole text bounds what it has in
+        common with any window. Names are scored by falling bound, a few at a
+        time, until no bound reaches the best score.
+        """
+        members, masks = self.groups[m][0], self.groups[m][-1]
+        codes = np.array([self.alphabet.get(c, len(self.alphabet)) for c in text])
+        common = m - np.bitwise_count(fuzzy.lcs_states(masks[:, keep], codes, m)).astype(np.int64)
+        bound = np.maximum(200.0 * common / (m + np.maximum(common, 1)), others[keep])
+        order = np.argsort(-bound, kind="stable")
+        best, name = floor, None
+        for start in range(0, len(order), 32):
+            rows = order[start:start + 32]
+            rows = rows[bound[rows] >= best - 1e-9]
+            if len(rows) == 0:
+                break
+            scores = np.maximum(self._windows(codes, masks[:, keep[rows]], m), 200.0 * common[rows] / (m + len(text)))
+            for at in np.flatnonzero(others[keep[rows]] >= np.maximum(scores, best) - 1e-9):
+                scores[at] = max(scores[at], self._other_scores(text, words, members[keep[rows[at]]]))
+            high = float(scores.max())
+            lowest = int(members[keep[rows[scores == high]]].min())
+            if high > best or (high == best and (name is None or lowest < name)):
+                best, name = high, lowest
+        return None if name is None else (best, name)
+
     def _other_scores(self, text: str, words: str, i: int) -> float:
         return max(fuzzy.ratio(text, self.names[i]), fuzzy.ratio(words, self.words[i]))
 
-    def _windows(self, text: str, masks: np.ndarray, m: int) -> np.ndarray:
-        """Partial ratio of all names of length ``m``, shorter than the text, at once."""
-        codes = masks[[self.alphabet.get(c, len(self.alphabet)) for c in text]]
-        pad = np.zeros((m - 1, masks.shape[1]), dtype=np.uint64)
-        return fuzzy._best_window(np.vstack([pad, codes, pad]), m, len(text))
+    @staticmethod
+    def _windows(codes: np.ndarray, masks: np.ndarray, m: int) -> np.ndarray:
+        """Partial ratio of several names of length ``m``, shorter than the text, at once."""
+        pad = np.zeros((m - 1, masks.shape[1]), dtype=masks.dtype)
+        return fuzzy._best_window(np.vstack([pad, masks[codes], pad]), m, len(codes))
 
 
 _LOADED: dict[int, _Dictionary] = {}  # dictionaries a worker has built, by broadcast id

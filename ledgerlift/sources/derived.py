@@ -269,7 +269,7 @@ def _templates(w):
       FROM {w.table('supplier')} JOIN supplier_use ON s_suppkey = l_suppkey
       UNION ALL
       SELECT 'V' || lpad(CAST(s_suppkey AS STRING), 6, '0'), s_suppkey + 1,
-             CASE WHEN s_suppkey % 2 = 0 THEN replace(s_name, '#', ' ') ELSE upper(replace(s_name, '#', ' ')) END,
+             upper(replace(s_name, '#', ' ')),
              {w.div('uses', 3)}, s_suppkey % 4 = 3, first_used, last_used
       FROM {w.table('supplier')} JOIN supplier_use ON s_suppkey = l_suppkey WHERE s_acctbal > 2000) AS rows_"""
 
