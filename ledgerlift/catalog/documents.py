@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import fixed, fuzzy, text as tx
+from ..functions import fixed, text as tx
 from ..functions.expr import pattern
 from ..operators import extraction as ex, matching, receipts
 from ..plans import parse
 from ..sources.derived import TEMPLATE_EXTRACTORS, TEMPLATE_ITEM_PATTERN, quote
-from .registry import add, listed, now
+from .registry import add, now
 
 # --- DuckDB text pieces ---------------------------------------------------------------
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions.ledger import full_name, normalise_email
 from .receipts import first_per_key
@@ -63,11 +63,13 @@ def revoked_only(requests: DataFrame, tokens: DataFrame) -> DataFrame:
 
 
 def unique_insert(existing: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """Rows of a batch with ``accepted``: the key is new, and the row the batch's first with it."""
+    """Rows of a batch with ``accepted``: the key is new, and the row the batch's first with
+    it by ``order``, which is unique. First rows are found by a partial minimum, not by
+    sorting all rows of a key."""
     known = existing.select(key).distinct().withColumn("known", F.lit(True))
-    window = Window.partitionBy(key).orderBy(order)
-    first = F.row_number().over(window) == 1
-    return batch.join(known, key, "left").withColumn("accepted", first & F.col("known").isNull()).drop("known")
+    firsts = batch.groupBy(key).agg(F.min(order).alias(order)).withColumn("first", F.lit(True))
+    accepted = F.col("first").isNotNull() & F.col("known").isNull()
+    return batch.join(firsts, [key, order], "left").join(known, key, "left").withColumn("accepted", accepted).drop("known", "first")
 
 
 def fk_valid(rows: DataFrame, parents: DataFrame, key: str, parent_key: str) -> DataFrame:
