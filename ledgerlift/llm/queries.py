@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import packing
-from .store import documents
+from . import naming, packing, toxicity
+from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,3 +31,20 @@ def query(sql: str | None = None):
 @query()
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pieces_digest(packing.pack(documents(spark, sf_dir)))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.toxicity_model(docs, labels(spark, sf_dir), ~in_fold("doc_id", 3, 1))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", in_fold("doc_id", 3, 1).alias("held_out"), "score",
+                         F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query("""
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
+def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.exact_groups(documents(spark, sf_dir)).drop("row")
