@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import naming, packing, toxicity
+from . import mixing, naming, packing, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,33 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""")
 def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return naming.exact_groups(documents(spark, sf_dir)).drop("row")
+
+
+@query(r"""
+WITH sizes AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '')) AS key FROM documents),
+keyed AS (SELECT doc_id, source, size, CAST('0x' || substr(key, 1, 4) AS BIGINT) AS high, CAST('0x' || substr(key, 5, 4) AS BIGINT) AS low FROM sizes),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
+            FROM keyed GROUP BY source),
+sorted AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total,
+                  coalesce(sum(3 * source_size) OVER w, 0) AS spent, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS free_w,
+                  row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k
+           FROM sources WHERE source_size > 0
+           WINDOW w AS (ORDER BY 3.0 * source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+level AS (SELECT CAST(total - spent AS DOUBLE) / CAST(free_w AS DOUBLE) AS level FROM sorted
+          WHERE weight * (CAST(total - spent AS DOUBLE) / CAST(free_w AS DOUBLE)) <= cap ORDER BY k LIMIT 1),
+shares AS (SELECT source, source_size, CASE WHEN source_size > 0 THEN least(CAST(3 * source_size AS DOUBLE), CAST(weight AS DOUBLE) * level) ELSE 0.0 END AS target
+           FROM sources, level),
+plan AS (SELECT *, CAST(CASE WHEN source_size > 0 THEN least(floor(target / source_size), 3) ELSE 0 END AS BIGINT) AS whole FROM shares),
+rest AS (SELECT *, greatest(CAST(round(target - whole * source_size) AS BIGINT), 0) AS extra FROM plan),
+groups AS (SELECT source, high, low, CAST(sum(size) AS BIGINT) AS gsize,
+                  CAST(sum(sum(size)) OVER (PARTITION BY source ORDER BY high, low) AS BIGINT) AS upto FROM keyed GROUP BY source, high, low),
+cut AS (SELECT g.source, g.high, g.low, g.gsize, CASE WHEN upto <= extra THEN gsize ELSE greatest(extra - (upto - gsize), 0) END AS take
+        FROM groups g JOIN rest r ON g.source IS NOT DISTINCT FROM r.source)
+SELECT k.doc_id, k.size, r.source_size, r.target,
+       CAST(k.size * r.whole + CASE WHEN c.gsize > 0 THEN k.size * c.take // c.gsize ELSE 0 END AS BIGINT) AS taken
+FROM keyed k JOIN rest r ON k.source IS NOT DISTINCT FROM r.source
+JOIN cut c ON c.source IS NOT DISTINCT FROM k.source AND c.high = k.high AND c.low = k.low""")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
