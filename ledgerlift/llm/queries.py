@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ship_package
-from . import mixing, naming, packing, toxicity
+from . import jaccard, mixing, naming, packing, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,8 @@ FROM keyed k JOIN rest r ON k.source IS NOT DISTINCT FROM r.source
 JOIN cut c ON c.source IS NOT DISTINCT FROM k.source AND c.high = k.high AND c.low = k.low""")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op4_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
