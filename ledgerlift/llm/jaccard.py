@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from .links import components
-from .store import stored, text_of
+from .store import free_name, stored, text_of
 
 #: Ranges of the global order. Sizes of a set's parts bound the overlap of pairs; FRAGMENTS of them are counted apart.
 SLICES = 32
@@ -309,3 +309,17 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
     none = grouped.where("n = 0").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"),
                                          F.lit(None).cast("long").alias("cls"), F.lit(None).cast("long").alias("comp"))
     return some.unionByName(none)
+
+
+def drop_similar(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents with one row of each linked group, the one with the smallest id, all columns as they were.
+
+    Documents without words stay, each by itself. Of rows with the same id and group, the first stays.
+    """
+    row = free_name(docs, "row_")
+    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    at = F.struct(numbered[id_column].alias("id"), numbered[row].alias("row"))
+    keyed = numbered.select(at.alias("at"), numbered[text_column].alias("text"))
+    groups = stored(similar_groups(keyed, width, percent, "at", "text"), "members")
+    kept = groups.where(F.col("component_id") == F.col("doc_id")).select(F.col("doc_id.row").alias(row))
+    return numbered.join(kept, row, "left_semi").select(*[numbered[c] for c in docs.columns])

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
+
 from ..session import ship_package
 from . import jaccard, mixing, naming, packing, toxicity
 from .store import documents, in_fold, labels
@@ -83,3 +85,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .store import text_of
+from .store import free_name, text_of
 
 #: Characters at both ends of a word that are no part of its token.
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -213,7 +213,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 5
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", keep: list[str] | None = None,
-          with_passages: bool = False) -> DataFrame:
+          with_passages: bool = False, score_name: str = "score") -> DataFrame:
     """The columns ``keep`` of each document and its toxicity ``score`` between 0 and 1.
 
     With passages there is also ``passages``: the significant segments as (first word, last word, score), words
@@ -221,8 +221,8 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: list[s
     repeated ones included.
     """
     kept = list(keep if keep is not None else [c for c in docs.columns if c != text_column])
-    rows = docs.select(*[docs[c] for c in kept], text_of(docs, text_column).alias("__text"))
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField("score", T.DoubleType())]
+    rows = docs.select(*[docs[c] for c in kept], text_of(docs, text_column))
+    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(score_name, T.DoubleType())]
     passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])
     if with_passages:
         fields.append(T.StructField("passages", T.ArrayType(passage)))
@@ -248,3 +248,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, keep: Column | None = Non
                    id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic") -> Model:
     """Fit on at most ``most`` labelled rows that satisfy ``keep`` (a condition on the labels)."""
     return fit(train_rows(docs, labels, keep, most, id_column, text_column, label_column))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_column: str = "text", **options) -> DataFrame:
+    """The documents that score below the threshold, all columns and rows as they were otherwise."""
+    model = toxicity_model(docs, labels, text_column=text_column, **options)
+    name = free_name(docs, "toxicity_score")
+    scored = docs.select("*", docs[text_column].alias(free_name(docs, "scored_text")))
+    return (score(scored, model, scored.columns[-1], docs.columns, score_name=name).where(F.col(name) < threshold)
+            .select(*[F.col(c) for c in docs.columns]))
