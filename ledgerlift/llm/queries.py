@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import ship_package
-from . import jaccard, mixing, naming, packing, toxicity
+from . import jaccard, mixing, naming, packing, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,3 +90,25 @@ def op4_vertical_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@query(r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+words AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
+                 [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM docs),
+places AS (SELECT r, w, unnest(range(1, len(w) - 3)) AS pos FROM words WHERE len(w) >= 5),
+windows AS (SELECT r, pos, w[pos:pos + 4] AS win FROM places),
+twice AS (SELECT r, pos FROM windows QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+covered AS (SELECT r, count(DISTINCT pos + o) AS n FROM twice, (SELECT unnest(range(0, 5)) AS o) GROUP BY r),
+base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum([length(x) FOR x IN w]), 0) AS BIGINT) AS word_chars,
+                CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+                CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words
+         FROM words LEFT JOIN covered USING (r)),
+judged AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM base)
+SELECT *, NOT (base_failed OR 10 * n_symbols > n_words OR 20 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 25 * n_words) AS kept
+FROM judged""")
+def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    cascade = rules.order_rules(docs, rules.default_rules())
+    base = rules.with_base(docs).withColumn("base_failed", rules.base_failed())
+    return rules.apply_rules(base, cascade).drop("failed_rule")
