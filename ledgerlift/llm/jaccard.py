@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .links import components
 from .store import free_name, stored, text_of
+from .tokens import parted
 
 #: Ranges of the global order. Sizes of a set's parts bound the overlap of pairs; FRAGMENTS of them are counted apart.
 SLICES = 32
@@ -94,7 +95,7 @@ def frequent_shingles(texts: DataFrame, width: int) -> np.ndarray:
     array has at most MOST_FREQUENT entries, whatever the input.
     """
     def run(batches):
-        for batch in batches:
+        for batch in parted(batches):
             sets = shingle_sets(batch.column(0), width)
             held, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = n >= max(4, FREQUENT_SHARE * len(sets))
@@ -125,7 +126,7 @@ def _sets_table(texts: DataFrame, width: int, percent: int, frequent: np.ndarray
     by_hash, places = frequent[order], order
 
     def run(batches):
-        for batch in batches:
+        for batch in parted(batches):
             sets = shingle_sets(batch.column(1), width)
             first = [_prefix(s, by_hash, places, percent) if len(s) else s for s in sets]
             parts = [np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=SLICES) for s in sets]
@@ -189,7 +190,7 @@ def _set_parts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     mask = mask.view(np.uint64)
 
     def run(batches):
-        for batch in batches:
+        for batch in parted(batches):
             cls, fragment, part = [], [], []
             for held in shingle_sets(batch.column(0), width):
                 if not len(held):
