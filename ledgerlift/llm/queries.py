@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import ship_package
-from . import jaccard, mixing, naming, packing, rules, toxicity
+from . import ensemble, jaccard, mixing, naming, packing, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,11 @@ def op8_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     cascade = rules.order_rules(docs, rules.default_rules())
     base = rules.with_base(docs).withColumn("base_failed", rules.base_failed())
     return rules.apply_rules(base, cascade).drop("failed_rule")
+
+
+@query()
+def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = ensemble.fit(docs, labels(spark, sf_dir), ~in_fold("doc_id", 4, 2))
+    return ensemble.score(docs, model, ["doc_id"]).select(
+        "doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))

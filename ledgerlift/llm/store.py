@@ -54,3 +54,16 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def word_count(text: Column) -> Column:
     """Number of words, on the JVM: places where a word begins."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def label_sample(labels: DataFrame, keep: Column | None, most: int, id_column: str, label_column: str) -> DataFrame:
+    """(_id, label) of at most ``most`` labels that satisfy ``keep``: those of smallest id hash, the same in each run.
+
+    The bound makes it safe to send to all tasks. Labels other than 0 and 1 and null ids are left out; of several
+    labels of an id the largest counts.
+    """
+    if keep is not None:
+        labels = labels.where(keep)
+    return (labels.where(labels[label_column].isin(0, 1) & labels[id_column].isNotNull())
+            .groupBy(labels[id_column].alias("_id")).agg(F.max(label_column).cast("int").alias("label"))
+            .orderBy(F.xxhash64("_id"), "_id").limit(most))

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .store import free_name, text_of
+from .store import free_name, label_sample, text_of
 
 #: Characters at both ends of a word that are no part of its token.
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
@@ -134,11 +134,7 @@ def train_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, most: in
     The sample takes the labels of smallest id hash, so it is the same in each run; its bound makes it safe to send
     to all tasks. Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
     """
-    if keep is not None:
-        labels = labels.where(keep)
-    sample = (labels.where(labels[label_column].isin(0, 1) & labels[id_column].isNotNull())
-              .groupBy(labels[id_column].alias("_id")).agg(F.max(label_column).cast("int").alias("label"))
-              .orderBy(F.xxhash64("_id"), "_id").limit(most))
+    sample = label_sample(labels, keep, most, id_column, label_column)
     rows = (docs.select(docs[id_column].alias("_id"), text_of(docs, text_column).alias("text"))
             .join(F.broadcast(sample), "_id"))
     return rows.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
