@@ -72,8 +72,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int =
     key = F.md5(F.concat(F.lit(f"{seed}:"), id_bytes(docs[id_column]), F.lit(":"), id_bytes(docs[source_column])))
     sizes = stored(docs.select(row.alias("row"), docs[id_column].alias("doc_id"), docs[source_column].alias("source"),
                                size.alias("size"), key.alias("key"))
-                   .select("row", "doc_id", "source", "size", F.conv(F.substring("key", 1, 4), 16, 10).cast("int").alias("high"),
-                           F.conv(F.substring("key", 5, 4), 16, 10).cast("int").alias("low")), "sizes")
+                   .select("row", "doc_id", "source", "size", F.conv(F.substring("key", 1, 3), 16, 10).cast("int").alias("high"),
+                           F.conv(F.substring("key", 4, 3), 16, 10).cast("int").alias("low")), "sizes")
     shares = stored(water_fill(source_weights(sizes, weights), max_epochs), "shares")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.least(F.floor(rate), F.lit(max_epochs))

@@ -56,7 +56,7 @@ def op3_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH sizes AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
          md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(source, '')) AS key FROM documents),
-keyed AS (SELECT doc_id, source, size, CAST('0x' || substr(key, 1, 4) AS BIGINT) AS high, CAST('0x' || substr(key, 5, 4) AS BIGINT) AS low FROM sizes),
+keyed AS (SELECT doc_id, source, size, CAST('0x' || substr(key, 1, 3) AS BIGINT) AS high, CAST('0x' || substr(key, 4, 3) AS BIGINT) AS low FROM sizes),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight
             FROM keyed GROUP BY source),
 sorted AS (SELECT *, 3 * source_size AS cap, sum(source_size) OVER () AS total,
