@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import ship_package
-from . import ensemble, jaccard, mixing, naming, packing, rules, toxicity
+from . import counting, ensemble, jaccard, mixing, naming, packing, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,3 +120,8 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = ensemble.fit(docs, labels(spark, sf_dir), ~in_fold("doc_id", 4, 2))
     return ensemble.score(docs, model, ["doc_id"]).select(
         "doc_id", in_fold("doc_id", 4, 2).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@query()
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counting.token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 1024)
