@@ -7,7 +7,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .links import components
 from .store import free_name, stored, text_of
@@ -241,6 +241,15 @@ def _may_link(x: str, y: str, percent: int):
             & ((100 + percent) * upper.cast("long") >= percent * total))
 
 
+def _after_prefix(n: str, percent: int) -> Column:
+    """How many shingles of a set stand behind its prefix.
+
+    Of two sets, take the one whose prefix ends first in the global order. Shingles that both hold up to there are in
+    both prefixes, that is in lists of both; behind it there are at most so many.
+    """
+    return F.expr(f"({percent} * {n} + 99) div 100 - 1")
+
+
 def _with_slices(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Add n and slices of both sets to pairs (a, b)."""
     for side in ("a", "b"):
@@ -293,7 +302,10 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
                             & ((F.col("comp_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b"))) & _may_link("a", "b", percent))
                      .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"),
                              F.when(F.col("cls_a") < F.col("cls_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
-                             F.when(F.col("cls_a") < F.col("cls_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b")).distinct())
+                             F.when(F.col("cls_a") < F.col("cls_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
+                     .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("lists"))
+                     .where((100 + percent) * (F.col("lists") + F.greatest(_after_prefix("n_a", percent), _after_prefix("n_b", percent)))
+                            >= percent * (F.col("n_a") + F.col("n_b"))))
         pairs = stored(pairs.select("a", "b", "n_a", "n_b"), "pairs")
         if pairs.isEmpty():
             if turn == star_rounds:
