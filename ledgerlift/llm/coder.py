@@ -14,7 +14,8 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Ids of a block at most; the model numbers the distinct ids of a block, so its tables have this many places.
+#: Ids of a block at most; the model numbers the distinct ids of a block, so its tables have this many places. A
+#: number and its three bits of sureness fit into 16 bits up to 8191.
 BLOCK = 4096
 #: Blocks that are coded side by side at most.
 LANES = 2048
@@ -24,6 +25,7 @@ _HEAD = struct.Struct("<4sIIII")  # magic, ids, crc32 of the ids, largest upper
 _TOP, _BOT = np.uint64(1 << 32), np.uint64(1 << 16)
 _MASK = np.uint64((1 << 48) - 1)
 _LOW = np.uint64(0xFFFF)
+EVENTS = np.uint64(65536)
 _16, _32 = np.uint64(16), np.uint64(32)
 
 
@@ -74,14 +76,16 @@ class _Model:
     def __init__(self, lanes: int):
         n = BLOCK + 1
         self.lane = np.arange(lanes, dtype=np.int64)
-        self.levels = [np.zeros((lanes, 17), np.int32), np.zeros((lanes, 272), np.int32), np.zeros((lanes, 4352), np.int32)]
-        self.next1, self.sure1 = np.zeros(lanes * n, np.int32), np.zeros(lanes * n, np.int32)
-        self.next2, self.sure2 = np.zeros(lanes * BLOCK, np.int32), np.zeros(lanes * BLOCK, np.int32)
+        self.levels = [np.zeros((lanes, n), np.uint16) for n in (32, 272, 4352)]
+        self.groups = [x.reshape(lanes, -1, 16) for x in self.levels]
+        self.flat = self.levels[2].reshape(-1)
+        # the number that followed times 8, plus how sure it is
+        self.after1, self.after2 = np.zeros(lanes * n, np.uint16), np.zeros(lanes * BLOCK, np.uint16)
         self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.seen = np.zeros(lanes, np.int64)
         self.fresh = np.full(lanes * 2, 2048 << 4, np.int32)
         self.was_new = np.zeros(lanes, np.int64)
-        self.two, self.one = _Mixer(lanes), _Mixer(lanes)
+        self.two, self.one = _Mixer(lanes), np.full(lanes * 128, 2048 << 4, np.int32)
         self.sizes = np.array([int(x).bit_length() for x in range(BLOCK + 2)], np.int32)
 
     def events(self, k: int, t: int) -> None:
@@ -89,18 +93,18 @@ class _Model:
         lane, p1 = self.lane[:k], self.prev1[:k]
         self.at1 = lane * (BLOCK + 1) + p1
         self.at2 = lane * BLOCK + ((p1 * 2654435761 + self.prev2[:k] * 40503) >> 7 & (BLOCK - 1))
-        n1, c1, n2, c2 = self.next1[self.at1], self.sure1[self.at1], self.next2[self.at2], self.sure2[self.at2]
+        a1, a2 = self.after1[self.at1].astype(np.int32), self.after2[self.at2].astype(np.int32)
+        n1, c1, n2, c2 = a1 >> 3, a1 & 7, a2 >> 3, a2 & 7
         self.n1, self.n2, self.c1, self.c2 = n1, n2, c1, c2
-        flat = self.levels[2].ravel()
-        r2 = self.sizes[flat[lane * 4352 + n2]]
-        r1 = self.sizes[flat[lane * 4352 + n1]]
+        r2 = self.sizes[self.flat[lane * 4352 + n2]]
         same = n1 == n2
         self.ask2 = n2 > 0
         q2 = self.two.predict(k, (c2 * 8 + c1, c1 * 2 + same, r2))
         q2 = np.where(self.ask2, q2, 0)
         self.ask1 = (n1 > 0) & ~same
-        q1 = self.one.predict(k, (c1 * 8 + c2, c1 + 8 * self.ask2, r1))
-        q1 = np.where(self.ask1, q1, 0)
+        self.at_one = lane * 128 + (c1 * 8 + c2) * 2 + self.ask2
+        self.own_one = self.one[self.at_one]
+        q1 = np.where(self.ask1, np.maximum(self.own_one >> 4, 1), 0)
         self.at_new = lane * 2 + self.was_new[:k]
         qn = self.fresh[self.at_new] >> 4
         f2 = q2 * 15
@@ -114,21 +118,18 @@ class _Model:
 
     def counts(self, on: np.ndarray, level: int, group: np.ndarray) -> np.ndarray:
         """Counts of the 16 members of a group in the chosen blocks."""
-        return self.levels[level][on[:, None], group[:, None] * 16 + np.arange(16)]
+        return self.groups[level][on, group].astype(np.int32)
 
     def learn(self, k: int, number: np.ndarray, new: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
         lane = self.lane[:k]
         self.two.learn(k, hit2, self.ask2)
-        self.one.learn(k, hit1, self.ask1 & ~hit2)
+        self.one[self.at_one] = np.where(self.ask1 & ~hit2, self.own_one + ((hit1.astype(np.int32) * 65535 - self.own_one) >> 4), self.own_one)
         asked = ~(hit2 | hit1)
         p = self.fresh[self.at_new]
         self.fresh[self.at_new] = np.where(asked & (self.seen[:k] > 0), p + ((new.astype(np.int32) * 65535 - p) >> 5), p)
         self.was_new[:k] = new
-        for at, guess, sure, nexts, sures in ((self.at1, self.n1, self.c1, self.next1, self.sure1), (self.at2, self.n2, self.c2, self.next2, self.sure2)):
-            right = guess == number
-            swap = ~right & (sure < 2)
-            nexts[at] = np.where(swap, number, guess)
-            sures[at] = np.where(right, np.minimum(sure + 1, 7), np.where(swap, 0, sure >> 1))
+        for at, guess, sure, table in ((self.at1, self.n1, self.c1, self.after1), (self.at2, self.n2, self.c2, self.after2)):
+            table[at] = np.where(guess == number, guess * 8 + np.minimum(sure + 1, 7), np.where(sure < 2, number * 8, guess * 8 + (sure >> 1)))
         self.levels[0][lane, number >> 8] += 1
         self.levels[1][lane, number >> 4] += 1
         self.levels[2][lane, number] += 1
@@ -146,23 +147,22 @@ class _Encoder:
         """Narrow the intervals of the given blocks, and write out what is settled, 16 bits at a time."""
         if not len(on):
             return
-        low, r = self.low[on], self.range[on] // np.asarray(total, np.uint64)
+        low, r = self.low[on], self.range[on]
+        r = r >> _16 if total is EVENTS else r // total
         low = low + below.astype(np.uint64) * r
         r = r * size.astype(np.uint64)
-        live = np.arange(len(on))
-        while True:
+        live = np.flatnonzero(((low ^ (low + r)) < _TOP) | (r < _BOT))
+        while len(live):
             a, b = low[live], r[live]
-            settled = (a ^ (a + b)) < _TOP
-            tight = ~settled & (b < _BOT)
-            r[live[tight]] = (~a[tight] + np.uint64(1)) & _LOW
-            live = live[settled | tight]
-            if not len(live):
-                break
+            tight = live[((a ^ (a + b)) >= _TOP)]
+            if len(tight):
+                r[tight] = (~low[tight] + np.uint64(1)) & _LOW
             lane = on[live]
             self.out[lane, self.at[lane]] = (low[live] >> _32).astype(np.uint16)
             self.at[lane] += 1
-            low[live] = (low[live] << _16) & _MASK
-            r[live] <<= _16
+            low[live] = a = (a << _16) & _MASK
+            r[live] = b = r[live] << _16
+            live = live[((a ^ (a + b)) < _TOP) | (b < _BOT)]
         self.low[on], self.range[on] = low, r
 
     def finish(self, lanes: int) -> None:
@@ -180,27 +180,25 @@ class _Decoder:
         self.code = (w[:, 0] << _32) | (w[:, 1] << _16) | w[:, 2]
 
     def target(self, on: np.ndarray, total) -> np.ndarray:
-        total = np.broadcast_to(np.asarray(total, np.uint64), on.shape)
-        self.r = self.range[on] // total
+        r = self.range[on]
+        self.r = r >> _16 if total is EVENTS else r // total
         return np.minimum((self.code[on] - self.low[on]) // self.r, total - np.uint64(1)).astype(np.int64)
 
     def take(self, on: np.ndarray, below: np.ndarray, size: np.ndarray) -> None:
         low, code = self.low[on] + below.astype(np.uint64) * self.r, self.code[on]
         r = self.r * size.astype(np.uint64)
-        live = np.arange(len(on))
-        while True:
+        live = np.flatnonzero(((low ^ (low + r)) < _TOP) | (r < _BOT))
+        while len(live):
             a, b = low[live], r[live]
-            settled = (a ^ (a + b)) < _TOP
-            tight = ~settled & (b < _BOT)
-            r[live[tight]] = (~a[tight] + np.uint64(1)) & _LOW
-            live = live[settled | tight]
-            if not len(live):
-                break
+            tight = live[((a ^ (a + b)) >= _TOP)]
+            if len(tight):
+                r[tight] = (~low[tight] + np.uint64(1)) & _LOW
             lane = on[live]
             code[live] = ((code[live] << _16) & _MASK) | self.words[lane, self.at[lane]].astype(np.uint64)
             self.at[lane] += 1
-            low[live] = (low[live] << _16) & _MASK
-            r[live] <<= _16
+            low[live] = a = (a << _16) & _MASK
+            r[live] = b = r[live] << _16
+            live = live[((a ^ (a + b)) < _TOP) | (b < _BOT)]
         self.low[on], self.range[on], self.code[on] = low, r, code
 
 
@@ -245,7 +243,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         both = model.f2 + model.f1
         below = np.where(hit2, 0, np.where(hit1, model.f2, np.where(new, both + model.f0, both)))
         size = np.where(hit2, model.f2, np.where(hit1, model.f1, np.where(new, model.fn, model.f0)))
-        coder.put(model.lane[:k], below, size, np.uint64(65536))
+        coder.put(model.lane[:k], below, size, EVENTS)
         on = np.flatnonzero(~(new | hit2 | hit1))
         if len(on):
             group = np.zeros(len(on), np.int64)
@@ -261,7 +259,7 @@ def _encode(blocks: list[np.ndarray]) -> list[bytes]:
         if len(on):
             big = on[upper[on] > 0]
             coder.put(big, now[big] >> 16, np.ones(len(big), np.int64), (upper[big] + 1).astype(np.uint64))
-            coder.put(on, now[on] & 0xFFFF, np.ones(len(on), np.int64), np.uint64(65536))
+            coder.put(on, now[on] & 0xFFFF, np.ones(len(on), np.int64), EVENTS)
         model.learn(k, number, new, hit2, hit1)
     coder.finish(lanes)
     out: list[bytes] = [b""] * lanes
@@ -297,7 +295,7 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
         k = int(np.searchsorted(-n, -t, side="left"))
         model.events(k, t)
         both = model.f2 + model.f1
-        x = coder.target(model.lane[:k], np.uint64(65536))
+        x = coder.target(model.lane[:k], EVENTS)
         hit2, new = x < model.f2, x >= both + model.f0
         hit1 = ~hit2 & (x < both)
         below = np.where(hit2, 0, np.where(hit1, model.f2, np.where(new, both + model.f0, both)))
@@ -325,7 +323,7 @@ def _decode(coded: list[bytes]) -> list[np.ndarray]:
                 x = coder.target(big, (upper[big] + 1).astype(np.uint64))
                 coder.take(big, x, np.ones(len(big), np.int64))
                 fresh[big] = x << 16
-            x = coder.target(on, np.uint64(65536))
+            x = coder.target(on, EVENTS)
             coder.take(on, x, np.ones(len(on), np.int64))
             fresh[on] |= x
             names[on, number[on]] = fresh[on]

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from ..session import ship_package
-from . import counting, ensemble, jaccard, mixing, naming, packing, rules, toxicity
+from ..session import shared_dir, ship_package
+from . import binary, counting, ensemble, jaccard, mixing, naming, packing, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +125,10 @@ def op5_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counting.token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+@query()
+def op2_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "llm-ids")
+    binary.write_ids(documents(spark, sf_dir), path)
+    return binary.ids_digest(binary.read_ids(spark, path))
