@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import shared_dir, ship_package
-from . import binary, counting, ensemble, jaccard, mixing, naming, packing, rules, toxicity
+from . import binary, counting, ensemble, jaccard, mixing, naming, packing, repeats, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,9 @@ def op2_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "llm-ids")
     binary.write_ids(documents(spark, sf_dir), path)
     return binary.ids_digest(binary.read_ids(spark, path))
+
+
+@query()
+def op7_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
