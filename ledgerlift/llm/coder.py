@@ -194,7 +194,8 @@ class _Decoder:
             if len(tight):
                 r[tight] = (~low[tight] + np.uint64(1)) & _LOW
             lane = on[live]
-            code[live] = ((code[live] << _16) & _MASK) | self.words[lane, self.at[lane]].astype(np.uint64)
+            at = np.minimum(self.at[lane], self.words.shape[1] - 1)  # past the end only in a broken block
+            code[live] = ((code[live] << _16) & _MASK) | self.words[lane, at].astype(np.uint64)
             self.at[lane] += 1
             low[live] = a = (a << _16) & _MASK
             r[live] = b = r[live] << _16
@@ -273,7 +274,11 @@ def decode_blocks(coded: list[bytes]) -> list[np.ndarray]:
     """The ids of each coded block; a block that doesn't match its checksum raises ValueError."""
     out: list[np.ndarray] = []
     for i in range(0, len(coded), LANES):
-        out += _decode(coded[i:i + LANES])
+        try:
+            with np.errstate(all="ignore"):
+                out += _decode(coded[i:i + LANES])
+        except IndexError as error:  # a number that the block hasn't given out yet
+            raise ValueError("a block doesn't match its checksum") from error
     return out
 
 

@@ -117,6 +117,6 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     row = free_name(docs, "row_")
     numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()), "unmixed")
-    copies = mix(numbered, row=numbered[row], **options).where("copies > 0").select(F.col("row").alias(row), F.col("copies").alias("__copies"))
-    repeated = numbered.join(copies, row).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-    return repeated.select(*[F.col(c) for c in docs.columns])
+    copies = (mix(numbered, row=numbered[row], **options).where("copies > 0")
+              .select(F.col("row").alias(row), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias(free_name(numbered, "copy_"))))
+    return numbered.join(copies, row).select(*[numbered[c] for c in docs.columns])
