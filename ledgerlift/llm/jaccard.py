@@ -211,13 +211,11 @@ def _set_parts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     return parts.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "fragment"])
 
 
-def linked_pairs(texts: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, overlap) of the pairs (a, b, n_a, n_b) of sets that link.
+def linked_pairs(parts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """(a, b, overlap) of the pairs (a, b, n_a, n_b) of sets that link, from the parts of their sets.
 
     Each fragment of the order counts its own overlap of a pair; the sums decide.
     """
-    wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "wanted")
-    parts = stored(_set_parts(texts, width, wanted), "parts")
     met = (pairs.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
            .join(parts.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
            .select("a", "b", "n_a", "n_b", "part_a", "part_b"))
@@ -257,63 +255,101 @@ def _with_slices(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     return pairs
 
 
+def _open_lists(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The lists that still hold several groups, with the group of each set as ``comp``."""
+    if groups is None:
+        return shared.withColumn("comp", F.col("cls"))
+    rows = shared.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    mixed = stored(rows.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("shingle"), "mixed")
+    return stored(rows.join(mixed, "shingle"), "open")
+
+
+def _pairs_left(lists: DataFrame) -> tuple[int, int]:
+    """How many pairs of sets in different groups the lists hold, a pair once for each of its lists; and their rows."""
+    sizes = lists.groupBy("shingle", "comp").agg(F.count("*").cast("double").alias("n"))
+    lists = sizes.groupBy("shingle").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("inside"))
+    row = lists.agg(F.sum((F.col("n") * F.col("n") - F.col("inside")) / 2).alias("pairs"), F.sum("n").alias("rows")).first()
+    return int(row["pairs"] or 0), int(row["rows"] or 0)
+
+
+def _with_heads(lists: DataFrame, turn: int, most: int) -> DataFrame:
+    """(a, b): every set with up to ``most`` heads of its lists in other groups, those first that head most of them."""
+    order = F.struct(F.xxhash64("cls", "shingle" if turn else F.lit(0)).alias("at"), "cls", "comp")
+    heads = stored(lists.groupBy("shingle").agg(F.min(order).alias("head")), "heads")
+    met = (lists.join(heads, "shingle").where(F.col("comp") != F.col("head.comp"))
+           .groupBy("cls", F.col("head.cls").alias("head")).agg(F.count("*").alias("times")))
+    ranked = F.sort_array(F.collect_list(F.struct("times", F.xxhash64("head", F.lit(turn)).alias("at"), "head")), asc=False)
+    chosen = met.groupBy("cls").agg(F.slice(ranked, 1, most).alias("best")).select("cls", F.explode("best.head").alias("head"))
+    return chosen.select(F.least("cls", "head").alias("a"), F.greatest("cls", "head").alias("b")).distinct()
+
+
+def _all_pairs(lists: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b): all pairs of the lists in different groups that may link, by their sizes and shared lists."""
+    count = lists.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
+    main = stored(count.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("main")).select("shingle", F.col("main.comp").alias("main")), "main")
+    rows = stored(lists.join(main, "shingle").join(classes.drop("n"), "cls"), "cross")
+    # the largest group of each list isn't paired with itself
+    x = rows.where("comp != main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "slices")])
+    y = rows.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "n", "slices")])
+    n_a, n_b, first = F.col("n_a"), F.col("n_b"), F.col("cls_a") < F.col("cls_b")
+    return (x.join(y, (x.shingle == y.shingle) & (F.col("comp_a") != F.col("comp_b"))
+                   & ((F.col("comp_b") == F.col("main")) | first) & _may_link("a", "b", percent))
+            .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"),
+                    F.when(first, n_a).otherwise(n_b).alias("n_a"), F.when(first, n_b).otherwise(n_a).alias("n_b"))
+            .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("lists"))
+            .where((100 + percent) * (F.col("lists") + F.greatest(_after_prefix("n_a", percent), _after_prefix("n_b", percent)))
+                   >= percent * (n_a + n_b)).select("a", "b", "n_a", "n_b"))
+
+
 def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column: str = "doc_id", text_column: str = "text",
-                   star_rounds: int = 2) -> DataFrame:
+                   heads: int = 6) -> DataFrame:
     """(doc_id, n_shingles, component_id, cls) of each document; documents are linked if 100 * overlap >= percent * union.
 
     Documents of equal sets are one class. Two linked sets share a shingle among the first ones of the global order
     (all but percent of the set, and one). Instead of all pairs of such a list, first every class is compared with one
-    leader, the class that heads most of its lists; classes that link form groups. A few rounds with other leaders
-    follow, then all pairs of a list that are still in different groups. No pair that could join two groups is left
-    out, and pairs inside a group can't change the result. component_id is the smallest id that links reach, a null
-    id the smallest of all only if no other is reached. Documents without words are alone: each is its own component,
-    or the null of its id. Repeated rows are documents of one class. Other columns are left out.
+    head, the class that heads most of its lists; classes that link form groups. Further rounds compare the classes of
+    lists with several groups with up to ``heads`` other heads, while that leaves clearly fewer pairs and more than
+    there are rows. Then come all pairs of a list that are still in different groups. No pair that could join two
+    groups is left out, and pairs inside a group can't change the result. component_id is the smallest id that links
+    reach, a null id only if no other is reached. Documents without words are alone: each is its own component, or
+    the null of its id. Repeated rows are documents of one class. Other columns are left out.
     """
     texts = _texts(docs, id_column, text_column)
     sets = stored(_sets_table(texts, width, percent, frequent_shingles(texts, width)), "sets")
     shared = stored(_shared_postings(sets), "shared")
     classes = stored(sets.where("n > 0").join(shared.select("cls").distinct(), "cls", "left_semi")
                      .groupBy("cls").agg(F.first("n").alias("n"), F.first("slices").alias("slices")), "classes")
-    links, groups = None, None
-    for turn in range(star_rounds + 1):
-        open_lists = shared if groups is None else shared.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-        if groups is not None:
-            mixed = open_lists.groupBy("shingle").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
-            open_lists = stored(open_lists.join(stored(mixed.select("shingle"), "mixed"), "shingle"), "open")
-        else:
-            open_lists = open_lists.withColumn("comp", F.col("cls"))
-        if turn < star_rounds:
-            order = F.struct(F.xxhash64("cls", F.lit(turn)).alias("at"), "cls", "comp")
-            heads = stored(open_lists.groupBy("shingle").agg(F.min(order).alias("head")), "heads")
-            met = (open_lists.join(heads, "shingle").where((F.col("comp") != F.col("head.comp")))
-                   .groupBy("cls", F.col("head.cls").alias("head")).agg(F.count("*").alias("times")))
-            chosen = met.groupBy("cls").agg(F.max(F.struct("times", "head")).alias("best"))
-            pairs = chosen.select(F.least("cls", "best.head").alias("a"), F.greatest("cls", "best.head").alias("b")).distinct()
-            pairs = _with_slices(pairs, classes).where(_may_link("a", "b", percent))
+    links, groups, parts = None, None, None
+    turn, before, last = 0, None, False
+    while not last:
+        lists = _open_lists(shared, groups)
+        if turn:
+            left, rows = _pairs_left(lists)
+            if not left:
+                break
+            last = left <= rows or (before is not None and left > 0.7 * before)
+            before = left
+        if last:
+            pairs = _all_pairs(lists, classes, percent)
         else:
-            # the largest group of each list isn't paired with itself
-            count = open_lists.groupBy("shingle", "comp").agg(F.count("*").alias("size"))
-            main = stored(count.groupBy("shingle").agg(F.max(F.struct("size", "comp")).alias("main")).select("shingle", F.col("main.comp").alias("main")), "main")
-            rows = open_lists.join(main, "shingle")
-            rows = stored(rows.join(classes.drop("n"), "cls"), "cross")
-            x = rows.where("comp != main").select("shingle", *[F.col(c).alias(f"{c}_a") for c in ("cls", "comp", "n", "slices")])
-            y = rows.select("shingle", "main", *[F.col(c).alias(f"{c}_b") for c in ("cls", "comp", "n", "slices")])
-            pairs = (x.join(y, (x.shingle == y.shingle) & (F.col("comp_a") != F.col("comp_b"))
-                            & ((F.col("comp_b") == F.col("main")) | (F.col("cls_a") < F.col("cls_b"))) & _may_link("a", "b", percent))
-                     .select(F.least("cls_a", "cls_b").alias("a"), F.greatest("cls_a", "cls_b").alias("b"),
-                             F.when(F.col("cls_a") < F.col("cls_b"), F.col("n_a")).otherwise(F.col("n_b")).alias("n_a"),
-                             F.when(F.col("cls_a") < F.col("cls_b"), F.col("n_b")).otherwise(F.col("n_a")).alias("n_b"))
-                     .groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("lists"))
-                     .where((100 + percent) * (F.col("lists") + F.greatest(_after_prefix("n_a", percent), _after_prefix("n_b", percent)))
-                            >= percent * (F.col("n_a") + F.col("n_b"))))
+            pairs = _with_slices(_with_heads(lists, turn, heads if turn else 1), classes).where(_may_link("a", "b", percent))
         pairs = stored(pairs.select("a", "b", "n_a", "n_b"), "pairs")
-        if pairs.isEmpty():
-            if turn == star_rounds:
-                break
-            continue
-        found = stored(linked_pairs(texts, pairs, width, percent).select("a", "b"), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = stored(components(links).select(F.col("node").alias("cls"), "comp"), "groups")
+        if turn == 0:
+            wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
+            known = stored(_set_parts(texts, width, stored(wanted, "wanted")), "parts")
+        elif parts is None:
+            # from now on, all pairs come from these lists
+            more = stored(lists.select("cls").distinct().join(known.select("cls").distinct(), "cls", "left_anti"), "wanted")
+            parts = known.join(lists.select("cls").distinct(), "cls", "left_semi")
+            if not more.isEmpty():
+                parts = stored(parts.unionByName(_set_parts(texts, width, more)), "parts")
+        turn += 1
+        if not pairs.isEmpty():
+            found = stored(linked_pairs(known if parts is None else parts, pairs, percent).select("a", "b"), "links")
+            links = found if links is None else links.unionByName(found)
+            groups = stored(components(links).select(F.col("node").alias("cls"), "comp"), "groups")
+        elif groups is None:
+            groups = stored(classes.select("cls", F.col("cls").alias("comp")).limit(0), "groups")
     if groups is None:
         groups = classes.select("cls", F.col("cls").alias("comp")).limit(0)
     grouped = stored(sets.select("doc_id", "n", "cls").join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "grouped")
