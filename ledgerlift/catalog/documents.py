@@ -229,7 +229,7 @@ add("f17_extract_line_items", lambda t: ex.unnest(extracted(t), ["receipt_id"],
     SELECT receipt_id, CAST(item - 1 AS INT) AS pos, item_name, quantity, total_price,
       CASE WHEN CAST(quantity AS BIGINT) > 0 THEN CAST({UNIT} // 100 AS VARCHAR) || '.' || lpad(CAST({UNIT} % 100 AS VARCHAR), 2, '0') END AS unit_price FROM built""")
 add("f18_item_start_line", lambda t: ex.with_lines(t.noisy_receipts).withColumn("template", template_column(None)).withColumn(
-        "m", ex.item_matches(F.col("lines"), ex.compiled_items(F.col("template.item_patterns"), F.col("currency.symbol")))).select(
+        "m", ex.item_matches(F.col("lines"), ex.compiled_items(F.slice("template.item_patterns", 1, 1), F.col("currency.symbol")))).select(
         "receipt_id", ex.item_start_line(F.col("template.line_items_start_line"), ex.extractor_list(F.col("template.field_extractors")), F.col("m")).alias("start")),
     ("noisy_receipts",), f""", {d_lines('noisy_receipts')} SELECT receipt_id, min(pos) AS start FROM lines
     WHERE regexp_matches(line, {quote(P1)}) OR regexp_matches(line, {quote(P0)}) GROUP BY 1""")

@@ -74,7 +74,7 @@ def iexact(a: Column, b: Column) -> Column:
 
 def first_token(hint: Column) -> Column:
     """First word of a hint, or '' for an empty one."""
-    return F.coalesce(F.get(F.split(F.trim(hint), r"\s+"), F.lit(0)), F.lit(""))
+    return F.coalesce(F.regexp_extract(hint, r"\S+", 0), F.lit(""))
 
 
 def icontains_first_token(name: Column, hint: Column) -> Column:

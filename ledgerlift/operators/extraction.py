@@ -7,6 +7,8 @@ and no document's lines ever meet another's.
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, MapType, StringType
@@ -138,7 +140,8 @@ def item_matches(lines: Column, compiled: Column) -> Column:
 
 
 def item_start_line(stored: Column, extractors: Column, matches: Column) -> Column:
-    """Stored start, else the start extractor's line, else the first matching line."""
+    """Stored start, else the start extractor's line, else the first line that ``matches``, those of
+    the template's first item pattern and its currency form."""
     marked = F.filter(extractors, lambda e: (e["field"] == "line_items_start") & e["line"].isNotNull())
     positions = F.filter(F.transform(matches, lambda m, i: F.when(m.isNotNull(), i)), lambda i: i.isNotNull())
     return F.coalesce(stored, F.get(F.transform(marked, lambda e: e["line"]), F.lit(0)),
@@ -214,7 +217,8 @@ def extract(lines: Column, template: Column, currency: Column) -> Column:
     def with_patterns(extractors: Column) -> Column:
         def with_matches(matches: Column) -> Column:
             has_items = F.coalesce(template["has_line_items"], F.lit(True)) & (F.size(template["item_patterns"]) > 0)
-            start = F.when(has_items, item_start_line(template["line_items_start_line"], extractors, matches))
+            first = item_matches(lines, compiled_items(F.slice(template["item_patterns"], 1, 1), currency["symbol"]))
+            start = F.when(has_items, item_start_line(template["line_items_start_line"], extractors, first))
 
             def with_rows(rows: Column) -> Column:
                 last = last_item_line(rows)
@@ -275,13 +279,18 @@ def _fill(lines, extractors, last, known) -> dict:
 
 
 @F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
-def fill_fuzzy(lines: pd.Series, extractors: pd.Series, last: pd.Series, fields: pd.Series) -> pd.Series:
-    """Fields of each candidate with the values of its multi-line extractors added."""
+def _filled(lines: pd.Series, extractors: pd.Series, last: pd.Series, fields: pd.Series) -> pd.Series:
     return pd.Series([
-        None if configs is None else [_fill(doc, c, l, f) for c, l, f in zip(configs, ends, known)]
+        None if configs is None else [_fill(doc, c, l, f) for c, l, f in zip(json.loads(configs), ends, known)]
         for doc, configs, ends, known in zip(lines, extractors, last, fields)])
 
 
+def fill_fuzzy(lines, extractors, last, fields) -> Column:
+    """Fields of each candidate with the values of its multi-line extractors added. The extractors of all candidates,
+    lists of different lengths, travel as JSON."""
+    return _filled(lines, F.to_json(extractors, {"ignoreNullFields": "false"}), last, fields)
+
+
 def fuzzy_haystack(documents: DataFrame, template: Column) -> DataFrame:
     """Adds ``values``: the template's fields, multi-line ones included."""
     done = extract(F.col("lines"), template, F.col("currency"))
@@ -359,7 +368,7 @@ def library_item_scores(items: Column) -> Column:
             name = group(line, java, groups["item_name"])
             good = found(line, java) & (F.contains(name, wanted["item_name"]) | F.contains(wanted["item_name"], name))
             good = good & (group(line, java, groups["total_price"]) == wanted["total_price"])
-            return good & (group(line, java, groups["quantity"]) == wanted["quantity"])
+            return good & (wanted["quantity"].isNull() | (group(line, java, groups["quantity"]) == wanted["quantity"]))
 
         return test
 
@@ -383,8 +392,9 @@ def derive_item_pattern(items: Column) -> Column:
         line, item = first["content"], first["item"]
         blocks = F.regexp_count(line, F.lit(r"[A-Za-z]{2,}(?:\s+[A-Za-z]+)*"))
         numbers = F.regexp_count(line, F.lit(r"(?U)\d+(?:\.\d+)?"))
-        implicit = (item["quantity"] == "1") & ~line.rlike(r"(?U)\b1\b")
-        literal = F.concat(F.lit(".*("), regex_escape(item["quantity"]), F.lit(").*("),
+        quantity = F.coalesce(item["quantity"], F.lit("1"))
+        implicit = (quantity == "1") & ~line.rlike(r"(?U)\b1\b")
+        literal = F.concat(F.lit(".*("), regex_escape(quantity), F.lit(").*("),
                            regex_escape(item["item_name"]), F.lit(").*("), regex_escape(item["total_price"]), F.lit(").*"))
         three = _group_map({"quantity": 1, "item_name": 2, "total_price": 3})
         shaped = (

@@ -15,40 +15,47 @@ from .extraction import derive_item_pattern, item_section
 # --- ordered folds ------------------------------------------------------------
 
 
-def affine_fold(events: DataFrame, keys: list[str], factor: Column, term: Column, ts: str, order: str,
-                bucket: str = "day") -> DataFrame:
+#: Sizes of time that ordered folds go through.
+BUCKETS = ("minute", "hour", "day")
+
+
+def affine_fold(events: DataFrame, keys: list[str], factor: Column, term: Column | dict[str, Column], ts: str, order: str,
+                bucket: str | tuple[str, ...] = BUCKETS) -> DataFrame:
     """Fold ``r -> factor * r + term`` over each key's events in time order.
 
-    Returns one row per key with ``scale``, ``shift`` and ``n``: the fold of a
-    start value r is ``scale * r + shift``. Steps compose, so each time bucket is
-    folded on its own and the buckets after that. A key with a third of all
-    events is spread over its buckets; only one row per bucket meets at the key.
+    Returns one row per key with ``scale``, ``shift`` (or one column per named term) and ``n``: the fold of a start
+    value r is ``scale * r + shift``. Steps compose, so each bucket of time is folded on its own, then the buckets
+    within the next larger one, and the largest last. A key with a third of all events is spread over its smallest
+    buckets; only one row per bucket meets at the next.
     """
-    steps = events.select(*keys, ts, order, factor.alias("a"), term.alias("b"),
-                          F.date_trunc(bucket, F.col(ts)).alias("bucket"))
-    within = Window.partitionBy(*keys, "bucket").orderBy(F.desc(ts), F.desc(order)).rowsBetween(
-        Window.unboundedPreceding, -1)
-    weighed = steps.withColumn("later", F.coalesce(F.product("a").over(within), F.lit(1.0)))
-    chunks = weighed.groupBy(*keys, "bucket").agg(
-        F.product("a").alias("a"), F.sum(F.col("b") * F.col("later")).alias("b"), F.count("*").alias("n"))
-    across = Window.partitionBy(*keys).orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    return chunks.withColumn("later", F.coalesce(F.product("a").over(across), F.lit(1.0))).groupBy(*keys).agg(
-        F.product("a").alias("scale"), F.sum(F.col("b") * F.col("later")).alias("shift"), F.sum("n").alias("n"))
-
-
-def ewma(events: DataFrame, keys: list[str], value: Column, ts: str, order: str, bucket: str = "day") -> DataFrame:
+    terms = term if isinstance(term, dict) else {"shift": term}
+    rows = events.select(*keys, F.col(ts).alias("_at"), F.col(order).alias("_no"), factor.alias("scale"),
+                         *[t.alias(name) for name, t in terms.items()], F.lit(1).cast("long").alias("n"))
+    for level in (*((bucket,) if isinstance(bucket, str) else bucket), None):
+        group = keys if level is None else [*keys, "_bucket"]
+        if level is not None:
+            rows = rows.withColumn("_bucket", F.date_trunc(level, "_at"))
+        within = Window.partitionBy(*group).orderBy(F.desc("_at"), F.desc("_no")).rowsBetween(Window.unboundedPreceding, -1)
+        weighed = rows.withColumn("_later", F.coalesce(F.product("scale").over(within), F.lit(1.0)))
+        rows = weighed.groupBy(*group).agg(
+            F.product("scale").alias("scale"), *[F.sum(F.col(name) * F.col("_later")).alias(name) for name in terms], F.sum("n").alias("n"))
+        if level is not None:
+            rows = rows.withColumnRenamed("_bucket", "_at").withColumn("_no", F.lit(0))
+    return rows
+
+
+def ewma(events: DataFrame, keys: list[str], value: Column | dict[str, Column], ts: str, order: str,
+         bucket: str | tuple[str, ...] = BUCKETS) -> DataFrame:
     """Moving average that keeps 70 % and takes 30 % of each new value."""
-    return affine_fold(events, keys, F.lit(fixed.KEEP), value * fixed.NEW, ts, order, bucket)
+    term = {name: v * fixed.NEW for name, v in value.items()} if isinstance(value, dict) else value * fixed.NEW
+    return affine_fold(events, keys, F.lit(fixed.KEEP), term, ts, order, bucket)
 
 
 def ewma_rates(counts: DataFrame, templates: DataFrame) -> DataFrame:
     """Success and override rate of each template after its corrections (``correction_counts``)."""
     usable = counts.where(F.col("total") > 0)
-    success = ewma(usable, ["template_id"], F.col("pct_correct"), "ts", "correction_id").select(
-        "template_id", F.col("scale"), F.col("shift").alias("success_shift"), "n")
-    override = ewma(usable, ["template_id"], F.col("pct_overridden"), "ts", "correction_id").select(
-        "template_id", F.col("shift").alias("override_shift"))
-    return templates.join(success, "template_id").join(override, "template_id").select(
+    folded = ewma(usable, ["template_id"], {"success_shift": F.col("pct_correct"), "override_shift": F.col("pct_overridden")}, "ts", "correction_id")
+    return templates.join(folded, "template_id").select(
         "template_id", "n",
         (F.col("success_rate") * F.col("scale") + F.col("success_shift")).alias("success_rate"),
         (F.col("override_rate") * F.col("scale") + F.col("override_shift")).alias("override_rate"))
@@ -74,15 +81,17 @@ def confirm_success_rate(templates: DataFrame, confirms: DataFrame) -> DataFrame
     return templates.join(counts, "template_id").select("template_id", "n", rate.alias("success_rate"))
 
 
-def running_edit_distance(compared: DataFrame, bucket: str = "day") -> DataFrame:
+def running_edit_distance(compared: DataFrame, bucket: str | tuple[str, ...] = BUCKETS, starts: DataFrame | None = None) -> DataFrame:
     """Running edit distance per template and field. ``usage_count`` at the time of a
-    correction weighs it: up to 1 it replaces the average, else avg (c-1)/c + d/c."""
+    correction weighs it: up to 1 it replaces the average, else avg (c-1)/c + d/c.
+    ``starts`` (template_id, field, start) gives stored averages; others start at 0."""
     c = F.col("usage_count").cast("double")
     fresh = F.col("usage_count") <= 1
     d = F.col("distance").cast("double")
     folded = affine_fold(compared, ["template_id", "field"], F.when(fresh, 0.0).otherwise((c - 1) / c),
                          F.when(fresh, d).otherwise(d / c), "ts", "correction_id", bucket)
-    return folded.select("template_id", "field", "n", F.col("shift").alias("edit_distance"))
+    stored = folded.withColumn("start", F.lit(0.0)) if starts is None else folded.join(starts, ["template_id", "field"], "left")
+    return stored.select("template_id", "field", "n", (F.col("scale") * F.coalesce("start", F.lit(0.0)) + F.col("shift")).alias("edit_distance"))
 
 
 # --- comparing extracted with corrected values ----------------------------------

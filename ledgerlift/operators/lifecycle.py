@@ -130,10 +130,17 @@ def archive_manifest(jobs: DataFrame, files: DataFrame, now: Column) -> DataFram
         F.when(missing, F.concat(F.lit("File not found for job "), "job_id")).alias("error"))
 
 
+def _asked_jobs(requests: DataFrame, jobs: DataFrame) -> DataFrame:
+    """Requests with their job's status and metadata, whether it is ``known`` and whether the requester owns it."""
+    state = jobs.select("job_id", "status", "metadata", F.col("user_id").alias("owner"), F.lit(True).alias("known"))
+    joined = requests.join(state, "job_id", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return joined.withColumn("allowed", F.coalesce(F.col("owner") == F.col("requester"), F.lit(False))).drop("owner")
+
+
 def confirm_jobs(requests: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Outcome of each confirmation: only completed jobs, only by their owner."""
-    joined = owned_by(requests, jobs, "job_id", "user_id").join(jobs.select("job_id", "status", "metadata"), "job_id", "left")
-    outcome = (F.when(F.col("status").isNull(), "not_found").when(F.col("status") != "completed", "not_completed")
+    joined = _asked_jobs(requests, jobs)
+    outcome = (F.when(~F.col("known"), "not_found").when(~F.col("status").eqNullSafe("completed"), "not_completed")
                .when(~F.col("allowed"), "forbidden").otherwise("confirmed"))
     stamped = with_metadata(F.col("metadata"), confirmed_at=F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))
     return joined.withColumn("outcome", outcome).withColumn(
@@ -143,11 +150,11 @@ def confirm_jobs(requests: DataFrame, jobs: DataFrame, now: Column) -> DataFrame
 
 def discard_jobs(requests: DataFrame, jobs: DataFrame, now: Column) -> DataFrame:
     """Outcome of each discard, by the owner only; the file goes unless the job was confirmed."""
-    joined = owned_by(requests, jobs, "job_id", "user_id").join(jobs.select("job_id", "status", "metadata"), "job_id", "left")
-    outcome = F.when(F.col("status").isNull(), "not_found").when(~F.col("allowed"), "forbidden").otherwise("discarded")
+    joined = _asked_jobs(requests, jobs)
+    outcome = F.when(~F.col("known"), "not_found").when(~F.col("allowed"), "forbidden").otherwise("discarded")
     gone = F.col("outcome") == "discarded"
     stamped = with_metadata(F.col("metadata"), discarded_at=F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss"))
-    return joined.withColumn("outcome", outcome).withColumn("drop_file", gone & (F.col("status") != "confirmed")).withColumn(
+    return joined.withColumn("outcome", outcome).withColumn("drop_file", gone & ~F.col("status").eqNullSafe("confirmed")).withColumn(
         "new_status", F.when(gone, "discarded").otherwise(F.col("status"))).withColumn(
         "metadata", F.when(gone, stamped).otherwise(F.col("metadata")))
 
@@ -183,7 +190,8 @@ def sweep_temp_files(jobs: DataFrame, files: DataFrame, now: Column, fallback_da
     open_jobs = jobs.where(~F.coalesce(F.col("status").isin(*CLOSED), F.lit(False)))
     joined = files.select("job_id", "path", "modified_at").join(
         open_jobs.select("job_id", "status", "metadata", F.lit(True).alias("open")), "job_id", "left")
-    stamp = F.try_to_timestamp(F.col("metadata")["temp_expiration"], F.lit("yyyy-MM-dd'T'HH:mm:ss"))
+    written = F.col("metadata")["temp_expiration"]
+    stamp = F.when(written.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d"), written.try_cast("timestamp"))  # with fraction and offset, too
     old = F.col("modified_at") < now - F.expr(f"INTERVAL {int(fallback_days)} DAYS")
     expired = F.when(stamp.isNotNull(), now > stamp).otherwise(old)
     rows = joined.withColumn("action", F.when(F.col("open").isNull(), "orphaned").when(expired, "expired").otherwise("active"))

@@ -78,7 +78,7 @@ class _Dictionary:
                 hits.extend(int(i) for i in members if text in self.names[i])
         return min(hits, default=None)
 
-    def best(self, text: str) -> tuple[str | None, float]:
+    def best(self, text: str, threshold: float = fixed.MERCHANT_THRESHOLD) -> tuple[str | None, float]:
         """Name with the highest of the three scores, if it reaches the threshold. A name
         is scored only if the letters it shares with the text could lift it to the best
         so far, which never skips a winner."""
@@ -87,7 +87,7 @@ class _Dictionary:
         top = self.perfect(text)
         if top is not None:
             return self.names[top], 100.0
-        best_score, best_name = float(fixed.MERCHANT_THRESHOLD), None
+        best_score, best_name = float(threshold), None
         size, words = len(text), " ".join(sorted(text.split()))
         bag, word_bag = self._bag(text), self._bag(words)
         bounds = {}
@@ -157,7 +157,7 @@ class _Dictionary:
 _LOADED: dict[int, _Dictionary] = {}  # dictionaries a worker has built, by broadcast id
 
 
-def _scorer(spark, number: int, names: list[str]):
+def _scorer(spark, names: list[str], threshold: float):
     shared = spark.sparkContext.broadcast(names)
     name_id = shared._jbroadcast.id()
 
@@ -168,7 +168,7 @@ def _scorer(spark, number: int, names: list[str]):
             _LOADED[name_id] = _Dictionary(shared.value)
         dictionary = _LOADED[name_id]
         for batch in batches:
-            yield pd.DataFrame([dictionary.best(text) for text in batch], columns=["merchant", "score"])
+            yield pd.DataFrame([dictionary.best(text, threshold) for text in batch], columns=["merchant", "score"])
 
     return score
 
@@ -191,7 +191,7 @@ def merchant_scorer(merchants: DataFrame, threshold: float = fixed.MERCHANT_THRE
     scorers = []
     for number in range(slices):
         rows = names.where(F.pmod(F.xxhash64("merchant_name"), F.lit(slices)) == number).collect()
-        scorers.append(_scorer(spark, number, sorted(r["merchant_name"] for r in rows)))
+        scorers.append(_scorer(spark, sorted(r["merchant_name"] for r in rows), threshold))
 
     def best(head: Column) -> Column:
         hits = F.array(*[F.when(s["merchant"].isNotNull(), F.struct((-s["score"]).alias("loss"), s["merchant"].alias("merchant")))

@@ -132,17 +132,20 @@ def new_receipts(candidates: DataFrame, existing: DataFrame, key: str = "job_id"
     return candidates.join(existing.select(key), key, "left_anti")
 
 
-def upsert_receipts(old: DataFrame, changes: DataFrame, key: str, owner: str) -> DataFrame:
+def upsert_receipts(old: DataFrame, changes: DataFrame, key: str, owner: str, order: str | None = None) -> DataFrame:
     """Table after creates, partial updates and deletes (``op``) by the rows' owner.
 
-    An update leaves columns it does not give; a change to another owner's row does nothing.
+    An update leaves columns it does not give; a change to another owner's row does nothing, and only a create adds
+    a row. Of several changes of one key the last by ``order`` counts, by operation and values where none is given.
     """
     columns = [c for c in old.columns if c not in (key, owner)]
+    rank = F.struct(*([order] if order else []), "op", owner, *columns)
+    changes = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns if c != key]), rank).alias("last")).select(key, "last.*")
     new = changes.select(key, F.col(owner).alias("asked_by"), "op", *[F.col(c).alias(f"new_{c}") for c in columns])
     joined = old.withColumn("present", F.lit(True)).join(new, key, "full_outer")
     mine = F.col("present").isNull() | (F.col(owner) == F.col("asked_by"))
     active = F.coalesce(mine & F.col("op").isNotNull(), F.lit(False))
-    gone = (active & (F.col("op") == "delete")) | (F.col("present").isNull() & (F.col("op") == "delete"))
+    gone = (active & (F.col("op") == "delete")) | (F.col("present").isNull() & ~F.col("op").eqNullSafe("create"))
     kept = joined.where(~F.coalesce(gone, F.lit(False)))
     return kept.select(
         key, F.coalesce(owner, "asked_by").alias(owner),

@@ -12,13 +12,14 @@ from ..operators.learning import (build_template_rows, correction_counts, derive
 
 
 def compare_corrections(corrections: DataFrame, templates: DataFrame) -> DataFrame:
-    """One compared row per correction and field of its template that was corrected."""
+    """One compared row per correction and field of its template; a field that the correction
+    leaves out counts as the empty text, that is as correct."""
     known = templates.select("template_id", F.map_keys("field_extractors").alias("fields"), "usage_count")
     rows = corrections.join(known, "template_id").select(
         "correction_id", "template_id", "ts", "usage_count", "extracted", "corrected", F.explode("fields").alias("field"))
     return field_corrected(rows.select(
         "correction_id", "template_id", "ts", "usage_count", "field",
-        F.col("extracted")[F.col("field")].alias("extracted"), F.col("corrected")[F.col("field")].alias("corrected")))
+        F.col("extracted")[F.col("field")].alias("extracted"), F.coalesce(F.col("corrected")[F.col("field")], F.lit("")).alias("corrected")))
 
 
 def apply_corrections(corrections: DataFrame, templates: DataFrame, now: Column) -> dict[str, DataFrame]:
@@ -51,4 +52,5 @@ def apply_corrections(corrections: DataFrame, templates: DataFrame, now: Column)
     starts = templates.select("template_id", F.explode("field_accuracy").alias("field", "start"))
     return {
         "outcomes": outcomes, "new_templates": new_templates, "rates": ewma_rates(counts, templates),
-        "accuracy": ewma_field_accuracy(compared, starts), "edit_distances": running_edit_distance(compared)}
+        "accuracy": ewma_field_accuracy(compared, starts), "edit_distances": running_edit_distance(
+            compared, starts=templates.select("template_id", F.explode("field_edit_distances").alias("field", "start")))}

@@ -10,16 +10,16 @@ from ..operators.matching import best_template, identify_merchant
 
 
 def parse_receipts(documents: DataFrame, templates: DataFrame, hint: str | None = None, misreads: str = "full",
-                   text: str = "ocr_text", fuzzy_fields: bool = False, **options) -> DataFrame:
+                   text: str = "ocr_text", **options) -> DataFrame:
     """Clean, identify the merchant, choose candidates, extract, keep the best.
 
     Documents without a template or without data get an ``error`` and a
-    correspondence of 0. ``fuzzy_fields`` also reads multi-line extractors.
+    correspondence of 0. Multi-line extractors are read like the others.
     """
     cleaned = documents.withColumn("clean_text", preprocess_text(F.col(text), misreads))
     lined = with_lines(cleaned, "clean_text")
     hinted = identify_merchant(lined, templates, hint).withColumn("head", document_head(F.col("lines"), 3))
-    best = best_template(hinted, templates, fill=fill_fuzzy if fuzzy_fields else None, **options)
+    best = best_template(hinted, templates, fill=fill_fuzzy, **options)
     failed = F.col("template_id").isNull()
     return best.withColumn("error", F.when(failed, "Failed to parse receipt")).withColumn(
         "correspondence", F.when(failed, 0.0).otherwise(F.col("correspondence"))).drop("lines", "head")
