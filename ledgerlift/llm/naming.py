@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .store import free_name, stored, text_of
 
-BLOCK_BYTES = 2048
+BLOCK_BYTES = 1024
 _COLUMNS = ("row", "no", "n", "doc")
 
 
@@ -66,7 +66,14 @@ def dense_names(rows: DataFrame, keys: list[str], salt: Column, purpose: str) ->
                 [pa.nulls(1, k) for k in kinds] + [pa.array([part], pa.int32()), pa.array([rank + 1], pa.int64()),
                                                    pa.array([first], pa.binary()), pa.array([last], pa.binary())], names=schema.names)
 
-    ranked = stored(ordered.mapInArrow(run, schema), purpose)
+    # Spark samples whole keys to find the borders of the tasks; fewer keep what the driver holds small
+    setting = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    usual = spark.conf.get(setting)
+    spark.conf.set(setting, "20")
+    try:
+        ranked = stored(ordered.mapInArrow(run, schema), purpose)
+    finally:
+        spark.conf.set(setting, usual)
     along = Window.orderBy("part")
     tasks = (ranked.where(F.col("first_key").isNotNull())
              .select("part", "rank", (F.lag("last_key").over(along) == F.col("first_key")).cast("long").alias("joined")))
