@@ -70,13 +70,12 @@ def regions(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
         return empty
     first, second = _Hashes(data, _A), _Hashes(data, _B)
     at = np.arange(len(data) - GRAM + 1)
-    gram = first.of(at, at + GRAM)
+    gram = _mixed((first.sums[GRAM:] - first.sums[:-GRAM]) * first.up[:len(at)])
     named = _window_min(((gram >> np.uint64(34)) << np.uint64(34)) | at.astype(np.uint64), length - GRAM + 1)
     name = (named & np.uint64((1 << 34) - 1)).astype(np.int64)
-    window = np.arange(len(name))
-    owner = np.searchsorted(bounds, window, side="right") - 1
-    good = window + length <= bounds[owner + 1]
-    window, owner, name = window[good], owner[good], name[good]
+    size = np.diff(bounds)
+    window = np.flatnonzero(at[:len(name)] + length <= np.repeat(bounds[1:], size)[:len(name)])
+    owner, name = np.repeat(np.arange(len(size)), size)[window], name[window]
     if not len(window):
         return empty
     new = np.ones(len(window), bool)
