@@ -8,6 +8,13 @@ import numpy as np
 
 #: Entries that all queues of one pass hold in memory before they move to a file.
 HELD = 1 << 22
+#: Neighbours in the order that are compared at once.
+COMPARED = 1 << 18
+
+
+def _numbers(n: int) -> type:
+    """What places in a text of n characters are kept as."""
+    return np.int32 if n < 1 << 31 else np.int64
 
 
 class BucketQueues:
@@ -45,7 +52,7 @@ class BucketQueues:
                 if isinstance(x, np.ndarray):
                     at = self.file.tell()
                     self.file.write(x.tobytes())
-                    queue[i] = (at, len(x))
+                    queue[i] = (at, len(x), x.dtype)
         self.held = 0
 
     def pop_all(self, key: int) -> np.ndarray:
@@ -54,12 +61,12 @@ class BucketQueues:
         for x in self.parts[key]:
             if isinstance(x, tuple):
                 self.file.seek(x[0])
-                x = np.frombuffer(self.file.read(8 * x[1]), np.int64)
+                x = np.frombuffer(self.file.read(x[2].itemsize * x[1]), x[2])
             else:
                 self.held -= len(x)
             out.append(x)
         self.parts[key] = []
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        return np.concatenate(out) if out else np.zeros(0, np.int32)
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -85,7 +92,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, characters:
     of_seed = text[seeds]
     cuts = np.searchsorted(of_seed, np.arange(characters + 1))
     queues = BucketQueues(characters)
-    queues.push(text[n - 1:n].astype(np.int64), np.array([n - 1], np.int64))
+    queues.push(text[n - 1:n].astype(np.int64), np.array([n - 1], seeds.dtype))
     large: list[np.ndarray] = []
     for c in range(characters):
         sorted_here = []
@@ -98,7 +105,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, characters:
             same = key == c
             queues.push(key[~same].astype(np.int64), before[~same])
             wave = before[same]
-        large.append(np.concatenate(sorted_here) if sorted_here else np.zeros(0, np.int64))
+        large.append(np.concatenate(sorted_here) if sorted_here else np.zeros(0, seeds.dtype))
         own = seeds[cuts[c]:cuts[c + 1]]
         before = own[own > 0] - 1
         before = before[~small[before]]
@@ -151,24 +158,27 @@ def suffix_order(text: np.ndarray, characters: int) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     small = _types(text)
-    seeds = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    seeds = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(_numbers(n))
     if len(seeds):
         rough = seeds[np.argsort(text[seeds], kind="stable")]
         order = _induce(text, small, rough, characters)
         is_seed = np.zeros(n, bool)
         is_seed[seeds] = True
         by_piece = order[is_seed[order]]
-        follows = np.full(n, n - 1, np.int64)
+        del order, rough, is_seed
+        follows = np.full(n, n - 1, seeds.dtype)
         follows[seeds[:-1]] = seeds[1:]
         same = _same_pieces(text, small, by_piece, follows[by_piece])
         # the piece that runs into the end differs from all others
         same &= (by_piece[1:] != seeds[-1]) & (by_piece[:-1] != seeds[-1])
-        name = np.concatenate([[0], np.cumsum(~same)])
-        names = np.empty(n, np.int64)
-        names[by_piece] = name
-        if name[-1] + 1 < len(seeds):
+        name_of = np.concatenate([[0], np.cumsum(~same)])
+        del follows, same
+        names = np.empty(n, seeds.dtype)
+        names[by_piece] = name_of
+        k = int(name_of[-1]) + 1
+        if k < len(seeds):
             reduced = names[seeds]
-            k = int(name[-1]) + 1
+            del names, name_of, by_piece
             ranked = suffix_order(reduced, k) if k <= 1024 else _doubling(reduced)
             seeds = seeds[ranked]
         else:
@@ -208,20 +218,22 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     at = np.arange(len(joined)) + np.repeat(np.arange(len(sizes)), sizes)
     text[at] = joined.astype(np.int16) + 1
     order = suffix_order(text, 257)
-    owner = np.repeat(np.arange(len(sizes)), sizes + 1)
-    fits = order + length <= starts[owner[order] + 1] - 1
-    order = order[fits]
+    room = (np.repeat(starts[1:] - 1, sizes + 1) - np.arange(len(text))).astype(order.dtype)
+    order = order[room[order] >= length]
+    del room
     raw = np.zeros(len(text) + 8, np.uint8)
     raw[at] = joined
+    del at
     words = np.lib.stride_tricks.as_strided(raw, (len(text) + 1, 8), (1, 1))
     same = np.zeros(max(len(order) - 1, 0), bool)
-    live = np.arange(len(same))
-    for step in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
-        if not len(live):
-            break
-        x, y = order[live] + step, order[live + 1] + step
-        live = live[(words[x] == words[y]).all(axis=1) if length >= 8 else raw[x] == raw[y]]
-    same[live] = True
+    for first in range(0, len(same), COMPARED):
+        live = np.arange(first, min(first + COMPARED, len(same)))
+        for step in [*range(0, length - 7, 8), length - 8] if length >= 8 else range(length):
+            if not len(live):
+                break
+            x, y = order[live] + step, order[live + 1] + step
+            live = live[(words[x] == words[y]).all(axis=1) if length >= 8 else raw[x] == raw[y]]
+        same[live] = True
     hit = np.zeros(len(order), bool)
     hit[:-1] |= same
     hit[1:] |= same

@@ -17,8 +17,14 @@ from .tokens import parted
 GRAM = 24
 #: Words of 64 bits of the filters that tell tasks which names or texts matter.
 FILTER_WORDS = 1 << 20
-#: Bytes of regions that a task sorts at once, unless one name alone has more.
+#: Bytes of regions that a task takes before it sorts them.
 SHARD_BYTES = 4 << 20
+#: Bytes of the differing regions of one name that are sorted in one task; names with more are split by their windows.
+NAME_BYTES = 1 << 20
+#: Neighbouring window places that are first told apart by the bytes that all of them hold.
+CELL = 16
+#: Bytes of whole texts whose regions are found at once.
+PART_BYTES = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = {int(m): pow(int(m), -1, 1 << 64) for m in (_A, _B)}
 
@@ -65,6 +71,16 @@ def regions(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarr
     equal ones. Equal windows have equal names at equal places. Windows in a row that are named by the same place
     form a region. Windows don't cross texts.
     """
+    cuts, at = [0], 0
+    while at < len(bounds) - 1:
+        at = max(at + 1, int(np.searchsorted(bounds, bounds[at] + PART_BYTES, side="right")) - 1)
+        cuts.append(at)
+    found = [_regions(data[bounds[a]:bounds[b]], bounds[a:b + 1] - bounds[a], length) for a, b in zip(cuts, cuts[1:] or [0])]
+    return (np.concatenate([x[0] + a for a, x in zip(cuts, found)]), *(np.concatenate([x[i] for x in found]) for i in range(1, 7)))
+
+
+def _regions(data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """The same for texts that are few enough to hash at once."""
     empty = tuple(np.zeros(0, np.int64) for _ in range(4)) + tuple(np.zeros(0, np.uint64) for _ in range(3))
     if len(data) < length:
         return empty
@@ -140,12 +156,12 @@ def _candidates(texts: DataFrame, length: int, bits: np.ndarray) -> DataFrame:
 
 
 def _contents(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(name, key, start, single, bytes) of the wanted regions."""
-    by_text = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "name", "single")).alias("regions")), "wanted")
+    """(name, key, start, offset, single, hot, bytes) of the wanted regions."""
+    by_text = stored(wanted.groupBy("key").agg(F.collect_list(F.struct("start", "windows", "name", "offset", "single", "hot")).alias("regions")), "wanted")
     bits = _filter_of(by_text.select(F.xxhash64("key").alias("h")), "h")
     keyed = _keyed(texts.select("text"))
     met = by_text.join(_maybe(keyed, bits).dropDuplicates(["key"]), "key").select("key", "text", F.explode("regions").alias("r"))
-    return met.select("r.name", "key", "r.start", "r.single",
+    return met.select("r.name", "key", "r.start", "r.offset", "r.single", "r.hot",
                       F.substring(F.col("text").cast("binary"), (F.col("r.start") + 1).cast("int"), (F.col("r.windows") - 1 + length).cast("int")).alias("bytes"))
 
 
@@ -175,8 +191,8 @@ def _maybe(keyed: DataFrame, bits: np.ndarray) -> DataFrame:
 def _sorted_shards(rows: DataFrame, length: int) -> DataFrame:
     """(key, start, windows) of window runs in single regions that occur elsewhere, by sorting suffixes in shards.
 
-    All regions of a name meet in one task. A task takes names together until it has SHARD_BYTES, joins their bytes
-    and sorts the suffixes.
+    All regions of a name meet in one task; ``rows`` must hold at most NAME_BYTES of each name. A task takes names
+    together until it has SHARD_BYTES, joins their bytes and sorts the suffixes.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
     dealt = rows.repartition(parts, "name").sortWithinPartitions("name", "key", "start")
@@ -208,6 +224,84 @@ def _sorted_shards(rows: DataFrame, length: int) -> DataFrame:
     return dealt.select("name", "key", "start", "single", "bytes").mapInArrow(run, "key binary, start long, windows long")
 
 
+def _pieces(size: np.ndarray, offset: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(region number, first window, number of windows, cell, begin and end of the core) of the pieces of regions.
+
+    A window's place is how far the name lies behind its first byte. Equal windows have equal places, so they lie in
+    equal cells of CELL places. A piece holds a region's windows of one cell; the core is the bytes that all windows
+    of the cell have, so pieces with equal windows have equal cores.
+    """
+    windows = size - length + 1
+    top, bottom = offset // CELL, (offset - windows + 1) // CELL
+    many = top - bottom + 1
+    region = np.repeat(np.arange(len(size)), many)
+    cell = top[region] - (np.arange(len(region)) - np.repeat(np.cumsum(many) - many, many))
+    low, high = cell * CELL, np.minimum(cell * CELL + CELL - 1, length - GRAM)
+    first = np.minimum(offset[region], high)
+    last = np.maximum((offset - windows + 1)[region], low)
+    return region, offset[region] - first, first - last + 1, cell, offset[region] - low, offset[region] - high + length
+
+
+def _hot_batches(batches: Iterator[pa.RecordBatch], length: int):
+    """For some regions at a time: (key, start, offset, single), where the bytes of each begin, hashes, pieces, ids of pieces."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 1024):
+            some = batch.slice(at, 1024)
+            data, bounds = _bytes_of(some.column(4))
+            start, offset = (some.column(i).to_numpy() for i in (1, 2))
+            pieces = _pieces(np.diff(bounds), offset, length)
+            text = np.array([int.from_bytes(k[:8], "little") for k in some.column(0).to_pylist()], np.uint64)
+            ids = _mixed(text[pieces[0]] ^ _mixed((start[pieces[0]] + pieces[1]).astype(np.uint64)))
+            yield some, start, offset, bounds, (_Hashes(data, _A), _Hashes(data, _B)), pieces, ids
+
+
+def _hot_windows(rows: DataFrame, length: int) -> DataFrame:
+    """(key, start, windows) of window runs in single regions that occur elsewhere, for names with any number of regions.
+
+    Nothing of a name is gathered. Pieces that are equal as a whole, by two 64-bit hashes and place, repeat; one of
+    them stands for all. Where pieces that differ have equal cores, their windows are compared by two 64-bit hashes
+    and place. Counts are summed before they are shuffled, so a window that many regions share is one row per task.
+    """
+    rows = rows.select("key", "start", "offset", "single", "bytes")
+
+    def cut(batches):
+        for some, start, _, bounds, hashes, (region, first, count, cell, a, b), ids in _hot_batches(batches, length):
+            base = bounds[:-1][region]
+            core = [h.of(base + a, base + b) for h in hashes]
+            whole = [h.of(base + first, base + first + count - 1 + length) for h in hashes]
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0).take(pa.array(region)), some.column(3).take(pa.array(region)),
+                 *[pa.array(x.view(np.int64)) for x in (start[region] + first, count, cell, *core, *whole, ids)]],
+                names=["key", "single", "start", "windows", "cell", "c1", "c2", "h1", "h2", "id"])
+
+    pieces = stored(rows.mapInArrow(cut, "key binary, single boolean, start long, windows long, cell long, c1 long, c2 long, h1 long, h2 long, id long"),
+                    "pieces")
+    core, same = ["cell", "c1", "c2"], ["cell", "c1", "c2", "windows", "h1", "h2"]
+    kinds = stored(pieces.groupBy(*same).agg(F.count("*").alias("n"), F.min("id").alias("id")), "piece-kinds")
+    whole = pieces.where("single").join(kinds.where("n > 1").select(*same), same, "left_semi").select("key", "start", "windows")
+    mixed = kinds.groupBy(*core).agg(F.count("*").alias("kinds")).where("kinds > 1").select(*core)
+    bits = _filter_of(stored(kinds.join(mixed, core, "left_semi").select("id"), "open-pieces"), "id")
+
+    def open_(batches):
+        for some, start, offset, bounds, hashes, (region, first, count, *_), ids in _hot_batches(batches, length):
+            on = np.flatnonzero(_passes(bits, ids))
+            many = count[on]
+            of = np.repeat(on, many)
+            window = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many)
+            owner = region[of]
+            base = bounds[:-1][owner] + window
+            yield pa.RecordBatch.from_arrays(
+                [some.column(0).take(pa.array(owner)), some.column(3).take(pa.array(owner)),
+                 *[pa.array(x.view(np.int64)) for x in (start[owner] + window, offset[owner] - window, *[h.of(base, base + length) for h in hashes])]],
+                names=["key", "single", "start", "place", "h1", "h2"])
+
+    # the filter lets through every piece that stands for a kind, so what it lets through besides repeats one of those anyway
+    windows = stored(rows.mapInArrow(open_, "key binary, single boolean, start long, place long, h1 long, h2 long"), "windows")
+    same = ["place", "h1", "h2"]
+    often = windows.groupBy(*same).agg(F.count("*").alias("n")).where("n > 1").select(*same)
+    return whole.unionByName(windows.where("single").join(often, same, "left_semi").select("key", "start", F.lit(1).cast("long").alias("windows")))
+
+
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """(key, start, windows): runs of window starts, in the text that key stands for, whose bytes also start elsewhere.
 
@@ -215,18 +309,23 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     other. Regions that are equal as a whole, by two 64-bit hashes, name and place, repeat; one of them stands for all
     when it is sorted with the other regions of its name. Counts are summed before they are shuffled. Passages that
     many texts share are mostly equal regions and cost one row each there; what is sorted are the regions at their
-    ends.
+    ends. Of a name with more than NAME_BYTES of these the windows are counted instead, so no task or shard depends on
+    how many texts share a name.
     """
     names = stored(_repeated_names(texts, length), "names")
     candidates = stored(_candidates(texts, length, _filter_of(names, "name")).join(names, "name", "left_semi"), "candidates")
     same = ["name", "offset", "windows", "h1", "h2"]
     kinds = stored(candidates.groupBy(*same).agg(F.count("*").alias("n"), F.min(F.struct("key", "start")).alias("one")), "kinds")
     whole = (candidates.join(kinds.where("n > 1").select(*same), same, "left_semi").select("key", "start", "windows").distinct())
-    mixed = stored(kinds.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name"), "mixed")
-    wanted = kinds.join(mixed, "name", "left_semi").select("name", "windows", "one.key", "one.start", (F.col("n") == 1).alias("single"))
+    mixed = stored(kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.sum(F.col("windows") + (length - 1)).alias("bytes"))
+                   .where("kinds > 1").select("name", (F.col("bytes") > NAME_BYTES).alias("hot")), "mixed")
+    wanted = kinds.join(mixed, "name").select("name", "windows", "offset", "one.key", "one.start", (F.col("n") == 1).alias("single"), "hot")
     # a region can also repeat itself one or more bytes on, under the same name at another place: then the name has two kinds
     parts = stored(_contents(texts, wanted, length), "contents")
-    return stored(whole.unionByName(_sorted_shards(parts, length)), "repeats")
+    found = whole.unionByName(stored(_sorted_shards(parts.where("NOT hot"), length), "sorted"))
+    if not mixed.where("hot").isEmpty():
+        found = found.unionByName(_hot_windows(parts.where("hot"), length))
+    return stored(found, "repeats")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -8,6 +8,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerlift.llm import induced, jaccard, links, naming, repeats
 
@@ -142,3 +143,25 @@ def test_remove_repeats(spark, length):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, length).collect())
     assert got == sorted((str(row[0]), *x) for row, x in zip(rows, brute_removed([r[1] for r in rows], length)))
     assert repeats.remove_repeats(empty(spark)).count() == 0
+
+
+@pytest.mark.parametrize("length, most", [(60, 0), (60, 2000), (200, 0), (200, 2000)])
+def test_repeats_of_hot_names(spark, monkeypatch, length, most):
+    """Passages that many texts share, with differing bytes around them, need no task that holds all of a name."""
+    passage, rng = prose(40, 9, 77), random.Random(length)
+    words = [prose(30, 3, 31 * i) for i in range(12)]
+    texts = [rng.choice(words)[-rng.randrange(1, 80):] + passage[rng.randrange(40):][:length + rng.randrange(-30, 60)] + rng.choice(words)[:rng.randrange(1, 80)]
+             for _ in range(150)]
+    rows = odd_rows() + [(200 + i, text, "a") for i, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    shards, most_of_one = repeats._sorted_shards, []
+
+    def watched(parts, length):
+        most_of_one.extend(r.n for r in parts.groupBy("name").agg(F.sum(F.octet_length("bytes")).alias("n")).collect())
+        return shards(parts, length)
+
+    monkeypatch.setattr(repeats, "NAME_BYTES", most, raising=False)
+    monkeypatch.setattr(repeats, "_sorted_shards", watched)
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats.remove_repeats(docs, length).collect())
+    assert got == sorted((str(row[0]), *x) for row, x in zip(rows, brute_removed([r[1] for r in rows], length)))
+    assert max(most_of_one, default=0) <= most
