@@ -90,7 +90,7 @@ def order_rules(docs: DataFrame, rules: Sequence[Rule], text_column: str = "text
 
     The sample takes texts by their hash, and never more than twice as many, however often one text is repeated. A rule's selectivity is the share that it rejects, its cost
     the time of computing the columns it needs over the sample, on the executors. A rule that rejects nothing there
-    comes last, dear ones behind cheap ones. The order changes how fast a document is decided and never how.
+    comes last, dear ones behind cheap ones. The order decides which rule is named first and never which documents stay.
     """
     texts = docs.select(text_of(docs, text_column).alias("text"))
     share = most / max(texts.count(), 1)
