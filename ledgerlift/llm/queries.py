@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import shared_dir, ship_package
-from . import binary, counting, ensemble, jaccard, mixing, naming, packing, repeats, rules, toxicity
+from . import audit, binary, counting, ensemble, jaccard, mixing, naming, packing, repeats, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,34 @@ def op2_range_coder(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_induced_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query(r"""
+WITH first AS (SELECT coalesce(text, '') AS t, min(doc_id) AS least FROM documents GROUP BY 1),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+          FROM labels GROUP BY doc_id),
+docs AS (SELECT d.doc_id, coalesce(d.source, '') AS part, coalesce(d.text, '') AS t, regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+') AS w,
+                coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+         FROM documents d LEFT JOIN marks m ON m.doc_id = d.doc_id),
+judged AS (SELECT part, good, toxic,
+                  CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+                  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END
+                  || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > least THEN 'E' ELSE '' END AS fails
+           FROM docs JOIN first USING (t)),
+masks AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+           WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, filter_order[step] AS x, substr(filter_order, 1, step - 1) AS before
+          FROM orders, (SELECT unnest(range(1, 6)) AS step)),
+met AS (SELECT part, filter_order, step, x, n, good, toxic, fails, contains(fails, x) AS here, translate(fails, before, '') != fails AS gone
+        FROM steps, masks),
+counted AS (SELECT part, filter_order, step, x, sum(CASE WHEN NOT here AND NOT gone THEN n ELSE 0 END) AS kept,
+                   sum(CASE WHEN here AND NOT gone THEN n ELSE 0 END) AS removed, sum(CASE WHEN here AND gone THEN n ELSE 0 END) AS redundant,
+                   sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN here AND NOT gone THEN good ELSE 0 END) AS good_lost,
+                   sum(CASE WHEN here AND NOT gone THEN toxic ELSE 0 END) AS toxic_lost FROM met GROUP BY part, filter_order, step, x)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+       CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted""")
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
