@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 
 from ..session import shared_dir, ship_package
-from . import audit, binary, counting, ensemble, jaccard, mixing, naming, packing, repeats, rules, toxicity
+from . import audit, binary, codes, counting, ensemble, jaccard, mixing, naming, packing, repeats, rules, toxicity
 from .store import documents, in_fold, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -169,3 +169,35 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley FROM counted""")
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def _codebook_sql() -> str:
+    """The three assignments and two updates one after another."""
+    steps = []
+    for i in range(3):
+        steps.append(f"""
+near{i} AS (SELECT r, p, any_value(v) AS v, min({{'far': far, 'e': e}}) AS best
+            FROM (SELECT r, p, v, e, list_sum(list_transform(range(1, len(v) + 1), lambda j: (v[j] - w[j]) * (v[j] - w[j]))) AS far
+                  FROM pieces JOIN book{i} USING (p)) GROUP BY r, p)""")
+        if i < 2:
+            steps.append(f"""
+mean{i} AS (SELECT p, e, list(m ORDER BY j) AS w FROM (
+              SELECT p, best.e AS e, j, CAST(floor(sum(v[j]) / count(*)) AS BIGINT) AS m
+              FROM near{i}, (SELECT unnest(range(1, (SELECT max(len(v)) FROM pieces) + 1)) AS j) GROUP BY ALL) GROUP BY p, e),
+book{i + 1} AS (SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM book{i} b LEFT JOIN mean{i} m USING (p, e))""")
+    return f"""
+WITH kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS r, vec_id, label,
+                     list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+              FROM embeddings WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (SELECT r, p, q[p * len(q) // 16 + 1:(p + 1) * len(q) // 16] AS v FROM kept, (SELECT unnest(range(0, 16)) AS p)),
+book0 AS (SELECT p, r - 1 AS e, v AS w FROM pieces WHERE r <= 64),{','.join(steps)},
+digest AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book2),
+coded AS (SELECT r, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, CAST(sum(best.far) AS BIGINT) AS error FROM near2 GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN coded USING (r), digest"""
+
+
+@query(_codebook_sql())
+def op12_dual_tree_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
