@@ -7,15 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ..functions import fixed, fuzzy
 from ..functions.expr import first_token
 from ..functions.text import document_head, strip
+from ..sources.scratch import written
 from .extraction import correspondence, extract, extraction_score, extractor_list, unnest
 
-DICTIONARY_BYTES = 32 * 1024 * 1024
-MATCH = StructType([StructField("merchant", StringType()), StructField("score", DoubleType())])
+#: About so many bytes of names make a slice, which is what one task holds of a merchant list.
+SLICE_BYTES = 4 * 1024 * 1024
+#: A word whose rarest piece is in more names than this is looked up whole.
+MOST_NAMES = 1000
 
 
 class _Dictionary:
@@ -154,60 +156,78 @@ class _Dictionary:
         return fuzzy._best_window(np.vstack([pad, masks[codes], pad]), m, len(codes))
 
 
-_LOADED: dict[int, _Dictionary] = {}  # dictionaries a worker has built, by broadcast id
+def _numbered(column: str, numbers: dict[str, int]) -> Column:
+    """The number that belongs to the value of a column, NULL for other values."""
+    return F.coalesce(*[F.when(F.col(column) == value, F.lit(number)) for value, number in numbers.items()])
 
 
-def _scorer(spark, names: list[str], threshold: float):
-    shared = spark.sparkContext.broadcast(names)
-    name_id = shared._jbroadcast.id()
-
-    @F.pandas_udf(MATCH)
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        if name_id not in _LOADED:
-            _LOADED.clear()
-            _LOADED[name_id] = _Dictionary(shared.value)
-        dictionary = _LOADED[name_id]
-        for batch in batches:
-            yield pd.DataFrame([dictionary.best(text, threshold) for text in batch], columns=["merchant", "score"])
-
-    return score
-
-
-def merchant_scorer(merchants: DataFrame, threshold: float = fixed.MERCHANT_THRESHOLD,
-                    dictionary_bytes: int = DICTIONARY_BYTES) -> Callable[[Column], Column]:
-    """Function from a head text to its best merchant as a struct of name and score.
-
-    The score is the highest of ratio, partial ratio and word-sorted ratio; the
-    lowest name wins ties; NULL below ``threshold``. ``merchants`` (one
-    ``merchant_name`` column) is measured first. Up to ``dictionary_bytes`` it is
-    shipped whole; a larger one is cut by hash into slices of about that size,
-    each scored by a function of its own, and the best of all slices is kept, so
-    every merchant is scored and no task holds more than its slices.
+def _score_cells(frames: Iterator[pd.DataFrame], threshold: float) -> Iterator[pd.DataFrame]:
+    """Best name of each head, from rows sorted by cell, names before heads."""
+    cell, names, dictionary = None, [], None
+    for frame in frames:
+        out = []
+        for at, kind, text in zip(frame["cell"], frame["kind"], frame["text"]):
+            if at != cell:
+                cell, names, dictionary = at, [], None
+            if kind == 0:
+                names.append(text)
+                continue
+            if dictionary is None:
+                dictionary = _Dictionary(names)
+            merchant, score = dictionary.best(text, threshold)
+            if merchant is not None:
+                out.append((at, text, merchant, score))
+        yield pd.DataFrame(out, columns=["cell", "head", "merchant", "score"])
+
+
+def score_heads(heads: DataFrame, names: DataFrame, threshold: float = fixed.MERCHANT_THRESHOLD,
+                slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(list, head, merchant, score) of each head text that has a merchant in its list.
+
+    ``names`` (list, merchant_name) holds one or a few lists of merchants, ``heads``
+    (list, head) distinct texts that ask for one of them. The score is the highest
+    of ratio, partial ratio and word-sorted ratio; the lowest name wins ties.
+
+    The lists stay rows. Each is cut by hash into slices of about ``slice_bytes``
+    and the heads into chunks, so that slices times chunks are twice the shuffle
+    partitions. A cell, one slice with one chunk, is a partition of its own: its
+    names come first and are indexed, its heads follow one by one. The best of all
+    slices is kept. The driver learns the size of the lists and nothing else.
     """
-    spark = merchants.sparkSession
-    names = merchants.select("merchant_name").where("merchant_name is not null").distinct()
-    total = names.agg(F.coalesce(F.sum(F.octet_length("merchant_name") + 64), F.lit(0)).alias("n")).first()["n"]
-    slices = max(1, -(-int(total) // dictionary_bytes))
-    scorers = []
-    for number in range(slices):
-        rows = names.where(F.pmod(F.xxhash64("merchant_name"), F.lit(slices)) == number).collect()
-        scorers.append(_scorer(spark, sorted(r["merchant_name"] for r in rows), threshold))
-
-    def best(head: Column) -> Column:
-        hits = F.array(*[F.when(s["merchant"].isNotNull(), F.struct((-s["score"]).alias("loss"), s["merchant"].alias("merchant")))
-                         for s in (scorer(head) for scorer in scorers)])
-        top = F.array_min(F.array_compact(hits))
-        return F.when(-top["loss"] >= threshold, F.struct(top["merchant"].alias("merchant"), (-top["loss"]).alias("score")))
-
-    return best
+    spark = heads.sparkSession
+    names = names.where("merchant_name is not null").select("list", "merchant_name").distinct()
+    sizes = names.groupBy("list").agg(F.sum(F.octet_length("merchant_name") + 64).alias("n")).orderBy("list").collect()
+    if not sizes:
+        return spark.createDataFrame([], "list string, head string, merchant string, score double")
+    slices = {r["list"]: -(-int(r["n"]) // slice_bytes) for r in sizes}
+    before, total = {}, 0
+    for name, n in slices.items():
+        before[name], total = total, total + n
+    chunks = max(1, -(-2 * int(spark.conf.get("spark.sql.shuffle.partitions")) // total))
+    first, count = _numbered("list", before), _numbered("list", slices)
+    part = first + F.pmod(F.xxhash64("merchant_name"), count).cast("int")
+    named = names.select(part.alias("part"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"),
+                         F.lit(0).alias("kind"), F.col("merchant_name").alias("text"))
+    asked = heads.where("head is not null").where(count.isNotNull()).select(
+        F.explode(F.sequence(first, first + count - 1)).alias("part"), F.pmod(F.xxhash64("head"), F.lit(chunks)).cast("int").alias("chunk"),
+        F.lit(1).alias("kind"), F.col("head").alias("text"))
+    cells = named.unionByName(asked).select((F.col("part") * chunks + F.col("chunk")).alias("cell"), "kind", "text")
+    cells = cells.repartitionById(total * chunks, F.col("cell")).sortWithinPartitions("cell", "kind", "text")
+    scored = cells.mapInPandas(lambda frames: _score_cells(frames, threshold), "cell int, head string, merchant string, score double")
+    owner = F.coalesce(*[F.when(F.col("cell") < (before[name] + n) * chunks, F.lit(name)) for name, n in slices.items()])
+    scored = scored.withColumn("list", owner)
+    if max(slices.values()) > 1:
+        top = F.min(F.struct((-F.col("score")).alias("loss"), "merchant")).alias("top")
+        scored = scored.groupBy("list", "head").agg(top).select(
+            "list", "head", F.col("top.merchant").alias("merchant"), (-F.col("top.loss")).alias("score"))
+    return scored.select("list", "head", "merchant", "score")
 
 
 def fuzzy_merchant_match(heads: DataFrame, merchants: DataFrame, threshold: float = fixed.MERCHANT_THRESHOLD,
-                         dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
-    """Best merchant of each distinct ``head`` text that has one."""
-    score = merchant_scorer(merchants, threshold, dictionary_bytes)
-    distinct = heads.select("head").where("head is not null").distinct()
-    return distinct.withColumn("m", score(F.col("head"))).where("m is not null").select("head", "m.merchant", "m.score")
+                         slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Best merchant of each distinct ``head`` text that has one; see ``score_heads``."""
+    one = F.lit("all").alias("list")
+    return score_heads(heads.select(one, "head").distinct(), merchants.select(one, "merchant_name"), threshold, slice_bytes).drop("list")
 
 
 def distinct_merchants(templates: DataFrame, archived: bool | None = None) -> DataFrame:
@@ -225,88 +245,118 @@ def top_templates(templates: DataFrame, key: Column | str = "merchant_name", lim
     return keyed.withColumn("cand_ord", F.row_number().over(window)).where(F.col("cand_ord") <= limit)
 
 
-def contains_matches(hints: DataFrame, templates: DataFrame, limit: int = fixed.CANDIDATE_LIMIT) -> DataFrame:
-    """Top templates, active and archived apart, for each distinct first word of the
-    ``hint`` texts: those whose merchant name holds the word (``match_key``).
+def _pieces(text: str, size: Column) -> Column:
+    """Distinct substrings of a length, none if the text is shorter."""
+    last = F.length(text) - size + 1
+    starts = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.call_function("substring", F.col(text), i, size)))
+
 
-    "Name holds word" is found by equality: each name lists its pieces of at
-    most three letters, a word looks up its first such piece, and the names
-    that share it are checked in full.
+def names_with_words(words: DataFrame, names: DataFrame, most_names: int = MOST_NAMES) -> DataFrame:
+    """(word, name) of all names that hold a word; ``words`` and ``names`` are distinct.
+
+    A word is looked up by the piece of three letters that fewest names have, and
+    the names of that piece are checked in full, at most ``most_names`` for each
+    word. A shorter word, or one whose rarest piece is in more names, is looked up
+    whole: names list their substrings of just the lengths that such words have.
+    What that join yields are true matches, and a name has only so many substrings.
     """
-    tokens = hints.select(F.lower(first_token(F.col("hint"))).alias("word")).distinct().withColumn(
-        "piece", F.left("word", F.lit(3)))
+    three = F.lit(3)
+    grams = names.select("name", F.explode(_pieces("name", three)).alias("piece"))
+    held = grams.groupBy("piece").agg(F.count("*").alias("n"))
+    long = words.where(F.length("word") >= 3).select("word", _pieces("word", three).alias("pieces"))
+    rare = (long.select("word", F.size("pieces").alias("wanted"), F.explode("pieces").alias("piece")).join(held, "piece")
+            .groupBy("word", "wanted").agg(F.count("*").alias("found"), F.min(F.struct("n", "piece")).alias("rarest"))
+            .where("found = wanted").select("word", "rarest.n", "rarest.piece"))  # a piece that no name has rules the word out
+    cold = rare.where(F.col("n") <= most_names).join(grams, "piece").where(F.contains("name", F.col("word"))).select("word", "name")
+    whole = rare.where(F.col("n") > most_names).select("word").unionByName(words.where(F.length("word") < 3).select("word"))
+    sizes = whole.agg(F.array_sort(F.collect_set(F.length("word")))).scalar()
+    parts = names.select("name", F.explode(sizes).alias("size")).select("name", F.explode(_pieces("name", F.col("size"))).alias("word"))
+    return cold.unionByName(parts.join(whole, "word").select("word", "name"))
+
+
+def contains_matches(hints: DataFrame, templates: DataFrame, limit: int = fixed.CANDIDATE_LIMIT, most_names: int = MOST_NAMES) -> DataFrame:
+    """Top templates, active and archived apart, for each distinct first word of the
+    ``hint`` texts: those whose merchant name holds the word (``match_key``)."""
+    words = hints.select(F.lower(first_token(F.col("hint"))).alias("word")).distinct()
     # Only a name's own best templates can be among the best of several names.
     best = top_templates(templates, F.lower("merchant_name"), limit, ("is_archived",)).drop("cand_ord").withColumnRenamed(
         "match_key", "name")
-    size = F.length("name")
-    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    pieces = F.array_distinct(F.flatten(F.transform(starts, lambda i: F.transform(
-        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.call_function("substring", F.col("name"), i, n)))))
-    grams = best.select("name").distinct().select(
-        "name", F.explode(F.concat(F.array(F.lit("")), pieces)).alias("piece"))
-    pairs = tokens.join(grams, "piece").where(F.contains("name", F.col("word"))).select("word", "name")
+    pairs = names_with_words(words, best.select("name").where("name is not null").distinct(), most_names)
     return top_templates(pairs.join(best, "name"), "word", limit, ("is_archived",))
 
 
 TEMPLATE_PARTS = ("template_id", "field_extractors", "has_line_items", "line_items_start_line", "item_patterns")
-SALTS = 32
-
-
-def _listed(ranked: DataFrame, name: str, columns: list[str]) -> DataFrame:
-    """Candidates of each key, at most five per state, as arrays in order."""
-    def rows(archived: bool) -> Column:
-        picked = F.collect_list(F.when(F.col("is_archived") == archived, F.struct("cand_ord", *columns)))
-        return F.array_sort(picked, lambda a, b: a["cand_ord"] - b["cand_ord"])
-
-    return ranked.groupBy("match_key").agg(rows(False).alias(f"{name}_active"), rows(True).alias(f"{name}_archived"))
+#: Tiers of the active templates; that of the archived ones is three more.
+SAME, LIKE, HELD, GENERIC = 1, 2, 3, 7
+
+
+def candidate_lists(hints: DataFrame, templates: DataFrame, use_text: bool = True, limit: int = fixed.CANDIDATE_LIMIT) -> DataFrame:
+    """(tier, match_key, cand_ord, template_id): the best templates that a tier has for a name, a word or, last, for anything."""
+    base = templates.select("template_id", "merchant_name", "usage_count", "is_archived")
+
+    def ranked(rows: DataFrame, tier: int) -> DataFrame:
+        number = F.when(F.col("is_archived"), tier + 3).otherwise(tier)
+        return rows.select(number.alias("tier"), "match_key", "cand_ord", "template_id")
+
+    lists = ranked(top_templates(base, F.lower("merchant_name"), limit, ("is_archived",)), SAME).unionByName(
+        ranked(contains_matches(hints, base, limit), HELD))
+    if use_text:
+        lists = lists.unionByName(ranked(top_templates(base, "merchant_name", limit, ("is_archived",)), LIKE))
+    generic = top_templates(base.where(F.col("merchant_name") == fixed.GENERIC_MERCHANT), F.lit(""), limit)
+    return lists.unionByName(generic.select(F.lit(GENERIC).alias("tier"), "match_key", "cand_ord", "template_id"))
+
+
+def choose_tiers(asked: DataFrame, lists: DataFrame, templates: DataFrame, use_text: bool = True, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """(hint, head, tier, match_key) of distinct requests (hint, head): the first tier that has a list, and which one."""
+    out = asked.select("hint", "head", F.lower("hint").alias("hint_key"), F.lower(first_token(F.col("hint"))).alias("word"))
+    for tier, key in ((SAME, "hint_key"), (HELD, "word")):
+        has = lists.where(F.col("tier").isin(tier, tier + 3)).groupBy(F.col("match_key").alias(key)).agg(
+            F.bool_or(F.col("tier") == tier).alias(f"has_{tier}"), F.bool_or(F.col("tier") == tier + 3).alias(f"has_{tier + 3}"))
+        out = out.join(has, key, "left")
+    cases = [(number, F.coalesce(F.col(f"has_{number}"), F.lit(False)), F.col(key))
+             for number, key in ((SAME, "hint_key"), (HELD, "word"), (SAME + 3, "hint_key"), (HELD + 3, "word"))]
+    if use_text:
+        # Both lists are scored in one pass. The archived one can only matter where no tier before it is sure to have any.
+        has = dict((number, condition) for number, condition, _ in cases)
+        out = written(out, "requests")
+        wants = F.array_compact(F.array(F.when(~has[SAME], F.lit("active")),
+                                        F.when(~has[SAME] & ~has[HELD] & ~has[SAME + 3], F.lit("archived"))))
+        heads = out.select(F.explode(wants).alias("list"), "head").distinct()
+        names = templates.select(F.when(F.col("is_archived"), "archived").otherwise("active").alias("list"), "merchant_name")
+        best = score_heads(heads, names, slice_bytes=slice_bytes).groupBy("head").agg(*[
+            F.max(F.when(F.col("list") == name, F.col("merchant"))).alias(name) for name in ("active", "archived")])
+        out = out.join(best, "head", "left")
+        cases += [(LIKE, F.col("active").isNotNull(), F.col("active")), (LIKE + 3, F.col("archived").isNotNull(), F.col("archived"))]
+    if not lists.where(F.col("tier") == GENERIC).isEmpty():
+        cases.append((GENERIC, F.lit(True), F.lit("")))
+    first = F.coalesce(*[F.when(found, F.struct(F.lit(number).alias("tier"), key.alias("match_key"))) for number, found, key in sorted(cases, key=lambda c: c[0])])
+    return out.withColumn("first", first).select("hint", "head", "first.tier", "first.match_key")
 
 
 def attach_candidates(requests: DataFrame, templates: DataFrame, use_text: bool = True,
-                      limit: int = fixed.CANDIDATE_LIMIT, dictionary_bytes: int = DICTIONARY_BYTES,
+                      limit: int = fixed.CANDIDATE_LIMIT, slice_bytes: int = SLICE_BYTES,
                       parts: tuple[str, ...] = ("template_id",)) -> DataFrame:
     """Adds ``tier`` and ``candidates`` to requests that hold ``hint`` and ``head``.
 
     Candidates come from the first of seven tiers that has any: same name,
     similar text, name holds the first word, first for active and then for
-    archived templates, last the fallback template. Every tier is a small table
-    joined by equality, so requests are never compared with templates one by one;
-    text is scored only for requests that reach that tier. First words repeat
-    heavily, so that join is salted: its small side is copied to every salt.
+    archived templates, last the fallback template. Distinct pairs of hint and head
+    are taken through the tiers with nothing but names and words, so a request
+    learns which list it gets; the templates of the lists, ``parts`` of each, are
+    joined last. Lists and pairs are written to the shared folder, so matching runs
+    once however often the result is read.
     """
-    columns = list(parts)
-    base = templates.select("merchant_name", "usage_count", "is_archived", *[c for c in columns])
-    salt = F.pmod(F.xxhash64("hint", "head"), F.lit(SALTS)).cast("int")
-    out = (requests.withColumn("hint_key", F.lower("hint"))
-           .withColumn("word", F.lower(first_token(F.col("hint")))).withColumn("salt", salt))
-    held = _listed(contains_matches(requests.select("hint"), base, limit), "held", columns)
-    held = held.withColumnRenamed("match_key", "word").withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    same = _listed(top_templates(base, F.lower("merchant_name"), limit, ("is_archived",)), "same", columns)
-    out = out.join(held, ["word", "salt"], "left").join(same.withColumnRenamed("match_key", "hint_key"), "hint_key", "left")
-
-    def has(name: str) -> Column:
-        return F.coalesce(F.size(name) > 0, F.lit(False))
-
-    named = _listed(top_templates(base, "merchant_name", limit, ("is_archived",)), "like", columns)
-    done, cases = F.lit(False), []
-    for tier, label, archived in ((1, "active", False), (4, "archived", True)):
-        done = done | has(f"same_{label}")
-        cases.append((tier, f"same_{label}"))
-        if use_text:
-            score = merchant_scorer(distinct_merchants(base, archived), dictionary_bytes=dictionary_bytes)
-            out = out.withColumn("match_key", score(F.when(~done, F.col("head")))["merchant"])
-            out = out.join(named.select("match_key", f"like_{label}"), "match_key", "left").drop("match_key")
-            done = done | has(f"like_{label}")
-            cases.append((tier + 1, f"like_{label}"))
-        done = done | has(f"held_{label}")
-        cases.append((tier + 2, f"held_{label}"))
-    fallback = top_templates(base.where(F.col("merchant_name") == fixed.GENERIC_MERCHANT), "merchant_name", limit).agg(
-        F.array_sort(F.collect_list(F.struct("cand_ord", *columns)), lambda a, b: a["cand_ord"] - b["cand_ord"]))
-    out = out.withColumn("generic", fallback.scalar())
-    cases.append((7, "generic"))
-    tier = F.coalesce(*[F.when(has(found), number) for number, found in cases])
-    return out.select(*requests.columns, tier.alias("tier"),
-                      F.coalesce(*[F.when(has(found), F.col(found)) for _, found in cases]).alias("candidates"))
+    asked = written(requests.select("hint", "head").distinct(), "requests")
+    lists = written(candidate_lists(asked.select("hint"), templates, use_text, limit), "lists")
+    chosen = choose_tiers(asked, lists, templates, use_text, slice_bytes).select(
+        F.col("hint").alias("hint_"), F.col("head").alias("head_"), F.col("tier").alias("tier_"), F.col("match_key").alias("key_"))
+    filled = lists if parts == ("template_id",) else lists.join(templates.select(*parts), "template_id")
+    whole = filled.groupBy(F.col("tier").alias("list_tier"), F.col("match_key").alias("list_key")).agg(F.array_sort(
+        F.collect_list(F.struct("cand_ord", *parts)), lambda a, b: a["cand_ord"] - b["cand_ord"]).alias("list_"))
+    out = requests.join(chosen, F.col("hint").eqNullSafe(F.col("hint_")) & F.col("head").eqNullSafe(F.col("head_")), "left").join(
+        whole, (F.col("tier_") == F.col("list_tier")) & (F.col("key_") == F.col("list_key")), "left")
+    return out.select(*requests.columns, F.col("tier_").alias("tier"), F.col("list_").alias("candidates"))
 
 
 def template_candidates(requests: DataFrame, templates: DataFrame, key: str = "receipt_id", **options) -> DataFrame:
@@ -316,14 +366,16 @@ def template_candidates(requests: DataFrame, templates: DataFrame, key: str = "r
         key, "tier", "c.cand_ord", "c.template_id")
 
 
-def identify_merchant(documents: DataFrame, templates: DataFrame, hint: str | None = None,
-                      dictionary_bytes: int = DICTIONARY_BYTES) -> DataFrame:
+def identify_merchant(documents: DataFrame, templates: DataFrame, hint: str | None = None, slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """Adds ``hint``: the given hint, else the best match of the first four lines
-    among all merchants, else the first line, else 'Unknown'."""
-    score = merchant_scorer(distinct_merchants(templates), dictionary_bytes=dictionary_bytes)
+    among all merchants, else the first line, else 'Unknown'. Distinct first lines are scored once, and the matches written."""
     given = F.when(F.length(F.col(hint)) > 0, F.col(hint)) if hint else F.lit(None).cast("string")
-    matched = score(F.when(given.isNull(), document_head(F.col("lines"), 4)))["merchant"]
-    return documents.withColumn("hint", F.coalesce(given, matched, strip(F.get(F.col("lines"), F.lit(0))), F.lit("Unknown")))
+    asking = documents.withColumn("asked_", F.when(given.isNull(), document_head(F.col("lines"), 4)))
+    found = fuzzy_merchant_match(asking.select(F.col("asked_").alias("head")), distinct_merchants(templates), slice_bytes=slice_bytes)
+    found = written(found, "merchants")
+    out = asking.join(found.select(F.col("head").alias("asked_"), F.col("merchant").alias("matched_")), "asked_", "left")
+    known = F.coalesce(given, "matched_", strip(F.get(F.col("lines"), F.lit(0))), F.lit("Unknown"))
+    return out.withColumn("hint_", known).select(*[c for c in documents.columns if c != "hint"], F.col("hint_").alias("hint"))
 
 
 def best_template(documents: DataFrame, templates: DataFrame, fill: Callable[..., Column] | None = None, **options) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import clean_lines, document_head, preprocess_text
 from ..operators.extraction import fill_fuzzy, with_lines
 from ..operators.matching import best_template, identify_merchant
+from ..sources.scratch import written
 
 
 def parse_receipts(documents: DataFrame, templates: DataFrame, hint: str | None = None, misreads: str = "full",
@@ -14,10 +15,11 @@ def parse_receipts(documents: DataFrame, templates: DataFrame, hint: str | None
     """Clean, identify the merchant, choose candidates, extract, keep the best.
 
     Documents without a template or without data get an ``error`` and a
-    correspondence of 0. Multi-line extractors are read like the others.
+    correspondence of 0. Multi-line extractors are read like the others. Cleaned
+    documents are written to the shared folder: matching reads them three times.
     """
     cleaned = documents.withColumn("clean_text", preprocess_text(F.col(text), misreads))
-    lined = with_lines(cleaned, "clean_text")
+    lined = written(with_lines(cleaned, "clean_text"), "lines")
     hinted = identify_merchant(lined, templates, hint).withColumn("head", document_head(F.col("lines"), 3))
     best = best_template(hinted, templates, fill=fill_fuzzy, **options)
     failed = F.col("template_id").isNull()

@@ -2,10 +2,12 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from ledgerlift.functions import fuzzy
-from ledgerlift.operators.matching import _Dictionary, contains_matches, fuzzy_merchant_match
+from ledgerlift.operators.matching import _Dictionary, attach_candidates, contains_matches, fuzzy_merchant_match, score_heads
 
 
 def lcs_table(a, b):
@@ -80,18 +82,68 @@ def test_match_on_spark_equals_brute_force_also_in_slices(spark):
             want[head] = (min(n for n in names if scores[n] == top), round(top, 9))
     head_rows = spark.createDataFrame([(h,) for h in heads], "head string")
     name_rows = spark.createDataFrame([(n,) for n in names], "merchant_name string")
-    for size in (1 << 20, 600):
-        rows = fuzzy_merchant_match(head_rows, name_rows, dictionary_bytes=size).collect()
+    for size in (1 << 20, 1100):  # one slice, and three
+        rows = fuzzy_merchant_match(head_rows, name_rows, slice_bytes=size).collect()
         assert {r["head"]: (r["merchant"], round(r["score"], 9)) for r in rows} == want
-
-
-def test_contains_by_pieces_equals_brute_force(spark):
+    low = fuzzy_merchant_match(head_rows, name_rows, threshold=40, slice_bytes=1100).collect()
+    best = {h: max(((best_of_three(h, n), n) for n in names), key=lambda x: (x[0], [-ord(c) for c in x[1]] + [1])) for h in heads}
+    assert {r["head"]: r["merchant"] for r in low} == {h: n for h, (score, n) in best.items() if score >= 40}
+
+
+def test_lists_are_scored_apart(spark):
+    names = spark.createDataFrame([("a", "North Shop"), ("a", None), ("b", "South Shop"), ("b", "north shops")], "list string, merchant_name string")
+    heads = spark.createDataFrame([("a", "South Shop"), ("b", "South Shop"), ("b", None), ("c", "North Shop")], "list string, head string")
+    got = {(r["list"], r["head"]): (r["merchant"], r["score"]) for r in score_heads(heads, names, slice_bytes=70).collect()}
+    assert got == {("a", "South Shop"): ("North Shop", best_of_three("South Shop", "North Shop")), ("b", "South Shop"): ("South Shop", 100.0)}
+    assert score_heads(heads, names.where("false")).count() == 0
+
+
+def first_tier(hint, head, templates):
+    """Tier and template ids of a request, one tier after another."""
+    word_ = (hint.split() or [""])[0].lower()
+    for tier in range(1, 8):
+        state = tier in (4, 5, 6)
+        mine = [t for t in templates if tier == 7 or t[3] == state]
+        if tier in (1, 4):
+            fits = [t for t in mine if t[1].lower() == hint.lower()]
+        elif tier in (2, 5):
+            scores = {t[1]: best_of_three(head, t[1]) for t in mine}
+            top = max(scores.values(), default=0)
+            fits = [t for t in mine if top >= 70 and t[1] == min(n for n in scores if scores[n] == top)]
+        elif tier in (3, 6):
+            fits = [t for t in mine if word_ in t[1].lower()]
+        else:
+            fits = [t for t in mine if t[1] == "Generic"]
+        if fits:
+            return tier, [i for _, i in sorted((-t[2], t[0]) for t in fits)[:5]]
+    return None, None
+
+
+def test_tiers_equal_trying_one_after_another(spark):
+    rng = random.Random(8)
+    templates = [(f"T{i:02}", rng.choice([word(rng, "ABCDE ", 3, 9).strip() or "A", "Shared Name", "ARCH"]), rng.randint(0, 9), rng.random() < 0.5) for i in range(50)]
+    templates += [("G1", "Generic", 3, False), ("G2", "Generic", 9, True)]
+    templates = [t if t[1] != "ARCH" else (t[0], "Archive House", t[2], True) for t in templates]
+    table = spark.createDataFrame(templates, "template_id string, merchant_name string, usage_count int, is_archived boolean")
+    hints = ["shared name", "archive house", "arch x", "zzzz", "shar d", ""] + [word(rng, "abcde ", 1, 8) for _ in range(30)]
+    asked = [(i, h, rng.choice([word(rng, "ABCDE qrs", 5, 20), "zz yy xx ww", "Archive House 9"])) for i, h in enumerate(hints)]
+    asked += [(100 + i, h, d) for i, (_, h, d) in enumerate(asked[:10])]  # the same request again
+    rows = spark.createDataFrame(asked, "receipt_id int, hint string, head string")
+    got = {r["receipt_id"]: (r["tier"], r["candidates"] and [c["template_id"] for c in r["candidates"]])
+           for r in attach_candidates(rows, table, slice_bytes=500).collect()}
+    assert got == {i: first_tier(h, d, templates) for i, h, d in asked}
+    nothing = attach_candidates(rows, table.where("merchant_name = 'zzz'")).collect()
+    assert len(nothing) == len(asked) and all(r["candidates"] is None and r["tier"] is None for r in nothing)
+
+
+@pytest.mark.parametrize("most", [0, 2, 1000])
+def test_contains_by_pieces_equals_brute_force(spark, most):
     rng = random.Random(4)
     templates = [(f"T{i}", word(rng, "ABc ", 0, 8), rng.randint(0, 9), rng.random() < 0.4) for i in range(60)]
     hints = [""] + [word(rng, "abC", 1, 5) + " rest" for _ in range(30)]
     table = spark.createDataFrame(templates, "template_id string, merchant_name string, usage_count int, is_archived boolean")
     got = {}
-    for r in contains_matches(spark.createDataFrame([(h,) for h in hints], "hint string"), table).collect():
+    for r in contains_matches(spark.createDataFrame([(h,) for h in hints], "hint string"), table, most_names=most).collect():
         got.setdefault((r["match_key"], r["is_archived"]), []).append((r["cand_ord"], r["template_id"]))
     for token in {(h.split() or [""])[0].lower() for h in hints}:
         for archived in (False, True):
