@@ -351,10 +351,14 @@ add("x9_discard_jobs", lambda t: lifecycle.discard_jobs(job_requests(t), t.jobs,
     SELECT r.job_id, requester, CASE WHEN j.job_id IS NULL THEN 'not_found' WHEN user_id <> requester THEN 'forbidden' ELSE 'discarded' END AS outcome,
       CASE WHEN user_id = requester THEN 'discarded' ELSE status END AS new_status, coalesce(user_id = requester AND status <> 'confirmed', false) AS drop_file
     FROM requests r LEFT JOIN jobs j ON j.job_id = r.job_id""")
-D_ONCE = """, firsts AS (SELECT job_id, epoch_us(ts) // 1000000 AS s, min((ts, event_id)) AS f FROM job_events GROUP BY 1, 2),
+def d_once(table, number):
+    """(job_id, s): seconds of the requests that count, by walking each job's seconds in order; f is the first request of a second."""
+    return f"""firsts AS (SELECT job_id, epoch_us(ts) // 1000000 AS s, min((ts, {number})) AS f FROM {table} GROUP BY 1, 2),
     walks AS (SELECT job_id, list_prepend([]::BIGINT[], list([s] ORDER BY s)) AS w FROM firsts GROUP BY 1),
     starts AS (SELECT job_id, unnest(list_reduce(w, lambda acc, x: CASE WHEN len(acc) = 0 OR x[1] - acc[-1] >= 3600 THEN list_concat(acc, x) ELSE acc END)) AS s FROM walks)"""
-add("x10_once_per_job", lambda t: lifecycle.once_per_job(t.job_events).select("job_id", "event_id", second("ts").alias("ts")), ("job_events",), f"""{D_ONCE}
+
+
+add("x10_once_per_job", lambda t: lifecycle.once_per_job(t.job_events).select("job_id", "event_id", second("ts").alias("ts")), ("job_events",), f""", {d_once('job_events', 'event_id')}
     SELECT job_id, f[2] AS event_id, {d_second('f[1]')} AS ts FROM starts JOIN firsts USING (job_id, s)""")
 
 # --- streams ---------------------------------------------------------------------------------------------
@@ -389,25 +393,27 @@ def streamed_receipts(t):
 
 add("r1_stream_receipts", streamed_receipts)
 add("r2_stream_dedup_corrections", lambda t: streams.run_to_table(
-        streams.dedup_corrections(event_stream(t, "corrections")).select("job_id"), "dedup"), ("corrections",), "SELECT DISTINCT job_id FROM corrections")
+        streams.dedup_corrections(event_stream(t, "corrections"), order="correction_id"), "dedup", rocksdb=True).select(
+        "job_id", "correction_id", second("ts").alias("ts")), ("corrections",), f""", {d_once('corrections', 'correction_id')}
+    SELECT job_id, f[2] AS correction_id, {d_second('f[1]')} AS ts FROM starts JOIN firsts USING (job_id, s)
+    WHERE (s + 1) * 1000 <= (SELECT max(epoch_ms(ts)) FROM corrections) - 3600000""")
 add("r3_stream_job_expiry", lambda t: streams.run_to_table(streams.stream_job_expiry(event_stream(t, "job_events")), "expiry").select(
         "job_id", "status", second("expired_at").alias("expired_at")), ("job_events",), f"""
     , firsts AS (SELECT job_id, min(epoch_ms(ts)) AS first FROM job_events GROUP BY 1),
     closed AS (SELECT DISTINCT job_id FROM job_events JOIN firsts USING (job_id) WHERE status IN ('confirmed', 'discarded') AND epoch_ms(ts) <= first + 14400000)
     SELECT job_id, 'abandoned' AS status, {d_second('make_timestamp((first + 14400000) * 1000)')} AS expired_at FROM firsts
-    WHERE job_id NOT IN (SELECT job_id FROM closed) AND first + 14400000 < (SELECT max(epoch_ms(ts)) FROM job_events) - 3600000""")
+    WHERE job_id NOT IN (SELECT job_id FROM closed) AND (first // 3600000 + 1) * 3600000 + 14400000 < (SELECT max(epoch_ms(ts)) FROM job_events) - 3600000""")
 
 
 def streamed_stats(t):
-    def counts(batch):
-        return learning.correction_counts(learning.field_corrected(batch))
-
-    steps = streams.stream_template_stats(event_stream(t, "corrections"), counts)
+    steps = streams.stream_template_stats(event_stream(t, "corrections"), learning.field_corrected)
     return seeded(t).join(steps, "template_id").select(
-        "template_id", "n", F.round(F.col("success_rate") * F.col("scale") + F.col("shift"), 6).alias("success_rate"))
+        "template_id", "n", F.round(F.col("success_rate") * F.col("scale") + F.col("success_shift"), 6).alias("success_rate"),
+        F.round(F.col("override_rate") * F.col("scale") + F.col("override_shift"), 6).alias("override_rate"))
 
 
 add("r4_stream_template_stats", streamed_stats, ("corrections",), f""", {D_COMPARED},
     o AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY ts DESC, correction_id DESC) - 1 AS back FROM counts)
-    SELECT template_id, count(*) AS n, round((template_id * 5 % 101) * pow(0.7::DOUBLE, count(*)) + sum(0.3::DOUBLE * 100 * correct / total * pow(0.7::DOUBLE, back)), 6) AS success_rate
+    SELECT template_id, count(*) AS n, round((template_id * 5 % 101) * pow(0.7::DOUBLE, count(*)) + sum(0.3::DOUBLE * 100 * correct / total * pow(0.7::DOUBLE, back)), 6) AS success_rate,
+      round(10 * pow(0.7::DOUBLE, count(*)) + sum(0.3::DOUBLE * 100 * (total - correct) / total * pow(0.7::DOUBLE, back)), 6) AS override_rate
     FROM o GROUP BY template_id""")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.expr import instant
 from ..functions.ledger import file_extension, format_minute
+from ..sources.scratch import written
 from .receipts import owned_by
 
 CLOSED = ("confirmed", "discarded")
@@ -159,24 +160,48 @@ def discard_jobs(requests: DataFrame, jobs: DataFrame, now: Column) -> DataFrame
         "metadata", F.when(gone, stamped).otherwise(F.col("metadata")))
 
 
+def next_requests(at: DataFrame, seconds: int, key: str) -> DataFrame:
+    """(key, second, next): the first request of the job that comes ``seconds`` later or after that, at most two slots on.
+
+    ``at`` holds distinct (key, second, slot), a slot being a stretch of ``seconds``. A merge of the moments asked for
+    with the next slot's requests finds most; the others take the first one of the slot after. If that is empty, too, the
+    next request follows a gap and needs no pointer.
+    """
+    asks = at.select(key, (F.col("slot") + 1).alias("slot"), (F.col("second") + seconds).alias("moment"), F.col("second").alias("asked"))
+    there = at.select(key, "slot", F.col("second").alias("moment"), F.lit(None).cast("long").alias("asked"))
+    later = Window.partitionBy(key, "slot").orderBy("moment", F.col("asked").isNull()).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    hit = F.first(F.when(F.col("asked").isNull(), F.col("moment")), ignorenulls=True).over(later)
+    found = asks.unionByName(there).withColumn("hit", hit).where("asked is not null")
+    beyond = at.groupBy(key, (F.col("slot") - 1).alias("slot")).agg(F.min("second").alias("beyond"))
+    return found.join(beyond, [key, "slot"], "left").select(key, F.col("asked").alias("second"), F.coalesce("hit", "beyond").alias("next"))
+
+
 def once_per_job(requests: DataFrame, seconds: int = 3600, key: str = "job_id", ts: str = "ts",
                  order: str = "event_id") -> DataFrame:
     """Requests that count: one starts a quiet hour in which others of its job are skipped.
 
-    A request that follows a gap of an hour always counts, so such gaps cut a
-    job's requests into bursts, and only within a burst is the next start found
-    step by step, over the burst's distinct seconds.
+    A request after a gap of an hour always counts. From there, the next that counts is the first one an hour later,
+    and so on. Each request points to that one, found within slots of an hour, and the requests that count are those
+    that pointers reach from the gaps: pointers are doubled and followed until they reach nothing new, in as many
+    rounds as the logarithm of the longest chain. No step gathers a job, only its distinct seconds of two slots, so a
+    job with a third of all requests is spread over its hours. Requests without a time don't count.
     """
     firsts = requests.groupBy(key, F.unix_seconds(instant(ts)).alias("second")).agg(F.min(F.struct(ts, order)).alias("first"))
-    in_order = Window.partitionBy(key).orderBy("second")
-    opens = F.coalesce((F.col("second") - F.lag("second").over(in_order) >= seconds).cast("int"), F.lit(1))
-    bursts = firsts.withColumn("opens", opens).withColumn("burst", F.sum("opens").over(in_order))
-    nothing = F.array().cast("array<bigint>")
-    starts = F.aggregate("walk", nothing, lambda acc, s: F.when(
-        (F.size(acc) == 0) | (s - F.element_at(acc, -1) >= seconds), F.concat(acc, F.array(s))).otherwise(acc))
-    kept = bursts.groupBy(key, "burst").agg(F.array_sort(F.collect_list("second")).alias("walk")).select(
-        key, F.explode(starts).alias("second"))
-    return kept.join(firsts, [key, "second"]).select(key, f"first.{ts}", f"first.{order}")
+    firsts = written(firsts.where(F.col("second").isNotNull()), "requests")
+    at = firsts.select(key, "second", F.floor(F.col("second") / seconds).alias("slot"))
+    before = at.groupBy(key, (F.col("slot") + 1).alias("slot")).agg(F.max("second").alias("ended"))
+    previous = F.coalesce(F.lag("second").over(Window.partitionBy(key, "slot").orderBy("second")), F.col("ended"))
+    opens = previous.isNull() | (F.col("second") - previous >= seconds)
+    reached = written(at.join(before, [key, "slot"], "left").withColumn("opens", opens).where("opens").select(key, "second"), "reached")
+    jumps = written(next_requests(at, seconds, key).where("next is not null"), "jumps")
+    while True:
+        far = reached.join(jumps, [key, "second"]).select(key, F.col("next").alias("second")).distinct()
+        new = written(far.join(reached, [key, "second"], "left_anti"), "reached")
+        if new.isEmpty():
+            return reached.join(firsts, [key, "second"]).select(key, f"first.{ts}", f"first.{order}")
+        reached = reached.unionByName(new)
+        twice = jumps.select(key, F.col("second").alias("next"), F.col("next").alias("far"))
+        jumps = written(jumps.join(twice, [key, "next"]).select(key, "second", F.col("far").alias("next")), "jumps")
 
 
 # --- sweeps ---------------------------------------------------------------------------------

@@ -6,15 +6,19 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from ..functions import fixed
 from ..functions.expr import instant
 from ..operators.learning import affine_fold
 from ..session import shared_dir
+from ..sources.scratch import written
 
-EXPIRY_MS = 4 * 3600 * 1000
+EXPIRY_HOURS = 4
 CLOSING = ("confirmed", "discarded")
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def _run(writer, path: str):
@@ -40,72 +44,175 @@ def stream_receipts(source: DataFrame, parse: Callable[[DataFrame], DataFrame],
     return spark.read.parquet(f"{path}/out")
 
 
-def dedup_corrections(source: DataFrame, key: str = "job_id", ts: str = "ts") -> DataFrame:
-    """First correction of each job within an hour of watermark."""
-    return source.withColumn(ts, instant(ts)).withWatermark(ts, "1 hour").dropDuplicatesWithinWatermark([key])
+class _QuietHour(StatefulProcessor):
+    """State of a key: the first request of each second that the watermark hasn't passed, and the last one that counted.
 
+    Requests wait until no earlier one can arrive, so where micro-batches begin and end has no effect.
+    """
+
+    def __init__(self, seconds: int, columns: list[str]):
+        self.seconds, self.columns = seconds, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getMapState("waiting", "second long", "ts timestamp, number long")
+        self.last = handle.getValueState("last", "second long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first: dict[int, tuple] = {}
+        for frame in rows:
+            for ts, number in zip(frame[self.columns[1]], frame[self.columns[2]]):
+                second = int(ts.value // 10**9)
+                first[second] = min(first.get(second, (ts, number)), (ts, number))
+        for second, (ts, number) in first.items():
+            if self.waiting.containsKey((second,)):
+                old = self.waiting.getValue((second,))
+                ts, number = min((pd.Timestamp(old[0]), old[1]), (ts, number))
+            else:
+                self.handle.registerTimer(1000 * (second + 1))
+            self.waiting.updateValue((second,), (ts.to_pydatetime(), int(number)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        second = expiredTimerInfo.getExpiryTimeInMs() // 1000 - 1
+        last = self.last.get()[0] if self.last.exists() else None
+        if self.waiting.containsKey((second,)):
+            # timers of a key may come in any order: all that the watermark has passed are taken at once, in theirs
+            passed = timerValues.getCurrentWatermarkInMs() // 1000
+            due = sorted(s for (s,) in self.waiting.keys() if s < passed)
+            out = []
+            for s in due:
+                if last is None or s - last >= self.seconds:
+                    last = s
+                    out.append((*key, *self.waiting.getValue((s,))))
+                self.waiting.removeKey((s,))
+            if last is not None:
+                self.last.update((last,))
+                self.handle.registerTimer(1000 * (last + 1 + self.seconds))
+            if out:
+                yield pd.DataFrame(out, columns=self.columns)
+        elif last is not None and second - last >= self.seconds:
+            self.last.clear()  # too long ago to silence any request that is still to come
+
+
+def dedup_corrections(source: DataFrame, key: str = "job_id", ts: str = "ts", order: str = "event_id", seconds: int = 3600,
+                      delay: str = "1 hour") -> DataFrame:
+    """The requests that count, as ``once_per_job`` finds them, of a stream: (key, ts, order).
+
+    A request is decided once the watermark, ``delay`` behind the latest one, has passed its second; later ones are
+    dropped. ``order`` is a number that ranks requests of equal time. Needs ``run_to_table`` with ``rocksdb``.
+    """
+    seen = source.select(key, instant(ts).alias(ts), F.col(order).cast("long").alias(order)).where(F.col(ts).isNotNull()).withWatermark(ts, delay)
+    return seen.groupBy(key).transformWithStateInPandas(
+        _QuietHour(seconds, [key, ts, order]), StructType([seen.schema[c] for c in (key, ts, order)]), "append", "EventTime")
 
-def run_to_table(stream: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
-    """Run a stream over what is there and return its table."""
+
+def run_to_table(stream: DataFrame, purpose: str, path: str | None = None, rocksdb: bool = False) -> DataFrame:
+    """Run a stream over what is there and return its table; ``rocksdb`` for streams with timers of their own."""
     spark = stream.sparkSession
     path = path or shared_dir(spark, purpose)
-    _run(stream.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), path)
+    before = spark.conf.get(STATE_STORE)
+    if rocksdb:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        _run(stream.writeStream.format("parquet").option("path", f"{path}/out").outputMode("append"), path)
+    finally:
+        spark.conf.set(STATE_STORE, before)
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
 
-def _expire(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """State: first event time in ms and whether the job was closed in time."""
-    (job_id,) = key
-    if state.hasTimedOut:
-        first, closed = state.get
-        state.remove()
-        if not closed:
-            yield pd.DataFrame({"job_id": [job_id], "status": ["abandoned"],
-                                "expired_at": [pd.Timestamp(first + EXPIRY_MS, unit="ms")]})
-        return
-    events = pd.concat(list(frames), ignore_index=True)
-    ms = events["ts"].astype("datetime64[ms]").astype("int64")
-    first, closed = state.get if state.exists else (int(ms.min()), False)
-    first = min(first, int(ms.min()))
-    in_time = events["status"].isin(CLOSING) & (ms <= first + EXPIRY_MS)
-    state.update((first, bool(closed or in_time.any())))
-    due = first + EXPIRY_MS
-    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-    return
-    yield
-
-
-def stream_job_expiry(events: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Jobs with no confirmation or discard within four hours of their first event,
-    emitted when the watermark passes that time."""
-    watched = events.select("job_id", "status", instant("ts").alias("ts")).withWatermark("ts", delay)
-    return watched.groupBy("job_id").applyInPandasWithState(
-        _expire, "job_id string, status string, expired_at timestamp", "first long, closed boolean",
-        "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_template_stats(source: DataFrame, counts: Callable[[DataFrame], DataFrame], path: str | None = None) -> DataFrame:
-    """Success rate steps per template, kept up by micro-batch.
-
-    A micro-batch's corrections fold to one step ``r -> scale * r + shift`` per
-    template, with the fold that also serves batches, so a template with most
-    corrections is no single task's load. Steps of the batches compose in order.
-    """
-    def step(batch: DataFrame) -> DataFrame:
-        return affine_fold(counts(batch), ["template_id"], F.lit(fixed.KEEP), F.col("pct_correct") * fixed.NEW,
-                           "ts", "correction_id")
+def stream_job_expiry(events: DataFrame, delay: str = "1 hour", lifetime_hours: int = 24) -> DataFrame:
+    """Jobs with no confirmation or discard within four hours of their first event, emitted once the watermark says so.
 
+    Events of a job are first summed by hour: the first event and the first one that closes. An hour is joined with
+    the job's hours from ``lifetime_hours`` before it to four hours after; one that meets neither an earlier event nor
+    a closing one in time holds the first event of an abandoned job. Both are joins and sums of Spark's own, so the
+    result is the same wherever micro-batches begin and end, and a job with very many events has one row an hour.
+    """
+    seen = events.select("job_id", "status", instant("ts").alias("ts")).withWatermark("ts", delay)
+    closes = F.when(F.col("status").isin(*CLOSING), F.col("ts"))
+    hours = seen.groupBy("job_id", F.window("ts", "1 hour").alias("hour")).agg(F.min("ts").alias("first"), F.min(closes).alias("closed"))
+    hours = hours.select("job_id", "first", "closed", F.window_time("hour").alias("until"))
+    a, b = hours.alias("a"), hours.alias("b")
+    due = F.expr(f"a.first + INTERVAL {EXPIRY_HOURS} HOURS")
+    near = F.expr(f"b.until >= a.until - INTERVAL {lifetime_hours} HOURS AND b.until <= a.until + INTERVAL {EXPIRY_HOURS} HOURS")
+    saved = (F.col("b.first") < F.col("a.first")) | (F.col("b.closed") <= due)
+    joined = a.join(b, (F.col("a.job_id") == F.col("b.job_id")) & near & saved, "leftOuter")
+    return joined.where(F.col("b.job_id").isNull()).select("a.job_id", F.lit("abandoned").alias("status"), due.alias("expired_at"))
+
+
+def stream_template_stats(source: DataFrame, compare: Callable[[DataFrame], DataFrame], path: str | None = None,
+                          late_hours: int | None = None) -> DataFrame:
+    """(template_id, n, scale, success_shift, override_shift): W1's steps, kept up by micro-batch.
+
+    ``compare`` turns corrections into compared fields. The state is a table with a row for each correction, where
+    fields that come in different micro-batches add up; a micro-batch reads the state that the one before it left and
+    writes its own, so one that is repeated after a failure changes nothing. Late corrections take their place in the
+    order of time. With ``late_hours``, corrections that are so much older than the latest one are folded to one row
+    per template and leave the table; what comes later still joins on behind them.
+    """
     spark = source.sparkSession
     path = path or shared_dir(spark, "template-stats")
-    stream_each_batch(source, step, path)
-    return compose_steps(spark.read.parquet(f"{path}/out"))
-
-
-def compose_steps(steps: DataFrame) -> DataFrame:
-    """One step per template from those of all micro-batches."""
-    ordered = F.array_sort(F.collect_list(F.struct("batch", "scale", "shift")))
-    start = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"))
-    whole = F.aggregate(ordered, start, lambda acc, s: F.struct(
-        (acc["scale"] * s["scale"]).alias("scale"), (acc["shift"] * s["scale"] + s["shift"]).alias("shift")))
-    return steps.groupBy("template_id").agg(whole.alias("s"), F.sum("n").alias("n")).select(
-        "template_id", "n", "s.scale", "s.shift")
+    ran = []
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = compare(batch).groupBy("template_id", "correction_id").agg(
+            F.max("ts").alias("ts"), F.count("*").alias("total"), F.count_if("is_correct").alias("correct"))
+        old = _state(spark, path, number - 1) if number else None
+        if old is None:
+            steps, folded = fresh, None
+        else:
+            steps = old.where("correction_id is not null").select(*fresh.columns).unionByName(fresh).groupBy("template_id", "correction_id").agg(
+                F.max("ts").alias("ts"), F.sum("total").alias("total"), F.sum("correct").alias("correct"))
+            folded = old.where("correction_id is null").select("template_id", *FOLDED)
+        # two folders take turns, so the state that is read isn't the one that is written
+        fold_late(steps, folded, late_hours).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/state={number % 2}")
+        ran.append(number)
+
+    _run(source.writeStream.foreachBatch(write), path)
+    return compose_steps(_state(spark, path, ran[-1] if ran else None))
+
+
+FOLDED = ("n", "scale", "success_shift", "override_shift")
+
+
+def _state(spark, path: str, number: int | None) -> DataFrame:
+    """The state that a micro-batch left; by default the last one that ran."""
+    if number is not None:
+        return spark.read.parquet(f"{path}/state={number % 2}")
+    both = spark.read.parquet(f"{path}/state=*")
+    return both.where(F.col("batch") == both.agg(F.max("batch")).scalar())
+
+
+def _fold(steps: DataFrame) -> DataFrame:
+    share = F.col("correct") / F.col("total") * 100
+    return affine_fold(steps.where("total > 0"), ["template_id"], F.lit(fixed.KEEP),
+                       {"success_shift": share * fixed.NEW, "override_shift": (100 - share) * fixed.NEW}, "ts", "correction_id")
+
+
+def _after(early: DataFrame, late: DataFrame) -> DataFrame:
+    """One row per template from the fold of its earlier steps and that of the later ones."""
+    x, y = (df.select("template_id", *[F.col(c).alias(f"{c}_{side}") for c in FOLDED]) for df, side in ((early, "x"), (late, "y")))
+    scale = F.coalesce("scale_y", F.lit(1.0))
+    shift = [(F.coalesce(f"{c}_x", F.lit(0.0)) * scale + F.coalesce(f"{c}_y", F.lit(0.0))).alias(c) for c in FOLDED[2:]]
+    n = F.coalesce("n_x", F.lit(0)) + F.coalesce("n_y", F.lit(0))
+    return x.join(y, "template_id", "full").select("template_id", n.alias("n"), (F.coalesce("scale_x", F.lit(1.0)) * scale).alias("scale"), *shift)
+
+
+def fold_late(steps: DataFrame, folded: DataFrame | None, late_hours: int | None) -> DataFrame:
+    """The state as one table: a row per correction, and one without ``correction_id`` per template for those that were folded."""
+    if late_hours is not None:
+        line = steps.agg(F.max("ts")).scalar() - F.expr(f"INTERVAL {int(late_hours)} HOURS")
+        marked = written(steps.withColumn("old", F.coalesce(F.col("ts") < line, F.lit(False))), "steps")
+        late = _fold(marked.where("old"))
+        folded = late if folded is None else _after(folded.select("template_id", *FOLDED), late)
+        steps = marked.where("not old").drop("old")
+    kinds = dict(zip(FOLDED, ("long", "double", "double", "double")))
+    steps = steps.select("template_id", "correction_id", "ts", "total", "correct", *[F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+    return steps if folded is None else steps.unionByName(folded, allowMissingColumns=True)
+
+
+def compose_steps(state: DataFrame) -> DataFrame:
+    """One step per template from the state: the folded corrections, then the others in order."""
+    recent = _fold(state.where("correction_id is not null")).select("template_id", *FOLDED)
+    return _after(state.where("correction_id is null").select("template_id", *FOLDED), recent)

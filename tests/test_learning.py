@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ledgerlift.functions.ledger import file_extension, parse_transaction_time, to_money
 from ledgerlift.operators import accounts, learning, lifecycle, receipts
 from ledgerlift.sources import readers, writers
-from ledgerlift.streaming.jobs import compose_steps
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -37,20 +36,6 @@ def test_affine_fold_equals_a_loop_for_any_bucket(spark):
             assert abs(r["edit_distance"] - want[r["template_id"]][1]) < 1e-9
 
 
-def test_steps_of_micro_batches_compose_to_the_whole_fold(spark):
-    rows = sorted(events(random.Random(6), 200, ["a"]), key=lambda r: (r[1], r[2]))
-    table = spark.createDataFrame(rows, "template_id string, ts timestamp, id int, x double, c int")
-    whole = {r["template_id"]: r for r in learning.ewma(table, ["template_id"], F.col("x"), "ts", "id").collect()}
-    parts = None
-    for number in range(4):
-        piece = spark.createDataFrame(rows[number * 50:(number + 1) * 50], table.schema)
-        step = learning.ewma(piece, ["template_id"], F.col("x"), "ts", "id").withColumn("batch", F.lit(number))
-        parts = step if parts is None else parts.unionByName(step)
-    for r in compose_steps(parts).collect():
-        assert r["n"] == whole[r["template_id"]]["n"]
-        assert abs(r["shift"] - whole[r["template_id"]]["shift"]) < 1e-9
-
-
 def test_confirmations_lift_zero_to_hundred(spark):
     templates = spark.createDataFrame([("a", 0.0), ("b", 50.0)], "template_id string, success_rate double")
     confirms = spark.createDataFrame([("a",), ("b",), ("b",)], "template_id string")
