@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, MapType, StringType
 
 from ..functions import fixed, fuzzy
 from ..functions.expr import MARK, bind, found, group, group_count, pattern, regex_escape, truthy, whole_line
+from ..functions.patterns import read_patterns
 from ..functions.text import (currency_aware, detect_currency, is_continuation, lines_of, strip,
                               word_overlap, words_needed)
 from ..schemas import ITEM
@@ -28,6 +29,7 @@ def unnest(rows: DataFrame, keep: list, array: Column, names: tuple[str, str]) -
 
 
 ITEM_PARTS = ("item_name", "quantity", "total_price", "unit_price")
+MATCHED = ITEM.removesuffix(">") + ",origin:int>"
 
 
 def ocr_lines(documents: DataFrame, key: str, text: str = "ocr_text") -> DataFrame:
@@ -91,8 +93,8 @@ def merge_passes(absolute: Column, relative: Column) -> Column:
 # --- items ------------------------------------------------------------------
 
 def compiled_items(item_patterns: Column, symbol: Column) -> Column:
-    """Item patterns with their currency variants, group counts and order."""
-    def compiled(groups: Column):
+    """Item patterns with their currency variants, group counts and order; ``origin`` numbers the pattern they stem from."""
+    def compiled(groups: Column, origin: Column):
         def build(raw: Column) -> Column:
             n = group_count(raw)
 
@@ -100,13 +102,13 @@ def compiled_items(item_patterns: Column, symbol: Column) -> Column:
                 return F.when(groups[name] <= n, F.concat(F.lit("$"), groups[name])).otherwise(F.lit(""))
 
             return F.struct(
-                whole_line(raw).alias("line_pattern"), groups.alias("groups"), n.alias("n"),
+                whole_line(raw).alias("line_pattern"), groups.alias("groups"), n.alias("n"), origin.alias("origin"),
                 F.concat(*[x for name in ITEM_PARTS for x in (F.lit(MARK), part(name))]).alias("reading"))
 
         return build
 
-    return F.flatten(F.transform(item_patterns, lambda p: F.transform(
-        currency_aware(F.array(p["pattern"]), symbol), compiled(p["groups"]))))
+    return F.flatten(F.transform(item_patterns, lambda p, i: F.transform(
+        currency_aware(F.array(p["pattern"]), symbol), compiled(p["groups"], i))))
 
 
 def unit_price(total: Column, quantity: Column) -> Column:
@@ -126,7 +128,8 @@ def match_item(line: Column, p: Column) -> Column:
         both = F.map_contains_key(p["groups"], "total_price") & has_quantity
         return F.when(F.size(parts) > 1, F.struct(
             part("item_name").alias("item_name"), quantity.alias("quantity"), part("total_price").alias("total_price"),
-            F.when(both, unit_price(part("total_price"), quantity)).otherwise(part("unit_price")).alias("unit_price")))
+            F.when(both, unit_price(part("total_price"), quantity)).otherwise(part("unit_price")).alias("unit_price"),
+            p["origin"].alias("origin")))
 
     return bind(F.split(F.regexp_replace(line, p["line_pattern"], p["reading"]), MARK), build)
 
@@ -134,7 +137,7 @@ def match_item(line: Column, p: Column) -> Column:
 def item_matches(lines: Column, compiled: Column) -> Column:
     """Per line the item read by the first pattern that fits. Patterns form the
     outer loop, so each is compiled once for all lines of the document."""
-    start = F.transform(lines, lambda _: F.lit(None).cast(ITEM))
+    start = F.transform(lines, lambda _: F.lit(None).cast(MATCHED))
     return F.aggregate(compiled, start, lambda acc, p: F.zip_with(
         acc, lines, lambda done, line: F.coalesce(done, match_item(line, p))))
 
@@ -206,18 +209,55 @@ def last_item_line(rows: Column) -> Column:
     return F.array_max(F.transform(rows, lambda r: r["pos"]))
 
 
+# --- templates ready for extraction -------------------------------------------
+
+def template_patterns(templates: DataFrame, *columns: str) -> DataFrame:
+    """(template_id, pattern) of all patterns in the named columns."""
+    lists = {"field_extractors": F.flatten(F.transform(F.map_values("field_extractors"), lambda e: F.coalesce(e["patterns"], F.array().cast("array<string>")))),
+             "item_patterns": F.transform("item_patterns", lambda p: p["pattern"])}
+    every = F.concat(*[F.coalesce(lists[c], F.array().cast("array<string>")) for c in columns])
+    return templates.select("template_id", F.explode(every).alias("pattern")).where("pattern is not null").distinct()
+
+
+def pattern_faults(templates: DataFrame, *columns: str) -> DataFrame:
+    """(template_id, readings, faults): each template's patterns as the JVM reads them, and those it can't, with the reason.
+    Every distinct pattern is looked at once, whatever the number of templates that have it."""
+    used = template_patterns(templates, *columns)
+    read = used.join(read_patterns(used), "pattern")
+    fault = F.when(F.col("reason").isNotNull(), F.struct("pattern", "reason"))
+    return read.groupBy("template_id").agg(F.map_from_entries(F.collect_list(F.struct("pattern", "java"))).alias("readings"),
+                                           F.array_sort(F.collect_list(fault)).alias("faults"))
+
+
+def prepare_templates(templates: DataFrame) -> DataFrame:
+    """Templates with patterns that the engine can run, and ``faults``: those set aside, each with its reason.
+
+    Extraction takes templates prepared like this; a pattern that the engine rejects would end the whole job. Patterns
+    of multi-line extractors aren't run, only read, and stay.
+    """
+    ready = templates.join(pattern_faults(templates, "field_extractors", "item_patterns"), "template_id", "left")
+    reading = lambda p: F.try_element_at("readings", p)
+    fields = F.transform_values("field_extractors", lambda k, e: e.withField("patterns", F.when(
+        F.coalesce(e["is_fuzzy_haystack"], F.lit(False)), e["patterns"]).otherwise(F.transform(e["patterns"], reading))))
+    items = F.filter(F.transform("item_patterns", lambda p: p.withField("pattern", reading(p["pattern"]))), lambda p: p["pattern"].isNotNull())
+    none = F.array().cast("array<struct<pattern:string,reason:string>>")
+    return ready.select(*[c for c in templates.columns if c not in ("field_extractors", "item_patterns", "faults")],
+                        fields.alias("field_extractors"), items.alias("item_patterns"), F.coalesce("faults", none).alias("faults"))
+
+
 # --- one template on one document -------------------------------------------
 
 def extract(lines: Column, template: Column, currency: Column) -> Column:
     """Apply a template to a document: fields, items and the last item line.
 
     ``template`` needs field_extractors, has_line_items, line_items_start_line
-    and item_patterns.
+    and item_patterns, prepared by ``prepare_templates`` if they come from users.
     """
     def with_patterns(extractors: Column) -> Column:
         def with_matches(matches: Column) -> Column:
             has_items = F.coalesce(template["has_line_items"], F.lit(True)) & (F.size(template["item_patterns"]) > 0)
-            first = item_matches(lines, compiled_items(F.slice(template["item_patterns"], 1, 1), currency["symbol"]))
+            # forms of the first pattern are tried before all others, so a line that fits one is marked by it
+            first = F.transform(matches, lambda m: F.when(m["origin"] == 0, m))
             start = F.when(has_items, item_start_line(template["line_items_start_line"], extractors, first))
 
             def with_rows(rows: Column) -> Column:

@@ -10,9 +10,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, fuzzy
 from ..functions.expr import first_token
+from ..functions.patterns import INVALID
 from ..functions.text import document_head, strip
 from ..sources.scratch import written
-from .extraction import correspondence, extract, extraction_score, extractor_list, unnest
+from .extraction import correspondence, extract, extraction_score, extractor_list, prepare_templates, unnest
 
 #: About so many bytes of names make a slice, which is what one task holds of a merchant list.
 SLICE_BYTES = 4 * 1024 * 1024
@@ -383,9 +384,14 @@ def best_template(documents: DataFrame, templates: DataFrame, fill: Callable[...
 
     ``documents`` holds ``lines``, ``currency``, ``hint`` and ``head``. Candidates
     arrive as an array of at most five, so each document tries them and chooses
-    in its own row. ``fill`` adds the values of multi-line extractors.
+    in its own row. ``fill`` adds the values of multi-line extractors. Patterns are
+    prepared first; a document with a candidate that holds no regular expression
+    where one should be gets no template, and others aren't touched by it.
     """
-    tried = attach_candidates(documents, templates, parts=TEMPLATE_PARTS, **options).withColumn(
+    ready = written(prepare_templates(templates), "templates")
+    tried = attach_candidates(documents, ready, parts=(*TEMPLATE_PARTS, "faults"), **options)
+    broken = F.exists("candidates", lambda c: F.exists(c["faults"], lambda f: f["reason"] == INVALID))
+    tried = tried.withColumn("candidates", F.when(~F.coalesce(broken, F.lit(False)), F.col("candidates"))).withColumn(
         "tried", F.transform("candidates", lambda c: F.struct(
             c["template_id"].alias("template_id"), c["cand_ord"].alias("cand_ord"),
             extract(F.col("lines"), c, F.col("currency")).alias("out"))))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import BooleanType
 
 from ..functions import fixed
 from ..functions.expr import truthy
+from .extraction import pattern_faults
 
 
 def violations(**rules: Column) -> Column:
@@ -25,18 +22,14 @@ def check_currency_info(info: Column) -> Column:
         symbol_too_long=F.length(info["symbol"]) > 3)
 
 
-@F.pandas_udf(BooleanType())
-def compiles(patterns: pd.Series) -> pd.Series:
-    """Whether all patterns of a list are regular expressions."""
-    def good(texts) -> bool:
-        try:
-            for text in texts:
-                re.compile(text)
-        except (re.error, TypeError):
-            return False
-        return True
-
-    return pd.Series([True if texts is None else good(texts) for texts in patterns], dtype="bool")
+def _with_pattern_faults(templates: DataFrame, found: Column, column: str) -> DataFrame:
+    """Adds ``violations``: those ``found``, then what the engine says of the patterns in a column. ``pattern_invalid``
+    is no regular expression, ``pattern_unsupported`` one that has no equal on the JVM and would be set aside."""
+    reasons = pattern_faults(templates, column).select("template_id", F.transform(
+        F.array_distinct(F.transform("faults", lambda f: f["reason"])), lambda r: F.concat(F.lit("pattern_"), r)).alias("reasons_"))
+    named = templates.withColumn("violations", found).join(reasons, "template_id", "left")
+    every = F.concat("violations", F.coalesce(F.array_sort("reasons_"), F.array().cast("array<string>")))
+    return named.select(*templates.columns, every.alias("violations"))
 
 
 def check_extractors(templates: DataFrame) -> DataFrame:
@@ -47,9 +40,7 @@ def check_extractors(templates: DataFrame) -> DataFrame:
         pattern_missing=e["value"]["patterns"].isNull(),
         position_missing=e["value"]["line"].isNull() & e["value"]["offset_from_last_item"].isNull(),
     ), lambda name: F.concat(e["key"], F.lit(":"), name))))
-    patterns = F.flatten(F.transform(F.map_values("field_extractors"), lambda v: F.coalesce(v["patterns"], F.array())))
-    broken = F.when(~compiles(patterns), F.array(F.lit("pattern_invalid"))).otherwise(F.array().cast("array<string>"))
-    return templates.withColumn("violations", F.concat(rows, broken))
+    return _with_pattern_faults(templates, rows, "field_extractors")
 
 
 def check_item_patterns(templates: DataFrame) -> DataFrame:
@@ -58,9 +49,7 @@ def check_item_patterns(templates: DataFrame) -> DataFrame:
         pattern_missing=p["pattern"].isNull(),
         groups_missing=p["groups"].isNull(),
         group_index=F.exists(F.map_values(p["groups"]), lambda i: i.isNull() | (i < 1)))))
-    broken = F.when(~compiles(F.transform("item_patterns", lambda p: F.coalesce(p["pattern"], F.lit("")))),
-                    F.array(F.lit("pattern_invalid"))).otherwise(F.array().cast("array<string>"))
-    return templates.withColumn("violations", F.concat(rows, broken))
+    return _with_pattern_faults(templates, rows, "item_patterns")
 
 
 def _offenders(values: Column, bad) -> Column:
