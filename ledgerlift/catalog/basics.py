@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from .. import schemas
 from ..functions import expr, fixed, ledger
 from ..operators import accounts, lifecycle, matching, receipts
-from ..sources import readers
+from ..session import shared_dir
+from ..sources import readers, writers
+from ..sources.scratch import written
 from .registry import add, d_minute, d_second, listed, now, second, text
 
 # --- scans -------------------------------------------------------------------------
@@ -36,14 +40,29 @@ add("s6_admit_uploads", lambda t: readers.admit_uploads(t.landing_files).select(
       CASE WHEN length > 10485760 THEN 'size' END,
       CASE WHEN coalesce({TYPE_CASE}, '') NOT IN ('image/jpeg','image/png','application/pdf','image/tiff') THEN 'type' END],
       lambda x: x IS NOT NULL) AS r FROM landing_files)""")
+def landed_accounts(t):
+    """Account tables written to a folder and scanned from there with their schemas."""
+    base = shared_dir(t.spark, "accounts")
+    tables = {"users": t.users, "profiles": t.profiles, "settings": t.settings, "tokens": t.tokens}
+    for name, table in tables.items():
+        known = schemas_of(name)
+        table.select(*[F.col(c).cast(kind).alias(c) for c, kind in known.items() if c in table.columns]).write.parquet(f"{base}/{name}")
+    return readers.scan_accounts(t.spark, base)
+
+
+def schemas_of(name):
+    ddl = {"users": schemas.USER, "profiles": schemas.PROFILE, "settings": schemas.SETTINGS, "tokens": schemas.REVOKED_TOKEN}[name]
+    return {f.name: f.dataType for f in StructType.fromDDL(ddl.strip()).fields}
+
+
 add("s7_scan_accounts", lambda t: readers.account_sizes(
-        {"users": t.users, "profiles": t.profiles, "settings": t.settings, "tokens": t.tokens},
-        {"users": "user_id", "profiles": "profile_id", "settings": "user_id", "tokens": "token_jti"}),
+        landed_accounts(t), {"users": "user_id", "profiles": "profile_id", "settings": "user_id", "tokens": "token_jti"},
+        {"users": "email", "profiles": "manager", "settings": "monthly_expense_limit", "tokens": "user_id"}),
     ("users", "profiles", "settings", "tokens"), """
-    SELECT 'users' AS table_name, count(*) AS n, count(DISTINCT user_id) AS n_keys FROM users
-    UNION ALL SELECT 'profiles', count(*), count(DISTINCT profile_id) FROM profiles
-    UNION ALL SELECT 'settings', count(*), count(DISTINCT user_id) FROM settings
-    UNION ALL SELECT 'tokens', count(*), count(DISTINCT token_jti) FROM tokens""")
+    SELECT 'users' AS table_name, count(*) AS n, count(DISTINCT CAST(user_id AS VARCHAR)) AS n_keys, max(CAST(email AS VARCHAR)) AS last FROM users
+    UNION ALL SELECT 'profiles', count(*), count(DISTINCT profile_id), max(CAST(manager AS VARCHAR)) FROM profiles
+    UNION ALL SELECT 'settings', count(*), count(DISTINCT user_id), CAST(max(CAST(monthly_expense_limit AS DECIMAL(10,2))) AS VARCHAR) FROM settings
+    UNION ALL SELECT 'tokens', count(*), count(DISTINCT token_jti), max(user_id) FROM tokens""")
 add("s8_seed_generic_template", lambda t: readers.seed_generic_template(t.templates).select(
         "template_id", "merchant_name", F.size("field_extractors").alias("n_extractors"), F.size("item_patterns").alias("n_patterns")),
     ("templates",), """SELECT template_id, merchant_name, CAST(cardinality(field_extractors) AS INT) AS n_extractors,
@@ -82,23 +101,43 @@ add("k1_export_csv", lambda t: receipts.export_csv(t.receipts), ("receipts",), f
       category AS "Category", description AS "Description", CAST(total_amount AS VARCHAR) AS "Total Amount",
       currency AS "Currency", CASE WHEN tax_amount <> 0 THEN CAST(tax_amount AS VARCHAR) ELSE '' END AS "Tax Amount",
       status AS "Status" FROM receipts""")
-add("k2_export_json", lambda t: receipts.export_json(t.receipts), ("receipts",), """
+def full_receipts(t):
+    """Receipts with the columns that come from the file and the job, made up from the id; every ninth has no items."""
+    n = F.col("receipt_id")
+    return t.receipts.withColumns({
+        "merchant_address": F.when(n % 3 != 0, F.concat(n.cast("string"), F.lit(" High Street"))), "file_ref": F.concat(F.lit("f"), n.cast("string")),
+        "file_ext": F.when(n % 2 == 0, "pdf").otherwise("jpg"), "latitude": F.when(n % 5 != 0, (n % 180 - 90) + F.lit(0.5)),
+        "longitude": F.when(n % 5 != 0, (n % 360 - 180) + F.lit(0.25)), "location_name": F.when(n % 5 != 0, F.concat(F.lit("place "), (n % 7).cast("string"))),
+        "template_correspondence": (n % 4) / F.lit(4.0), "updated_at": F.col("created_at"),
+        "cost_items": F.when(n % 9 != 4, F.transform("cost_items", lambda i: i.withField("unit_price", i["total_price"])))})
+
+
+def receipt_files(t):
+    """A file for two of three receipts."""
+    return t.receipts.where("receipt_id % 3 <> 1").select(
+        F.concat(F.lit("f"), F.col("receipt_id").cast("string")).alias("file_ref"), F.encode("merchant_name", "UTF-8").alias("content"))
+
+
+D_STAMP = "strftime({c}, '%Y-%m-%dT%H:%M:%SZ')"
+add("k2_export_json", lambda t: receipts.export_json(full_receipts(t), receipt_files(t)), ("receipts",), f"""
     SELECT receipt_id, CAST(json_object('id', CAST(receipt_id AS VARCHAR), 'template_used', template_used,
-      'merchant_name', merchant_name, 'transaction_time', strftime(transaction_time, '%Y-%m-%dT%H:%M:%SZ'),
+      'merchant_name', merchant_name, 'transaction_time', {D_STAMP.format(c='transaction_time')},
+      'merchant_address', CASE WHEN receipt_id % 3 <> 0 THEN CAST(receipt_id AS VARCHAR) || ' High Street' END,
       'reference_number', reference_number, 'tax_amount', CAST(tax_amount AS VARCHAR), 'category', category,
       'description', description, 'total_amount', CAST(total_amount AS VARCHAR),
       'subtotal_amount', CAST(subtotal_amount AS VARCHAR), 'currency', currency, 'employee', CAST(employee AS VARCHAR),
-      'status', status, 'approver', CAST(approver AS VARCHAR),
-      'cost_items', list_transform(cost_items, lambda i: {'item_name': i.item_name, 'quantity': i.quantity,
-        'total_price': i.total_price})) AS VARCHAR) AS json FROM receipts""")
+      'status', status, 'approver', CAST(approver AS VARCHAR), 'upload_date', {D_STAMP.format(c='upload_date')},
+      'file', CASE WHEN receipt_id % 3 <> 1 THEN base64(encode(merchant_name)) END, 'file_ext', CASE WHEN receipt_id % 2 = 0 THEN 'pdf' ELSE 'jpg' END,
+      'latitude', CASE WHEN receipt_id % 5 <> 0 THEN receipt_id % 180 - 90 + 0.5::DOUBLE END,
+      'longitude', CASE WHEN receipt_id % 5 <> 0 THEN receipt_id % 360 - 180 + 0.25::DOUBLE END,
+      'location_name', CASE WHEN receipt_id % 5 <> 0 THEN 'place ' || CAST(receipt_id % 7 AS VARCHAR) END,
+      'template_correspondence', (receipt_id % 4) / 4.0::DOUBLE, 'created_at', {D_STAMP.format(c='created_at')}, 'updated_at', {D_STAMP.format(c='created_at')},
+      'cost_items', CASE WHEN receipt_id % 9 <> 4 THEN list_transform(cost_items, lambda i: {{'item_name': i.item_name, 'unit_price': CAST(i.total_price AS VARCHAR),
+        'quantity': CAST(i.quantity AS VARCHAR), 'total_price': CAST(i.total_price AS VARCHAR)}}) ELSE [] END) AS VARCHAR) AS json FROM receipts""")
 CLIENT = ["CAST(receipt_id AS VARCHAR)", "merchant_name", d_minute("transaction_time"), "''", "reference_number",
           "CAST(total_amount AS VARCHAR)", "description", "CAST(tax_amount AS VARCHAR)", "category"]
 add("k3_export_client_csv", lambda t: receipts.quoted_line(receipts.export_client_csv(t.receipts)), ("receipts",),
     "SELECT " + " || ',' || ".join("'\"' || replace(coalesce(" + c + ", ''), '\"', '\"\"') || '\"'" for c in CLIENT) + " AS line FROM receipts")
-add("k4_write_receipts", lambda t: receipts.new_receipts(
-        t.merge_inputs.select("job_id", "user_id"), t.jobs.where("status = 'confirmed'").select("job_id")),
-    ("merge_inputs", "jobs"), """SELECT job_id, user_id FROM merge_inputs m
-    WHERE NOT EXISTS (SELECT 1 FROM jobs j WHERE j.status = 'confirmed' AND j.job_id = m.job_id)""")
 add("k5_archive_manifest", lambda t: lifecycle.archive_manifest(t.jobs, t.landing_files, now("2024-02-01 00:00:00")).select(
         "job_id", "user_id", "file_type", text("length"), "archive_status", "error"),
     ("jobs", "landing_files"), """SELECT j.job_id, user_id, file_type, CAST(length AS VARCHAR) AS length,
@@ -110,23 +149,33 @@ add("k6_encode_payload", lambda t: readers.encode_payload(t.landing_files).selec
 
 
 def receipt_changes(t):
-    ops = F.when(F.col("receipt_id") % 3 == 0, "update").when(F.col("receipt_id") % 3 == 1, "delete").otherwise("update")
-    wrong_owner = F.when(F.col("receipt_id") % 5 == 0, F.col("employee") + 1).otherwise(F.col("employee"))
-    changed = t.receipts.where("status = 'pending'").select(
-        "receipt_id", wrong_owner.alias("employee"), ops.alias("op"), F.lit(None).cast("string").alias("category"),
-        F.concat(F.lit("new "), F.coalesce("description", F.lit(""))).alias("description"))
-    created = t.customer.select((F.col("c_custkey") + 100000000).alias("receipt_id"), F.col("c_custkey").alias("employee"),
+    """A log in which pending receipts get two partial updates, then some a stranger's change, a deletion or a new start."""
+    rows = t.receipts.where("status = 'pending'").select("receipt_id", F.col("employee").alias("o"), "description")
+    n, none = F.col("receipt_id"), F.lit(None).cast("string")
+    log = F.array(*[F.struct(F.lit(at).alias("at"), who.alias("employee"), F.when(when, op).alias("op"), category.alias("category"), described.alias("description"))
+                    for at, who, op, when, category, described in (
+        (1, F.col("o"), "update", n > -1, none, F.concat(F.lit("new "), F.coalesce("description", F.lit("")))),
+        (2, F.col("o"), "update", n % 2 == 0, F.lit("moved"), none),
+        (3, F.col("o") + 1, "delete", n % 5 == 0, none, none),
+        (4, F.col("o"), "delete", n % 3 == 1, none, none),
+        (5, F.col("o"), "create", n % 6 == 1, none, F.lit("again")),
+        (6, F.col("o"), "update", n % 12 == 1, F.lit("late"), none))])
+    changed = rows.select("receipt_id", F.explode(F.filter(log, lambda c: c["op"].isNotNull())).alias("c")).select("receipt_id", "c.*")
+    created = t.customer.select((F.col("c_custkey") + 100000000).alias("receipt_id"), F.lit(1).alias("at"), F.col("c_custkey").alias("employee"),
                                 F.lit("create").alias("op"), F.col("c_mktsegment").alias("category"), F.lit("fresh").alias("description"))
-    return changed.unionByName(created)
+    edited = created.where("employee % 2 = 0").select("receipt_id", F.lit(2).alias("at"), "employee", F.lit("update").alias("op"),
+                                                      F.lit("edited").alias("category"), F.lit(None).cast("string").alias("description"))
+    return changed.unionByName(created).unionByName(edited)
 
 
 add("k8_upsert_receipts", lambda t: receipts.upsert_receipts(
-        t.receipts.select("receipt_id", "employee", "category", "description"), receipt_changes(t), "receipt_id", "employee"),
+        t.receipts.select("receipt_id", "employee", "category", "description"), receipt_changes(t), "receipt_id", "employee", "at"),
     ("receipts",), """
-    SELECT receipt_id, employee, category, CASE WHEN status = 'pending' AND receipt_id % 5 <> 0
-      THEN 'new ' || coalesce(description, '') ELSE description END AS description
-    FROM receipts WHERE NOT (status = 'pending' AND receipt_id % 3 = 1 AND receipt_id % 5 <> 0)
-    UNION ALL SELECT c_custkey + 100000000, c_custkey, c_mktsegment, 'fresh' FROM customer""")
+    SELECT receipt_id, employee, CASE WHEN status <> 'pending' THEN category WHEN receipt_id % 12 = 1 THEN 'late' WHEN receipt_id % 6 = 1 THEN NULL
+        WHEN receipt_id % 2 = 0 THEN 'moved' ELSE category END AS category,
+      CASE WHEN status <> 'pending' THEN description WHEN receipt_id % 6 = 1 THEN 'again' ELSE 'new ' || coalesce(description, '') END AS description
+    FROM receipts WHERE NOT (status = 'pending' AND receipt_id % 3 = 1 AND receipt_id % 6 <> 1)
+    UNION ALL SELECT c_custkey + 100000000, c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'edited' ELSE c_mktsegment END, 'fresh' FROM customer""")
 
 # --- projections and filters -------------------------------------------------------
 
@@ -310,20 +359,48 @@ def plain_items(t):
 add("m4_item_total", lambda t: receipts.fill_item_totals(plain_items(t)).select("l_orderkey", "l_linenumber", "l_partkey", text("total_price")),
     ("item_lines",), """SELECT l_orderkey, l_linenumber, l_partkey, CAST(CAST(CASE WHEN l_partkey % 3 = 0 THEN CAST(total_price AS DECIMAL(18,2))
       ELSE CAST(total_price AS DECIMAL(18,2)) * CAST(quantity AS INT) END AS DECIMAL(10,2)) AS VARCHAR) AS total_price FROM item_lines""")
-add("m5_build_receipts", lambda t: receipts.build_receipts(
-        t.merge_inputs.withColumn("items", F.col("corrected_items")), now("2024-03-01 08:30:00")).select(
+def built_receipts(t):
+    """Receipts of confirmed jobs, with what the job knows of file and template."""
+    known = t.jobs.select("job_id", "template_used", "template_correspondence", F.concat(F.lit("file-"), "job_id").alias("file_ref"),
+                          F.nullif(F.ltrim(ledger.file_extension(F.col("original_filename")), F.lit(".")), F.lit("")).alias("file_ext"))
+    return receipts.build_receipts(t.merge_inputs.withColumn("items", F.col("corrected_items")).join(known, "job_id", "left"), now("2024-03-01 08:30:00"))
+
+
+def landed_ledger(t):
+    """A ledger after the same receipts were written twice, first half of them, with some of them double, and read back."""
+    path = shared_dir(t.spark, "ledger")
+    built = written(built_receipts(t), "built")
+    writers.write_receipts(built.where("employee < '2'"), path)
+    writers.write_receipts(built.unionByName(built.where("category = 'view'")), path)
+    writers.write_receipts(built, path)
+    return writers.read_ledger(t.spark, path)
+
+
+D_JOB_EXT = "nullif(ltrim(regexp_extract(original_filename, '(\\.[^./]*)$', 1), '.'), '')"
+add("k4_write_receipts", lambda t: landed_ledger(t).select(
+        "job_id", "employee", "month", text("total_amount"), F.size("cost_items").alias("n_items"), "template_used", "file_ext"),
+    ("merge_inputs", "jobs"), f"""
+    , f AS (SELECT *, map_concat(extracted, descriptions, corrections) AS m FROM merge_inputs), g AS (SELECT *, m['transaction_time'] AS s FROM f)
+    SELECT g.job_id, g.user_id AS employee, strftime({D_TIME}, '%Y-%m') AS month,
+      CAST(CAST(coalesce(nullif(m['total_amount'], ''), '0.00') AS DECIMAL(10,2)) AS VARCHAR) AS total_amount, CAST(len(corrected_items) AS INT) AS n_items,
+      template_used, {D_JOB_EXT} AS file_ext
+    FROM g LEFT JOIN jobs j ON j.job_id = g.job_id""")
+add("m5_build_receipts", lambda t: built_receipts(t).select(
         "job_id", "merchant_name", second("transaction_time").alias("at"), "category", "description", "currency", "employee", "status",
-        text("total_amount"), text("tax_amount"), text("subtotal_amount"), F.size("cost_items").alias("n_items"), "quarantine"),
-    ("merge_inputs",), f"""
+        text("total_amount"), text("tax_amount"), text("subtotal_amount"), F.size("cost_items").alias("n_items"), "quarantine",
+        "template_used", "template_correspondence", "file_ref", "file_ext", second("upload_date").alias("uploaded"), second("updated_at").alias("updated")),
+    ("merge_inputs", "jobs"), f"""
     , f AS (SELECT *, map_concat(extracted, descriptions, corrections) AS m FROM merge_inputs),
     g AS (SELECT *, m['transaction_time'] AS s FROM f)
-    SELECT job_id, coalesce(m['merchant_name'], 'Unknown Merchant') AS merchant_name, {d_second(D_TIME)} AS at,
+    SELECT g.job_id, coalesce(m['merchant_name'], 'Unknown Merchant') AS merchant_name, {d_second(D_TIME)} AS at,
       coalesce(m['category'], 'Uncategorized') AS category, coalesce(m['description'], '') AS description,
-      coalesce(m['currency'], 'GBP') AS currency, user_id AS employee, 'pending' AS status,
+      coalesce(m['currency'], 'GBP') AS currency, g.user_id AS employee, 'pending' AS status,
       CAST(CAST(coalesce(nullif(m['total_amount'], ''), '0.00') AS DECIMAL(10,2)) AS VARCHAR) AS total_amount,
       CAST(CAST(coalesce(nullif(m['tax_amount'], ''), '0.00') AS DECIMAL(10,2)) AS VARCHAR) AS tax_amount,
       CAST(CAST(coalesce(nullif(m['subtotal_amount'], ''), '0.00') AS DECIMAL(10,2)) AS VARCHAR) AS subtotal_amount,
-      CAST(len(corrected_items) AS INT) AS n_items, false AS quarantine FROM g""")
+      CAST(len(corrected_items) AS INT) AS n_items, false AS quarantine, template_used, template_correspondence,
+      'file-' || g.job_id AS file_ref, {D_JOB_EXT} AS file_ext, '2024-03-01 08:30:00' AS uploaded, '2024-03-01 08:30:00' AS updated
+    FROM g LEFT JOIN jobs j ON j.job_id = g.job_id""")
 add("m6_explode_items", lambda t: receipts.explode_items(t.receipts).select("receipt_id", "pos", "item.item_name", "item.total_price"),
     ("receipts",), """SELECT receipt_id, CAST(pos - 1 AS INT) AS pos, i.item_name, i.total_price FROM (
       SELECT receipt_id, unnest(cost_items) AS i, generate_subscripts(cost_items, 1) AS pos FROM receipts)""")

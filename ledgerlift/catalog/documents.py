@@ -103,9 +103,7 @@ LIBRARY = [(f, i, p) for f, patterns in fixed.FIELD_PATTERNS.items() for i, p in
 
 def library_hits(t):
     """What every library pattern of every field reads from every line, summed up per pattern."""
-    reads = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("ord"), F.when(
-        F.regexp_instr("line", pattern(p)) > 0, F.call_function("regexp_extract", F.col("line"), pattern(p), F.lit(1))).alias("value"))
-        for f, i, p in LIBRARY])
+    reads = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("ord"), tx.library_value(F.col("line"), p).alias("value")) for f, i, p in LIBRARY])
     rows = ex.ocr_lines(t.ocr_receipts, "receipt_id").select(F.explode(reads).alias("r")).select("r.*").where("value is not null")
     return rows.groupBy("field", "ord").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"),
                                             F.min("value").alias("first_value"), F.max("value").alias("last_value"))
@@ -403,21 +401,15 @@ add("f22_parse_or_fallback", fallbacks, ("noisy_receipts",), f""", {D_FIELDS}
     LEFT JOIN fields m ON m.receipt_id = n.receipt_id AND m.field = 'merchant_name'""")
 
 
-def job_texts(t, how="inner"):
+def attached(t):
+    """Every job with its text, those without one included."""
     docs = t.noisy_receipts.select(F.concat(F.lit("J"), F.lpad(F.col("receipt_id").cast("string"), 10, "0")).alias("job_id"), "ocr_text")
-    return parse.attach_text_metadata(t.jobs.select("job_id", "metadata").join(docs, "job_id", how))
-
-
-def attached(t, how="inner"):
-    return job_texts(t, how).select("job_id", F.size("metadata").alias("n_keys"), F.col("metadata")["ocr_text"].alias("raw"),
-                                    F.col("metadata")["ocr_text_preprocessed"].alias("clean"))
+    jobs = parse.attach_text_metadata(t.jobs.select("job_id", "metadata").join(docs, "job_id", "left"))
+    return jobs.select("job_id", F.size("metadata").alias("n_keys"), F.col("metadata")["ocr_text"].alias("raw"),
+                       F.col("metadata")["ocr_text_preprocessed"].alias("clean"))
 
 
 add("f23_attach_text_metadata", attached, ("noisy_receipts", "jobs"), f""", {d_clean(('noisy_receipts', 'ocr_text'), 'receipt_id')},
-    cleaned AS (SELECT receipt_id, string_agg(line, {NL} ORDER BY pos) AS clean FROM kept GROUP BY 1)
-    SELECT job_id, CAST(cardinality(metadata) + 2 AS INT) AS n_keys, ocr_text AS raw, clean FROM jobs
-    JOIN noisy_receipts n ON job_id = 'J' || lpad(CAST(n.receipt_id AS VARCHAR), 10, '0') JOIN cleaned USING (receipt_id)""")
-add("f23_attach_text_metadata_all", lambda t: attached(t, "left"), ("noisy_receipts", "jobs"), f""", {d_clean(('noisy_receipts', 'ocr_text'), 'receipt_id')},
     cleaned AS (SELECT receipt_id, string_agg(line, {NL} ORDER BY pos) AS clean FROM kept GROUP BY 1)
     SELECT job_id, CAST(cardinality(metadata) + 2 AS INT) AS n_keys, ocr_text AS raw, CASE WHEN ocr_text IS NOT NULL THEN coalesce(clean, '') END AS clean FROM jobs
     LEFT JOIN noisy_receipts n ON job_id = 'J' || lpad(CAST(n.receipt_id AS VARCHAR), 10, '0') LEFT JOIN cleaned c ON c.receipt_id = n.receipt_id""")

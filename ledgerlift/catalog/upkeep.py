@@ -191,16 +191,15 @@ add("l6_items_corrected", lambda t: item_pairs(t).select("job_id", learning.item
     ("merge_inputs",), f"SELECT job_id, {D_ITEMS_DIFFER} AS corrected FROM merge_inputs")
 
 
-def need_new(t, how="inner"):
+def need_new(t):
+    """Every job with corrected items; one without corrections has no corrected field."""
     counts = learning.correction_counts(compared(t)).select(F.concat(F.lit("J"), F.lpad(F.col("correction_id").cast("string"), 10, "0")).alias("job_id"), "n_corrected")
     differ = item_pairs(t).select("job_id", learning.items_corrected(F.col("extracted_items"), F.col("cost_items")).alias("differ"))
     n_corrected = F.coalesce("n_corrected", F.lit(0))
-    return counts.join(differ, "job_id", how).select("job_id", learning.needs_new_template(F.col("differ"), n_corrected).alias("is_new"))
+    return differ.join(counts, "job_id", "left").select("job_id", learning.needs_new_template(F.col("differ"), n_corrected).alias("is_new"))
 
 
 add("l7_needs_new_template", need_new, ("corrections", "merge_inputs"), f""", {D_COMPARED}
-    SELECT job_id, {D_ITEMS_DIFFER} OR total - correct > 1 AS is_new FROM counts JOIN merge_inputs ON job_id = 'J' || lpad(CAST(correction_id AS VARCHAR), 10, '0')""")
-add("l7_needs_new_template_all", lambda t: need_new(t, "right"), ("corrections", "merge_inputs"), f""", {D_COMPARED}
     SELECT job_id, {D_ITEMS_DIFFER} OR coalesce(total - correct, 0) > 1 AS is_new FROM merge_inputs LEFT JOIN counts ON job_id = 'J' || lpad(CAST(correction_id AS VARCHAR), 10, '0')""")
 DIFF_FIELDS = ["merchant_name", "transaction_time", "total_amount", "tax_amount", "currency"]
 add("l9_corrections_diff", lambda t: learning.corrections_diff(t.merge_inputs.withColumn("edited", F.col("corrections")), DIFF_FIELDS).select(

@@ -150,3 +150,116 @@ def read_patterns(patterns: DataFrame) -> DataFrame:
     tried = F.try_reflect(F.lit("java.util.regex.Pattern"), F.lit("compile"), F.concat(F.lit(FLAGS), "java"))
     checked = read.withColumn("tried", tried).withColumn("reason", F.coalesce("reason", F.when(F.col("tried").isNull(), UNSUPPORTED)))
     return checked.select("pattern", F.when(F.col("reason").isNull(), F.col("java")).alias("java"), "reason")
+
+
+# --- what a pattern needs ------------------------------------------------------------------------
+
+#: Code points that a class may have to count as narrow: an open repeat of a wider one ends a piece.
+NARROW = 12
+_SETS = {"CATEGORY_DIGIT": (r"\d", 10), "CATEGORY_SPACE": (r"\s", 6), "CATEGORY_WORD": (r"\w", 63)}
+
+
+class _Piece:
+    """Part of a pattern that can be searched for by itself: its text, and how telling the characters are that it must have."""
+
+    def __init__(self, text: str, weight: float, joins: bool = True):
+        self.text, self.weight, self.joins = text, weight, joins
+
+
+def _set_text(parts) -> tuple[str, int]:
+    """A class as text and about how many characters it has."""
+    out, width = [], 0
+    for kind, value in parts:
+        name = str(kind)
+        if name == "NEGATE":
+            out.append("^")
+            width += 1000
+        elif name == "LITERAL":
+            out.append(f"\\x{{{value:x}}}")
+            width += 1
+        elif name == "RANGE":
+            out.append(f"\\x{{{value[0]:x}}}-\\x{{{value[1]:x}}}")
+            width += value[1] - value[0] + 1
+        else:
+            text, size = _SETS.get(str(value), (None, 0))
+            if text is None:
+                return "", 0
+            out.append(text)
+            width += size
+    return f"[{''.join(out)}]", width
+
+
+def _single(node) -> _Piece | None:
+    """A node that can stand in the middle of a piece, or None."""
+    kind, value = str(node[0]), node[1]
+    if kind == "LITERAL":
+        return _Piece(f"\\x{{{value:x}}}", 3.0)
+    if kind == "IN":
+        text, width = _set_text(value)
+        return _Piece(text, 2.0 if width <= NARROW else 0.7) if text else None
+    if kind in ("MAX_REPEAT", "MIN_REPEAT"):
+        least, most, inner = value
+        piece = _whole(inner)
+        wide = len(inner) != 1 or str(inner[0][0]) not in ("LITERAL", "IN") or (str(inner[0][0]) == "IN" and _set_text(inner[0][1])[1] > NARROW)
+        if piece is None or (int(most) > 100 and wide):
+            return None
+        until = "" if int(most) > 100 else int(most)
+        return _Piece(f"(?:{piece.text}){{{least},{until}}}", piece.weight * least)
+    if kind == "SUBPATTERN":
+        piece = _whole(value[3])
+        return _Piece(f"(?:{piece.text})", piece.weight) if piece and not value[1] and not value[2] else None
+    if kind == "BRANCH":
+        pieces = [_whole(way) for way in value[1]]
+        return None if None in pieces else _Piece(f"(?:{'|'.join(p.text for p in pieces)})", min(p.weight for p in pieces))
+    return None
+
+
+def _whole(nodes) -> _Piece | None:
+    pieces = [_single(node) for node in nodes]
+    return None if None in pieces else _Piece("".join(p.text for p in pieces), sum(p.weight for p in pieces))
+
+
+def _pieces(nodes) -> list[_Piece]:
+    """The longest pieces of a sequence, all of which a match must have."""
+    out, run = [], []
+
+    def close() -> None:
+        if run:
+            out.append(_Piece("".join(p.text for p in run), sum(p.weight for p in run)))
+            run.clear()
+
+    for node in nodes:
+        piece = _single(node)
+        if piece is not None:
+            run.append(piece)
+            continue
+        close()
+        kind, value = str(node[0]), node[1]
+        if kind == "SUBPATTERN" and not value[1] and not value[2]:
+            out.extend(_pieces(value[3]))
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT") and value[0] > 0:
+            out.extend(_pieces(value[2]))
+        elif kind == "BRANCH":
+            best = [max(_pieces(way), key=lambda p: p.weight, default=None) for way in value[1]]
+            if None not in best:
+                out.append(_Piece(f"(?:{'|'.join(p.text for p in best)})", min(p.weight for p in best)))
+    close()
+    return out
+
+
+@lru_cache(maxsize=4096)
+def necessary(text: str) -> str | None:
+    """A pattern that any text must fit if it fits the given one, and that is found fast; None if there is none that helps.
+
+    It is the most telling piece between parts that can stretch over anything, such as ``.*``: a word, one of several
+    words, or digits in a row.
+    """
+    try:
+        from re import _parser
+        tree = _parser.parse(text)
+    except (ImportError, re.error):
+        return None
+    if _whole(tree) is not None or tree.state.flags & ~re.UNICODE:
+        return None
+    best = max(_pieces(tree), key=lambda p: p.weight, default=None)
+    return best.text if best is not None and best.weight >= 2.5 else None

@@ -7,6 +7,7 @@ from pyspark.sql import Column, functions as F
 
 from . import fixed
 from .expr import FLAGS, any_of, bind, found, pattern
+from .patterns import necessary
 
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
 
@@ -119,10 +120,17 @@ def currency_aware(patterns: Column, symbol: Column) -> Column:
     return F.concat(widened, patterns)
 
 
+def library_value(line: Column, text: str) -> Column:
+    """What a library pattern reads from a line, NULL if it doesn't fit. Most lines lack what the pattern needs and
+    are never searched with it."""
+    needs = necessary(text)
+    fits = found(line, pattern(text)) if needs is None else line.rlike(FLAGS + needs) & found(line, pattern(text))
+    return F.when(fits, F.call_function("regexp_extract", line, pattern(text), F.lit(1)))
+
+
 def first_library_match(line: Column, field: str) -> Column:
     """Value of the first library pattern of a field that fits the line."""
-    return F.coalesce(*[
-        F.when(found(line, pattern(p)), F.regexp_extract(line, FLAGS + p, 1)) for p in fixed.FIELD_PATTERNS[field]])
+    return F.coalesce(*[library_value(line, p) for p in fixed.FIELD_PATTERNS[field]])
 
 
 def word_overlap(item_name: Column, line: Column) -> Column:

@@ -289,40 +289,47 @@ def correspondence(fields: Column, n_extractors: Column) -> Column:
 
 # --- multi-line fields ------------------------------------------------------
 
-def _haystack(line_no: int, pattern_text: str, lines) -> str | None:
-    """Lines from a position on, at most five, each scoring better than those before."""
+def _wanted(pattern_text: str) -> str:
+    """The value that a multi-line extractor looks for, from its pattern."""
     wanted = pattern_text.removeprefix(".*(")
-    wanted = (wanted[:-3] if wanted.endswith(").*") else wanted).replace("\\", "").lower()
-    best, parts = 70.0, []
+    return (wanted[:-3] if wanted.endswith(").*") else wanted).replace("\\", "").lower()
+
+
+def _haystack(line_no: int, pattern_text: str, lines, scores: dict) -> str | None:
+    """Lines from a position on, at most five, each scoring better than those before."""
+    wanted, best, parts = _wanted(pattern_text), 70.0, []
     for line in lines[line_no:line_no + 5]:
-        score = fuzzy.partial_ratio(line.lower(), wanted)
+        score = scores[line.lower(), wanted]
         if score > best:
             best = score
             parts.append(line)
     return " ".join(parts) if any(parts) else None
 
 
-def _fill(lines, extractors, last, known) -> dict:
-    values = dict(known) if known is not None else {}
+def _spots(lines, extractors, last, known) -> list[tuple[str, int, str]]:
+    """(field, line, pattern) in the order in which a document's multi-line extractors try them."""
+    out = []
     for e in extractors if extractors is not None else []:
-        if not e["expected_present"] or not e["fuzzy"]:
-            continue
-        after_items = last + e["offset"] if pd.notna(last) and pd.notna(e["offset"]) else None
-        for spot in (e["line"], after_items):
-            if e["field"] in values or pd.isna(spot) or not 0 <= spot < len(lines):
-                continue
-            hits = (_haystack(int(spot), p, lines) for p in e["patterns"] if p)
-            value = next((h for h in hits if h is not None), None)
-            if value is not None:
-                values[e["field"]] = value
-    return values
+        if e["expected_present"] and e["fuzzy"] and not (known is not None and e["field"] in known):
+            after_items = last + e["offset"] if pd.notna(last) and pd.notna(e["offset"]) else None
+            out += [(e["field"], int(spot), p) for spot in (e["line"], after_items) if pd.notna(spot) and 0 <= spot < len(lines)
+                    for p in e["patterns"] or [] if p]
+    return out
 
 
 @F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
 def _filled(lines: pd.Series, extractors: pd.Series, last: pd.Series, fields: pd.Series) -> pd.Series:
-    return pd.Series([
-        None if configs is None else [_fill(doc, c, l, f) for c, l, f in zip(json.loads(configs), ends, known)]
-        for doc, configs, ends, known in zip(lines, extractors, last, fields)])
+    tried = [(doc, None if configs is None else [(dict(f) if f is not None else {}, _spots(doc, c, l, f)) for c, l, f in zip(json.loads(configs), ends, known)])
+             for doc, configs, ends, known in zip(lines, extractors, last, fields)]
+    pairs = sorted({(line.lower(), _wanted(p)) for doc, candidates in tried for _, spots in candidates or [] for _, at, p in spots for line in doc[at:at + 5]})
+    scores = dict(zip(pairs, fuzzy.partial_ratios([x for x, _ in pairs], [w for _, w in pairs]).tolist()))
+    for doc, candidates in tried:
+        for values, spots in candidates or []:
+            for field, at, p in spots:
+                hit = _haystack(at, p, doc, scores) if field not in values else None
+                if hit is not None:
+                    values[field] = hit
+    return pd.Series([None if candidates is None else [values for values, _ in candidates] for _, candidates in tried])
 
 
 def fill_fuzzy(lines, extractors, last, fields) -> Column:

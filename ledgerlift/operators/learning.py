@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import (ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType)
 
 from ..functions import fixed, fuzzy
-from ..functions.expr import instant, pattern, regex_escape, truthy
-from ..functions.text import guess_merchant
+from ..functions.expr import instant, regex_escape, truthy
+from ..functions.text import guess_merchant, library_value
 from ..schemas import CONFIG_EXTRACTOR
 from .extraction import derive_item_pattern, item_section
 
@@ -126,10 +127,11 @@ def correction_counts(compared: DataFrame) -> DataFrame:
 @F.pandas_udf(BooleanType())
 def _names_differ(extracted: pd.Series, corrected: pd.Series) -> pd.Series:
     """Whether any pair of names scores below 85."""
-    return pd.Series([
-        any(fuzzy.ratio((a or "").lower(), (b or "").lower()) < fixed.SAME_FIELD_SCORE for a, b in zip(x, y))
-        if x is not None and y is not None else False
-        for x, y in zip(extracted, corrected)], dtype="bool")
+    pairs = [(i, (a or "").lower(), (b or "").lower()) for i, (x, y) in enumerate(zip(extracted, corrected))
+             if x is not None and y is not None for a, b in zip(x, y)]
+    differ = fuzzy.ratios([a for _, a, _ in pairs], [b for _, _, b in pairs]) < fixed.SAME_FIELD_SCORE
+    rows = {i for (i, _, _), d in zip(pairs, differ) if d}
+    return pd.Series([i in rows for i in range(len(extracted))], dtype="bool")
 
 
 def zip_items(extracted: Column, corrected: Column) -> Column:
@@ -183,64 +185,64 @@ _LOCATED = ArrayType(StructType([
     StructField("fuzzy", BooleanType())]))
 
 
-def _line_score(value: str, line: str) -> float:
-    if value and value in line:
-        return 100.0
-    return max(fuzzy.ratio(value, line), fuzzy.partial_ratio(value, line),
-               fuzzy.token_sort_ratio(value, line), fuzzy.token_set_ratio(value, line))
-
-
-def _locate(field: str, value: str, lines, start: int, end: int):
-    """Line of a corrected value: the first best of four scores, above 70."""
-    if field == "merchant_name":
-        search = range(min(end, len(lines), 3))
-    else:
-        search = [*range(0, start), *range(end + 1, len(lines))]
-    best, line_no, offset, is_fuzzy, lower = 0.0, -1, None, False, value.lower()
-    for i in search:
-        line = lines[i].lower()
-        score = _line_score(lower, line)
-        if score > best and score > 70:
-            best = score
-            line_no, offset = (-1, i - end) if i > end else (i, None)
-        if field == "merchant_address":
-            whole = fuzzy.ratio(line, lower)
-            if whole > 80 and whole > best:
-                best, line_no, offset, is_fuzzy = whole, i, None, True
-    if line_no < 0 and offset is None:
-        return None
-    return (field, value, line_no, offset, line_no if offset is None else end + offset, best, is_fuzzy)
+def _line_scores(pairs: set[tuple[str, str]]) -> dict[tuple[str, str], float]:
+    """Best of four scores of each value and line; a line that holds the value scores 100."""
+    out = {p: 100.0 for p in pairs if p[0] and p[0] in p[1]}
+    rest = sorted(pairs - out.keys())
+    values, lines = [v for v, _ in rest], [line for _, line in rest]
+    scores = [f(values, lines) for f in (fuzzy.ratios, fuzzy.partial_ratios, fuzzy.token_sort_ratios, fuzzy.token_set_ratios)]
+    return out | dict(zip(rest, np.maximum.reduce(scores).tolist())) if rest else out
+
+
+def _searched(field: str, lines, start: int, end: int) -> list[int]:
+    """Lines where a field may stand."""
+    return list(range(min(end, len(lines), 3))) if field == "merchant_name" else [*range(0, start), *range(end + 1, len(lines))]
+
+
+#: Documents whose lines are scored together.
+_TOGETHER = 256
 
 
 @F.pandas_udf(_LOCATED)
 def locate_fields(lines: pd.Series, values: pd.Series, start: pd.Series, end: pd.Series) -> pd.Series:
-    """Where the corrected values of a document's fields stand."""
-    keys = ("field", "value", "line", "offset", "target", "score", "fuzzy")
+    """Line of each corrected value of a document: the first best of four scores, above 70. All pairs of some hundred
+    documents are scored at once."""
     out = []
-    for doc, given, first, last in zip(lines, values, start, end):
-        spots = (_locate(f, v, doc, first, last) for f, v in zip(fixed.FIELDS, given) if v)
-        out.append([dict(zip(keys, spot)) for spot in spots if spot is not None])
+    for at in range(0, len(lines), _TOGETHER):
+        docs = [(doc, [(f, v, _searched(f, doc, first, last)) for f, v in zip(fixed.FIELDS, given) if v], last)
+                for doc, given, first, last in zip(*(x[at:at + _TOGETHER] for x in (lines, values, start, end)))]
+        pairs = {(v.lower(), doc[i].lower()) for doc, wanted, _ in docs for _, v, spots in wanted for i in spots}
+        scores = _line_scores(pairs)
+        whole = sorted({(v.lower(), doc[i].lower()) for doc, wanted, _ in docs for f, v, spots in wanted if f == "merchant_address" for i in spots})
+        wholes = dict(zip(whole, fuzzy.ratios([line for _, line in whole], [v for v, _ in whole]).tolist()))
+        for doc, wanted, last in docs:
+            found = []
+            for field, value, spots in wanted:
+                best, line_no, offset, is_fuzzy = 0.0, None, None, False
+                for i in spots:
+                    pair = (value.lower(), doc[i].lower())
+                    if scores[pair] > max(best, 70):
+                        best = scores[pair]
+                        line_no, offset = (-1, i - last) if i > last else (i, None)
+                    if field == "merchant_address" and wholes[pair] > max(best, 80):
+                        best, line_no, offset, is_fuzzy = wholes[pair], i, None, True
+                if line_no is not None:
+                    found.append({"field": field, "value": value, "line": line_no, "offset": offset,
+                                  "target": line_no if offset is None else last + offset, "score": best, "fuzzy": is_fuzzy})
+            out.append(found)
     return pd.Series(out)
 
 
 @F.pandas_udf(ArrayType(IntegerType()))
 def _best_options(values: pd.Series, options: pd.Series) -> pd.Series:
-    out = []
-    for given, lists in zip(values, options):
-        picks = []
-        for value, choices in zip(given, lists):
-            scores = [fuzzy.ratio(value, c) if c is not None else 0.0 for c in choices]
-            picks.append(scores.index(max(scores)) if scores and max(scores) > 0 else -1)
-        out.append(picks)
-    return pd.Series(out)
+    sizes = [len(v) for v in values]
+    picks = iter(fuzzy.best_options([v for vs in values for v in vs], [c for lists in options for c in lists]))
+    return pd.Series([[next(picks) for _ in range(n)] for n in sizes])
 
 
 def _library_values(field: Column, line: Column) -> Column:
     """What each library pattern of a field reads from a line, in library order."""
-    def read(p: str) -> Column:
-        return F.when(F.regexp_instr(line, pattern(p)) > 0, F.call_function("regexp_extract", line, pattern(p), F.lit(1)))
-
-    return F.coalesce(*[F.when(field == f, F.array(*[read(p) for p in patterns]))
+    return F.coalesce(*[F.when(field == f, F.array(*[library_value(line, p) for p in patterns]))
                         for f, patterns in fixed.FIELD_PATTERNS.items()])
 
 

@@ -99,13 +99,18 @@ def build_receipts(inputs: DataFrame, now: Column) -> DataFrame:
     """Receipts of confirmed jobs: extracted values, then descriptions, then corrections.
 
     Needs maps ``extracted``, ``descriptions``, ``corrections`` and the final ``items``
-    (array of maps). Amounts that are no number end up NULL and in ``quarantine``.
+    (array of maps). The job's ``file_ref``, ``file_ext``, ``template_used`` and
+    ``template_correspondence`` are taken over where the inputs have them; without one,
+    the correspondence is 0. Amounts that are no number end up NULL and in ``quarantine``.
     """
     merged = inputs.withColumn("final", merge_with_precedence(F.col("extracted"), F.col("descriptions"), F.col("corrections")))
 
     def text(name: str, default: str) -> Column:
         return F.coalesce(F.col("final")[name], F.lit(default)).alias(name)
 
+    def carried(name: str, kind: str = "string") -> Column:
+        return (F.col(name) if name in inputs.columns else F.lit(None)).cast(kind)
+
     money = ("total_amount", "tax_amount", "subtotal_amount")
     return merged.select(
         "job_id", text("merchant_name", "Unknown Merchant"),
@@ -114,7 +119,10 @@ def build_receipts(inputs: DataFrame, now: Column) -> DataFrame:
         text("description", ""), text("currency", "GBP"), F.lit("pending").alias("status"),
         F.col("user_id").alias("employee"),
         *[to_money(F.col("final")[m]).alias(m) for m in money],
-        normalise_items(F.col("items")).alias("cost_items"),
+        normalise_items(F.col("items")).alias("cost_items"), carried("template_used").alias("template_used"),
+        F.coalesce(carried("template_correspondence", "double"), F.lit(0.0)).alias("template_correspondence"),
+        carried("file_ref").alias("file_ref"), carried("file_ext").alias("file_ext"),
+        now.cast("timestamp").alias("upload_date"), now.cast("timestamp").alias("updated_at"),
         F.exists(F.array(*[to_money(F.col("final")[m]).isNull() for m in money]), lambda x: x).alias("quarantine"))
 
 
@@ -132,24 +140,42 @@ def new_receipts(candidates: DataFrame, existing: DataFrame, key: str = "job_id"
     return candidates.join(existing.select(key), key, "left_anti")
 
 
+def replay_changes(changes: DataFrame, key: str, owner: str, columns: list[str], order: str | None = None) -> DataFrame:
+    """One row per key and asking user: what their changes amount to, in ``order``, whatever stood there before.
+
+    ``born`` is the place of the first create, ``reset`` place and operation of the last create or delete, and each
+    column has its last value that isn't null (``last_*``), NULL if that was before the reset. All of it is maxima
+    and minima, so changes may come in any order and are summed up before the shuffle; of changes with equal
+    ``order`` (all, without one) a hash of the values decides.
+    """
+    place = F.struct(F.col(order) if order else F.lit(0), "op", F.xxhash64(key, owner, *columns).alias("tie"))
+    placed = changes.withColumn("place_", place)
+    sums = placed.groupBy(key, owner).agg(
+        F.min(F.when(F.col("op") == "create", F.col("place_"))).alias("born"),
+        F.max(F.when(F.col("op").isin("create", "delete"), F.struct("place_", "op"))).alias("reset"),
+        *[F.max(F.when(F.col(c).isNotNull() & F.col("op").isin("create", "update"), F.col("place_"))).alias(f"at_{c}") for c in columns],
+        *[F.max_by(c, F.when(F.col(c).isNotNull() & F.col("op").isin("create", "update"), F.col("place_"))).alias(f"new_{c}") for c in columns])
+    since = lambda c: F.coalesce(F.col(f"at_{c}") >= F.col("reset.place_"), F.lit(True))
+    return sums.select(key, owner, "born", "reset", *[F.when(since(c), F.col(f"new_{c}")).alias(f"last_{c}") for c in columns])
+
+
 def upsert_receipts(old: DataFrame, changes: DataFrame, key: str, owner: str, order: str | None = None) -> DataFrame:
-    """Table after creates, partial updates and deletes (``op``) by the rows' owner.
+    """Table after a log of creates, partial updates and deletes (``op``), each by the user in ``owner``.
 
-    An update leaves columns it does not give; a change to another owner's row does nothing, and only a create adds
-    a row. Of several changes of one key the last by ``order`` counts, by operation and values where none is given.
+    Changes of a key compose by ``order``: an update leaves columns it does not give, a create starts a row anew, a
+    delete ends it until the next create, and updates of a row that isn't there do nothing. A row belongs to the owner
+    it has in the table, or else to who creates it first; what others do to it counts for nothing, so it can't
+    hide a change of the owner's either.
     """
     columns = [c for c in old.columns if c not in (key, owner)]
-    rank = F.struct(*([order] if order else []), "op", owner, *columns)
-    changes = changes.groupBy(key).agg(F.max_by(F.struct(*[c for c in changes.columns if c != key]), rank).alias("last")).select(key, "last.*")
-    new = changes.select(key, F.col(owner).alias("asked_by"), "op", *[F.col(c).alias(f"new_{c}") for c in columns])
-    joined = old.withColumn("present", F.lit(True)).join(new, key, "full_outer")
-    mine = F.col("present").isNull() | (F.col(owner) == F.col("asked_by"))
-    active = F.coalesce(mine & F.col("op").isNotNull(), F.lit(False))
-    gone = (active & (F.col("op") == "delete")) | (F.col("present").isNull() & ~F.col("op").eqNullSafe("create"))
-    kept = joined.where(~F.coalesce(gone, F.lit(False)))
-    return kept.select(
-        key, F.coalesce(owner, "asked_by").alias(owner),
-        *[F.when(active, F.coalesce(F.col(f"new_{c}"), F.col(c))).otherwise(F.col(c)).alias(c) for c in columns])
+    done = replay_changes(changes, key, owner, columns, order)
+    op = F.coalesce(F.col("reset.op"), F.lit(""))
+    changed = old.join(done, [key, owner], "left").where(op != "delete").select(
+        key, owner, *[F.when(op == "create", F.col(f"last_{c}")).otherwise(F.coalesce(f"last_{c}", c)).alias(c) for c in columns])
+    born = done.where("born is not null").join(old.select(key), key, "left_anti")
+    first = born.groupBy(key).agg(F.min_by(F.struct(owner, "reset", *[f"last_{c}" for c in columns]), F.struct("born", owner)).alias("r")).select(key, "r.*")
+    created = first.where(op == "create").select(key, owner, *[F.col(f"last_{c}").alias(c) for c in columns])
+    return changed.unionByName(created)
 
 
 # --- listings and exports -----------------------------------------------------------------
@@ -186,19 +212,38 @@ def export_csv(receipts: DataFrame) -> DataFrame:
         F.col("currency").alias("Currency"), tax.alias("Tax Amount"), F.col("status").alias("Status"))
 
 
-def export_json(receipts: DataFrame) -> DataFrame:
-    """Receipts as JSON texts; ids and decimals are strings, items nested."""
-    def text(name: str) -> Column:
-        return F.col(name).cast("string").alias(name)
+JSON_TEXTS = ("merchant_address", "reference_number", "tax_amount", "category", "description", "total_amount", "subtotal_amount", "currency",
+              "employee", "status", "approver")
+JSON_NUMBERS = ("latitude", "longitude")
 
-    stamp = F.date_format("transaction_time", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("transaction_time")
+
+def export_json(receipts: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Receipts as JSON texts with all columns of the ledger; ids and decimals are strings, items nested, [] without any.
+
+    ``files`` (file_ref, content) adds the receipt's file in base64. Columns that the table lacks are null.
+    """
+    def have(name: str) -> Column:
+        return F.col(name) if name in receipts.columns else F.lit(None)
+
+    def text(name: str) -> Column:
+        return have(name).cast("string").alias(name)
+
+    def stamp(name: str) -> Column:
+        return F.date_format(have(name).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias(name)
+
+    content = F.lit(None).cast("string")
+    if files is not None:
+        receipts = receipts.join(files.select("file_ref", F.base64("content").alias("file_")), "file_ref", "left")
+        content = F.col("file_")
+    item = lambda i: F.struct(i["item_name"].alias("item_name"), *[
+        i[c].cast("string").alias(c) for c in ("unit_price", "quantity", "total_price")])
+    items = F.transform("cost_items", item)
     body = F.struct(
-        F.col("receipt_id").cast("string").alias("id"), text("template_used"), text("merchant_name"), stamp,
-        text("reference_number"), text("tax_amount"), text("category"), text("description"), text("total_amount"),
-        text("subtotal_amount"), text("currency"), text("employee"), text("status"), text("approver"),
-        F.transform("cost_items", lambda i: F.struct(
-            i["item_name"].alias("item_name"), i["quantity"].cast("string").alias("quantity"),
-            i["total_price"].cast("string").alias("total_price"))).alias("cost_items"))
+        F.col("receipt_id").cast("string").alias("id"), text("template_used"), text("merchant_name"), stamp("transaction_time"),
+        *[text(c) for c in JSON_TEXTS], stamp("upload_date"), content.alias("file"), text("file_ext"),
+        *[have(c).cast("double").alias(c) for c in JSON_NUMBERS], text("location_name"),
+        have("template_correspondence").cast("double").alias("template_correspondence"), stamp("created_at"), stamp("updated_at"),
+        F.coalesce(items, F.array().cast("array<struct<item_name:string,unit_price:string,quantity:string,total_price:string>>")).alias("cost_items"))
     return receipts.select("receipt_id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 

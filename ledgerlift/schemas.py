@@ -18,6 +18,14 @@ RECEIPT = f"""
     upload_date timestamp, file_ref string, file_ext string, template_correspondence double,
     latitude double, longitude double, location_name string, created_at timestamp, updated_at timestamp"""
 
+#: Receipts as confirmed jobs leave them, in folders by month.
+LEDGER = f"""
+    job_id string, merchant_name string, transaction_time timestamp, merchant_address string, reference_number string,
+    category string, description string, currency string, status string, employee string, total_amount decimal(10,2),
+    tax_amount decimal(10,2), subtotal_amount decimal(10,2), cost_items array<{COST_ITEM}>, template_used string,
+    template_correspondence double, file_ref string, file_ext string, upload_date timestamp, updated_at timestamp,
+    quarantine boolean, month string"""
+
 TEMPLATE = f"""
     template_id string, created_at timestamp, updated_at timestamp, last_used_at timestamp, usage_count int,
     success_rate double, override_rate double, avg_edit_distance double, is_archived boolean,

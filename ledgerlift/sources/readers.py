@@ -24,10 +24,10 @@ def scan_accounts(spark: SparkSession, base: str) -> dict[str, DataFrame]:
     return {name: read_table(spark, f"{base}/{name}", schema) for name, schema in parts.items()}
 
 
-def account_sizes(tables: dict[str, DataFrame], keys: dict[str, str]) -> DataFrame:
-    """Rows and distinct keys of each account table."""
-    parts = [t.agg(F.count("*").alias("n"), F.countDistinct(keys[name]).alias("n_keys")).withColumn("table_name", F.lit(name))
-             for name, t in tables.items()]
+def account_sizes(tables: dict[str, DataFrame], keys: dict[str, str], shown: dict[str, str]) -> DataFrame:
+    """Rows and distinct keys of each account table, and the last value of a column of it."""
+    parts = [t.agg(F.count("*").alias("n"), F.countDistinct(keys[name]).alias("n_keys"), F.max(shown[name]).cast("string").alias("last")).withColumn(
+        "table_name", F.lit(name)) for name, t in tables.items()]
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

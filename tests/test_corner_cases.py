@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions import expr
 from ledgerlift.operators import extraction, learning, lifecycle, matching, receipts
+from ledgerlift.sources import writers
 
 
 def test_upsert_takes_the_last_change_and_only_creates_add(spark):
@@ -15,6 +16,46 @@ def test_upsert_takes_the_last_change_and_only_creates_add(spark):
     assert sorted(tuple(r) for r in got.collect()) == [(1, 7, "y"), (2, 7, "b"), (5, 7, "c")]
 
 
+def test_upsert_replays_a_log(spark):
+    """Partial updates add up, a create goes before its updates, a stranger hides nothing, and the order of rows doesn't matter."""
+    old = spark.createDataFrame([(1, 7, "name", 0), (2, 7, "name", 0), (3, 7, "name", 0), (4, 7, "name", 0)], "id long, owner long, name string, n int")
+    log = [(1, 7, "update", "new", None, 1), (1, 7, "update", None, 5, 2),
+           (9, 8, "create", "born", None, 1), (9, 8, "update", None, 3, 2), (9, 7, "update", "not mine", 9, 3),
+           (2, 7, "update", "kept", None, 1), (2, 6, "update", "stranger", 9, 2), (2, 6, "delete", None, None, 3),
+           (3, 7, "update", "gone", 1, 1), (3, 7, "delete", None, None, 2), (3, 7, "update", "too late", 2, 3),
+           (4, 7, "update", "before", 4, 1), (4, 7, "delete", None, None, 2), (4, 7, "create", "after", None, 3), (4, 7, "update", None, 6, 4),
+           (5, 1, "update", "early", 1, 1), (5, 1, "create", None, 2, 2), (5, 2, "create", "second", 3, 3), (6, 1, "create", "x", 1, 1), (6, 1, "delete", None, None, 2)]
+    changes = spark.createDataFrame(log, "id long, owner long, op string, name string, n int, at int")
+    want = [(1, 7, "new", 5), (2, 7, "kept", 0), (4, 7, "after", 6), (5, 1, None, 2), (9, 8, "born", 3)]
+    for rows in (changes, changes.orderBy(F.desc("at")).repartition(5)):
+        assert sorted(tuple(r) for r in receipts.upsert_receipts(old, rows, "id", "owner", "at").collect()) == want
+
+
+def test_ledger_written_again_is_the_same(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    inputs = spark.createDataFrame([(f"j{i}", {"total_amount": "1.50", "transaction_time": f"2024-0{1 + i % 3}-05"}, {}, {}, [], "u") for i in range(9)] + [("j9", {"transaction_time": "?"}, {}, {}, [], "u")],
+                                   "job_id string, extracted map<string,string>, descriptions map<string,string>, corrections map<string,string>, items array<map<string,string>>, user_id string")
+    built = receipts.build_receipts(inputs, F.lit("2024-05-01 00:00:00").cast("timestamp"))
+    assert writers.read_ledger(spark, path).count() == 0
+    writers.write_receipts(built.where("job_id in ('j0', 'j1')").unionByName(built.where("job_id = 'j0'")), path)
+    untouched = {p.name for p in (tmp_path / "ledger" / "month=2024-02").glob("*.parquet")}
+    writers.write_receipts(built.where("month(transaction_time) <> 2"), path)
+    assert {p.name for p in (tmp_path / "ledger" / "month=2024-02").glob("*.parquet")} == untouched
+    for _ in range(2):
+        writers.write_receipts(built, path)
+    ledger = writers.read_ledger(spark, path)
+    assert sorted(r.job_id for r in ledger.collect()) == [f"j{i}" for i in range(10)]
+    assert {(r.month, str(r.total_amount)) for r in ledger.where("job_id = 'j1'").collect()} == {("2024-02", "1.50")}
+
+
+def test_archive_written_again_is_the_same(spark, tmp_path):
+    path = str(tmp_path / "archive")
+    manifest = spark.createDataFrame([("a", "completed"), ("a", "completed"), ("b", "failed"), ("c", "completed")], "job_id string, archive_status string")
+    for rows in (manifest.where("job_id = 'a'"), manifest, manifest):
+        writers.write_archive(rows, path)
+    assert sorted(r.job_id for r in spark.read.parquet(path).collect()) == ["a", "c"]
+
+
 def test_stamps_with_fraction_and_offset(spark):
     jobs = spark.createDataFrame(
         [("a", "completed", {"temp_expiration": "2024-01-01T04:00:00.123456+00:00"}), ("b", "completed", {"temp_expiration": "2024-01-03T04:00:00+00:00"}),

@@ -151,6 +151,22 @@ def test_contains_by_pieces_equals_brute_force(spark, most):
             assert [i for _, i in sorted(got.get((token, archived), []))] == [i for _, i in fits]
 
 
+def test_many_pairs_equal_one_by_one():
+    rng = random.Random(11)
+    pairs = [("", ""), ("", "a"), ("a", ""), ("a b", "b a"), ("\U0001f600x", "x\U0001f600")]
+    for low, high in ((0, 12), (0, 70), (60, 66), (100, 300)):
+        letters = rng.choice(["ab ", "abcdefgh  ", "aé日\U0001f600 "])
+        pairs += [(word(rng, letters, low, high), word(rng, letters, low, rng.choice([8, high]) if low < 8 else high)) for _ in range(150)]
+    pairs += [(a, a[:len(a) // 2] + "#" + a[len(a) // 2 + 1:]) for a, _ in pairs]
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert fuzzy.lcs_many(a, b).tolist() == [fuzzy.lcs(x, y) for x, y in pairs]
+    for many, one in ((fuzzy.ratios, fuzzy.ratio), (fuzzy.partial_ratios, fuzzy.partial_ratio), (fuzzy.token_sort_ratios, fuzzy.token_sort_ratio),
+                      (fuzzy.token_set_ratios, fuzzy.token_set_ratio)):
+        assert many(a, b).tolist() == [one(x, y) for x, y in pairs], one.__name__
+        assert many([], []).tolist() == []
+    assert all(fuzzy.lcs(x, y) == lcs_table(x, y) for x, y in pairs[:400:7])
+
+
 def test_columns_keep_null(spark):
     row = spark.createDataFrame([("a", None)], "a string, b string").select(fuzzy.fuzz_ratio("a", "b").alias("s")).first()
     assert row["s"] is None

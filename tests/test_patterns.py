@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions import fixed
 from ledgerlift.functions.expr import FLAGS
-from ledgerlift.functions.patterns import INVALID, UNSUPPORTED, read_patterns, translate
+from ledgerlift.functions.patterns import INVALID, UNSUPPORTED, necessary, read_patterns, translate
 from ledgerlift.operators import extraction, matching, rules
 
 TEXTS = ["", "Total: 12.50", "a(b)c {x} [y]", "1-2 && 3&4", "x\ny", "tab\there", "ABC abc", "aa{,3}", "££ 3.10", "a.b\\c", "foo foo", "\x07bell\x0b", "end\n", "9999", "é日本"]
@@ -53,6 +53,21 @@ def test_random_classes_and_repeats():
         assert len(re.findall(r"(?<!\\)(?:\\\\)*\((?!\?)", java)) == groups, (text, java)
 
 
+def test_what_a_pattern_needs_is_in_all_that_it_fits():
+    library = [p for ps in fixed.FIELD_PATTERNS.values() for p in ps]
+    needs = {p: necessary(p) for p in [*PATTERNS, *library]}
+    assert sum(needs[p] is not None for p in library) > len(library) / 3
+    slow = [p for p in library if ".*" in p]
+    assert slow and all(needs[p] for p in slow)
+    rng, words = random.Random(6), ["Tax", "VAT", "Street", "Rd", "Store", "Mall", "12345", "1234 AB", "12.50", ",", "Tel:", "store", "#", "Total", "(5%)", ":", "Express", "a", " ", "99", "Date", "-"]
+    plain = lambda p: re.sub(r"\\x\{([0-9a-f]+)\}", lambda m: re.escape(chr(int(m[1], 16))), p)
+    for _ in range(4000):
+        text = "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(rng.randint(1, 7)))
+        for p, need in needs.items():
+            if need is not None and re.search(p, text):
+                assert re.search(plain(need), text), (p, need, text)
+
+
 EXTRACTOR = "struct<expected_present:boolean,patterns:array<string>,line:int,offset_from_last_item:int,is_fuzzy_haystack:boolean>"
 TEMPLATE = (f"template_id string, merchant_name string, usage_count int, is_archived boolean, field_extractors map<string,{EXTRACTOR}>, "
             "has_line_items boolean, line_items_start_line int, item_patterns array<struct<pattern:string,groups:map<string,int>>>")
