@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed, fuzzy
 from ..operators import accounts, extraction as ex, learning, lifecycle, rules
-from ..plans import correct, parse
+from ..plans import confirm, correct, parse
 from ..session import shared_dir
 from ..sources.derived import DERIVED, SparkWords, quote
 from ..streaming import jobs as streams
@@ -246,8 +246,48 @@ def correction_batch(t):
         F.col("cost_items").alias("extracted_items"), "cost_items")
 
 
-add("l8_apply_correction", lambda t: correct.apply_corrections(correction_batch(t), t.templates, now("2024-03-01 08:30:00"))["outcomes"])
-add("l8_new_templates", lambda t: correct.apply_corrections(correction_batch(t), t.templates, now("2024-03-01 08:30:00"))["new_templates"].select(
+def applied(t):
+    return correct.apply_corrections(correction_batch(t), t.templates, now("2024-03-01 08:30:00"))
+
+
+D_BATCH = f"""batch AS (SELECT c.*, CASE WHEN c.receipt_id % 10 = 9 THEN 'unknown' ELSE r.template_used END AS template_id FROM corrected_receipts c JOIN receipts r USING (receipt_id)),
+  fields AS (SELECT b.*, t.usage_count, unnest(map_keys(t.field_extractors)) AS field FROM batch b JOIN templates t USING (template_id)),
+  given AS (SELECT receipt_id, template_id, usage_count, field,
+    coalesce(CASE field WHEN 'merchant_name' THEN merchant_name WHEN 'transaction_time' THEN CASE WHEN receipt_id % 6 = 0 THEN '' ELSE transaction_time END
+      WHEN 'total_amount' THEN CASE WHEN receipt_id % 3 = 0 THEN '0.00' ELSE total_amount END END, '') AS was,
+    coalesce(CASE field WHEN 'merchant_name' THEN merchant_name WHEN 'transaction_time' THEN transaction_time WHEN 'total_amount' THEN total_amount END, '') AS is_ FROM fields),
+  lowered AS (SELECT *, lower(was) AS a, lower(is_) AS b FROM given),
+  compared AS (SELECT *, NOT (CASE WHEN a = b THEN 100.0 ELSE {d_ratio('a', 'b')} END < 85 AND length(is_) > 0) AS is_correct, levenshtein(was, is_) AS distance FROM lowered),
+  counts AS (SELECT receipt_id, template_id, count(*) AS total, count(*) FILTER (is_correct) AS correct FROM compared GROUP BY 1, 2)"""
+add("l8_apply_correction", lambda t: applied(t)["outcomes"], ("corrected_receipts", "receipts", "templates"), f""", {D_BATCH}
+    SELECT b.receipt_id AS correction_id, b.template_id, t.template_id IS NOT NULL AS success,
+      CASE WHEN b.template_id IS NULL THEN 'Original template ID is required' WHEN t.template_id IS NULL THEN 'Original template ' || b.template_id || ' not found' END AS error,
+      CASE WHEN t.template_id IS NOT NULL THEN CASE WHEN coalesce(total - correct, 0) > 1 THEN 'created' ELSE 'updated' END END AS template_action
+    FROM batch b LEFT JOIN templates t ON t.template_id = b.template_id LEFT JOIN counts c ON c.receipt_id = b.receipt_id""")
+MAPPED = "array_to_string(list_sort(list_transform(map_entries({m}), lambda e: e.key || '=' || printf('%.4f', e.value))), ',')"
+mapped = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))), ",")
+add("l8_updated_templates", lambda t: correct.updated_templates(t.templates, applied(t)).select(
+        "template_id", F.round("success_rate", 6).alias("success_rate"), F.round("override_rate", 6).alias("override_rate"),
+        mapped("field_accuracy").alias("accuracy"), mapped("field_edit_distances").alias("distances"), F.round("avg_edit_distance", 4).alias("avg_edit_distance")),
+    ("corrected_receipts", "receipts", "templates"), f""", {D_BATCH},
+    placed AS (SELECT *, row_number() OVER (PARTITION BY template_id ORDER BY receipt_id DESC) - 1 AS back FROM counts),
+    rates AS (SELECT template_id, pow(0.7::DOUBLE, count(*)) AS keep, sum(30.0::DOUBLE * correct / total * pow(0.7::DOUBLE, back)) AS up,
+      sum(30.0::DOUBLE * (total - correct) / total * pow(0.7::DOUBLE, back)) AS down FROM placed GROUP BY 1),
+    folded AS (SELECT c.template_id, field, list_reduce(list_prepend(coalesce(any_value(t.field_accuracy)[field], 50.0::DOUBLE), list(CASE WHEN is_correct THEN 100.0::DOUBLE ELSE 0.0 END ORDER BY receipt_id)),
+        lambda r, x: r * 0.7::DOUBLE + x * 0.3::DOUBLE) AS accuracy,
+      any_value(c.usage_count) AS uses, list_prepend(coalesce(any_value(t.field_edit_distances)[field], 0.0::DOUBLE), list(distance::DOUBLE ORDER BY receipt_id)) AS ds
+      FROM compared c JOIN templates t ON t.template_id = c.template_id GROUP BY c.template_id, field),
+    averaged AS (SELECT *, CASE WHEN uses <= 1 THEN ds[len(ds)] ELSE list_reduce(list_transform(ds, lambda d: {{'c': uses::DOUBLE, 'd': d}}),
+        lambda r, x: {{'c': x.c, 'd': r.d * (x.c - 1) / x.c + x.d / x.c}}).d END AS distance FROM folded),
+    mapped AS (SELECT template_id, map_from_entries(list({{'k': field, 'v': accuracy}})) AS acc, map_from_entries(list({{'k': field, 'v': distance}})) AS dis FROM averaged GROUP BY 1),
+    merged AS (SELECT t.template_id, t.avg_edit_distance AS old_avg, m.dis IS NOT NULL AS touched,
+      coalesce(success_rate * keep + up, success_rate) AS success_rate, coalesce(override_rate * keep + down, override_rate) AS override_rate,
+      CASE WHEN m.acc IS NULL THEN t.field_accuracy ELSE map_concat(t.field_accuracy, m.acc) END AS acc,
+      CASE WHEN m.dis IS NULL THEN t.field_edit_distances ELSE map_concat(t.field_edit_distances, m.dis) END AS dis
+      FROM templates t LEFT JOIN rates r ON r.template_id = t.template_id LEFT JOIN mapped m ON m.template_id = t.template_id)
+    SELECT template_id, round(success_rate, 6) AS success_rate, round(override_rate, 6) AS override_rate, {MAPPED.format(m='acc')} AS accuracy, {MAPPED.format(m='dis')} AS distances,
+      round(CASE WHEN touched THEN list_avg(map_values(dis)) ELSE old_avg END, 4) AS avg_edit_distance FROM merged""")
+add("l8_new_templates", lambda t: applied(t)["new_templates"].select(
         "correction_id", "template_id", "merchant_name", F.size("field_extractors").alias("n_extractors")))
 
 # --- rules --------------------------------------------------------------------------------------------
@@ -314,15 +354,24 @@ add("v9_check_corrections", lambda t: t.merge_inputs.select("job_id", listed(rul
 
 SWEEP = "2024-01-18 12:00:00"
 D_SWEEP = f"""swept AS (SELECT f.job_id, path, CASE WHEN j.job_id IS NULL THEN 'orphaned' WHEN CASE WHEN stamp IS NOT NULL THEN TIMESTAMP '{SWEEP}' > stamp
-      ELSE modified_at < TIMESTAMP '{SWEEP}' - INTERVAL 7 DAYS END THEN 'expired' ELSE 'active' END AS action, status, stamp
+      ELSE modified_at < TIMESTAMP '{SWEEP}' - INTERVAL 7 DAYS END THEN 'expired' ELSE 'active' END AS planned, length % 11 = 0 AS stuck,
+      CASE WHEN planned <> 'active' AND stuck THEN 'error' ELSE planned END AS action, status, stamp
     FROM landing_files f LEFT JOIN (SELECT *, try_strptime(metadata['temp_expiration'], '%Y-%m-%dT%H:%M:%S') AS stamp FROM jobs WHERE status NOT IN ('confirmed', 'discarded')) j
       ON j.job_id = f.job_id)"""
-add("x1_sweep_temp_files", lambda t: lifecycle.sweep_temp_files(t.jobs, t.landing_files, now(SWEEP)), ("jobs", "landing_files"), f""", {D_SWEEP}
+
+
+def swept(t):
+    """Files whose length is a multiple of eleven can't be removed."""
+    return lifecycle.sweep_temp_files(t.jobs, t.landing_files, now(SWEEP), stuck=t.landing_files.where("length % 11 = 0").select("path"))
+
+
+add("x1_sweep_temp_files", swept, ("jobs", "landing_files"), f""", {D_SWEEP}
     SELECT job_id, path, action, CASE WHEN action = 'expired' AND status <> 'failed' THEN 'abandoned' ELSE status END AS new_status,
+      CASE WHEN action = 'expired' AND status <> 'failed' THEN '{SWEEP.replace(' ', 'T')}' END AS abandoned_at,
       CASE WHEN action = 'expired' THEN CASE WHEN stamp IS NOT NULL THEN 'Temporary file expired' ELSE 'Temporary file expired (7-day fallback)' END END AS error_message FROM swept""")
-add("a6_sweep_report", lambda t: lifecycle.sweep_report(lifecycle.sweep_temp_files(t.jobs, t.landing_files, now(SWEEP)), ["expired", "active", "orphaned"]),
+add("a6_sweep_report", lambda t: lifecycle.sweep_report(swept(t), ["expired", "active", "orphaned", "error"]),
     ("jobs", "landing_files"), f""", {D_SWEEP} SELECT count(*) FILTER (action = 'expired') AS expired_count, count(*) FILTER (action = 'active') AS active_count,
-    count(*) FILTER (action = 'orphaned') AS orphaned_count FROM swept""")
+    count(*) FILTER (action = 'orphaned') AS orphaned_count, count(*) FILTER (action = 'error') AS error_count FROM swept""")
 add("x2_stamp_expiry", lambda t: t.jobs.select("job_id", lifecycle.stamp_expiry(F.col("metadata"), F.col("created_at")).alias("m")).select(
         "job_id", F.size("m").alias("n_keys"), F.col("m")["temp_expiration"].alias("expires")), ("jobs",), """
     SELECT job_id, CAST(CASE WHEN map_contains(metadata, 'temp_expiration') THEN cardinality(metadata) ELSE cardinality(metadata) + 1 END AS INT) AS n_keys,
@@ -360,6 +409,49 @@ def d_once(table, number):
 add("x10_once_per_job", lambda t: lifecycle.once_per_job(t.job_events).select("job_id", "event_id", second("ts").alias("ts")), ("job_events",), f""", {d_once('job_events', 'event_id')}
     SELECT job_id, f[2] AS event_id, {d_second('f[1]')} AS ts FROM starts JOIN firsts USING (job_id, s)""")
 
+
+
+def confirmations(t):
+    """Two requests for every job of the first users, half an hour apart, some by a stranger, some with corrections."""
+    times = F.array(*[F.struct(F.lit(k).alias("k"), (F.col("created_at").cast("timestamp") + F.expr(f"INTERVAL {60 + 1800 * k} SECONDS")).alias("ts")) for k in range(2)])
+    rows = t.jobs.select("job_id", "user_id", F.substring("job_id", 2, 10).cast("long").alias("n"), F.explode(times).alias("r"))
+    return rows.select(
+        (F.col("n") * 2 + F.col("r.k")).alias("request_id"), "job_id",
+        F.when((F.col("n") % 7 == 0) & (F.col("r.k") == 0), "nobody").otherwise(F.col("user_id")).alias("requester"), F.col("r.ts").alias("ts"),
+        F.when(F.col("n") % 2 == 0, F.create_map(F.lit("category"), F.lit("food"))).alias("corrections"))
+
+
+def confirmed(t):
+    """Outcome, state and what else a confirmation leaves, one row per request."""
+    inputs = t.merge_inputs.withColumn("items", F.col("corrected_items"))
+    files = t.jobs.where("substring(job_id, 11, 1) <> '3'").select(
+        "job_id", F.concat(F.lit("jobs/"), "job_id").alias("path"), F.lit(b"x").alias("content"), F.lit(1).alias("length"), F.col("created_at").alias("modified_at"))
+    done = confirm.confirm(confirmations(t), t.jobs, files, t.templates, inputs, now(LATER))
+    receipt = done["receipts"].select("job_id", "merchant_name", F.lit(True).alias("has_receipt"))
+    out = done["outcomes"].join(done["jobs"].select("job_id", "status", F.col("metadata")["confirmed_at"].alias("confirmed_at")), "job_id")
+    out = out.join(receipt, "job_id", "left").join(done["learn"].select("request_id", F.lit(True).alias("learns")), "request_id", "left")
+    return out.select("request_id", "job_id", "outcome", "status", "confirmed_at", "merchant_name", F.coalesce("learns", F.lit(False)).alias("learns"))
+
+
+D_CONFIRM = """, asked AS (SELECT job_id, user_id, status, template_used, n, k, n * 2 + k AS request_id, CASE WHEN n % 7 = 0 AND k = 0 THEN 'nobody' ELSE user_id END AS requester
+      FROM (SELECT *, CAST(substr(job_id, 2, 10) AS BIGINT) AS n FROM jobs), (SELECT unnest([0, 1]) AS k)),
+    judged AS (SELECT *, CASE WHEN status <> 'completed' THEN 'not_completed' WHEN requester <> user_id THEN 'forbidden' ELSE 'able' END AS verdict,
+      substr(job_id, 11, 1) <> '3' AS has_file FROM asked)"""
+add("x8_confirm_plan", confirmed, ("jobs", "merge_inputs"), f"""{D_CONFIRM},
+    firsts AS (SELECT job_id, min(request_id) AS first FROM judged WHERE verdict = 'able' GROUP BY 1),
+    merged AS (SELECT job_id, map_concat(extracted, descriptions, corrections)['merchant_name'] AS m FROM merge_inputs)
+    SELECT request_id, j.job_id, CASE WHEN verdict <> 'able' THEN verdict WHEN NOT has_file THEN 'file_missing' WHEN request_id = first THEN 'confirmed' ELSE 'not_completed' END AS outcome,
+      CASE WHEN first IS NOT NULL AND has_file THEN 'confirmed' ELSE status END AS status, CASE WHEN first IS NOT NULL AND has_file THEN '{LATER.replace(' ', 'T')}' END AS confirmed_at,
+      CASE WHEN first IS NOT NULL AND has_file THEN coalesce(m, 'Unknown Merchant') END AS merchant_name, verdict = 'able' AND n % 2 = 0 AND request_id = first AS learns
+    FROM judged j LEFT JOIN firsts f ON f.job_id = j.job_id LEFT JOIN merged g ON g.job_id = j.job_id""")
+add("x8_confirm_rates", lambda t: confirm.confirm(
+        confirmations(t), t.jobs, t.jobs.select("job_id", F.lit("p").alias("path"), F.lit(b"x").alias("content"), F.lit(1).alias("length"), F.col("created_at").alias("modified_at")), t.templates,
+        t.merge_inputs.withColumn("items", F.col("corrected_items")), now(LATER))["rates"].select("template_id", "n", F.round("success_rate", 6).alias("success_rate")),
+    ("jobs", "templates"), f"""{D_CONFIRM},
+    used AS (SELECT template_used AS template_id, count(DISTINCT job_id) AS n FROM judged WHERE verdict = 'able' AND n % 2 <> 0 GROUP BY 1)
+    SELECT t.template_id, u.n, round(100 - (100 - (CASE WHEN success_rate = 0 THEN 100 ELSE success_rate * 0.7::DOUBLE + 30 END)) * pow(0.7::DOUBLE, u.n - 1), 6) AS success_rate
+    FROM templates t JOIN used u ON u.template_id = t.template_id""")
+
 # --- streams ---------------------------------------------------------------------------------------------
 
 

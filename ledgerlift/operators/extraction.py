@@ -211,6 +211,17 @@ def last_item_line(rows: Column) -> Column:
 
 # --- templates ready for extraction -------------------------------------------
 
+def with_pattern_lists(templates: DataFrame) -> DataFrame:
+    """Templates whose old extractors, with one ``regex`` text instead of a list of patterns, have a list."""
+    value = templates.schema["field_extractors"].dataType.valueType
+    if "regex" not in value.fieldNames():
+        return templates
+    none = F.array().cast("array<string>")
+    turned = lambda k, e: e.withField("patterns", F.when(
+        F.coalesce(F.size(e["patterns"]), F.lit(0)) > 0, e["patterns"]).when(e["regex"].isNotNull(), F.array(e["regex"])).otherwise(none)).dropFields("regex")
+    return templates.withColumn("field_extractors", F.transform_values("field_extractors", turned))
+
+
 def template_patterns(templates: DataFrame, *columns: str) -> DataFrame:
     """(template_id, pattern) of all patterns in the named columns."""
     lists = {"field_extractors": F.flatten(F.transform(F.map_values("field_extractors"), lambda e: F.coalesce(e["patterns"], F.array().cast("array<string>")))),
@@ -233,8 +244,9 @@ def prepare_templates(templates: DataFrame) -> DataFrame:
     """Templates with patterns that the engine can run, and ``faults``: those set aside, each with its reason.
 
     Extraction takes templates prepared like this; a pattern that the engine rejects would end the whole job. Patterns
-    of multi-line extractors aren't run, only read, and stay.
+    of multi-line extractors aren't run, only read, and stay. Old extractors get their list of patterns.
     """
+    templates = with_pattern_lists(templates)
     ready = templates.join(pattern_faults(templates, "field_extractors", "item_patterns"), "template_id", "left")
     reading = lambda p: F.try_element_at("readings", p)
     fields = F.transform_values("field_extractors", lambda k, e: e.withField("patterns", F.when(

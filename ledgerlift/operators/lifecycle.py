@@ -206,11 +206,13 @@ def once_per_job(requests: DataFrame, seconds: int = 3600, key: str = "job_id",
 
 # --- sweeps ---------------------------------------------------------------------------------
 
-def sweep_temp_files(jobs: DataFrame, files: DataFrame, now: Column, fallback_days: int = 7) -> DataFrame:
-    """Action per file and job: expired, active or orphaned.
+def sweep_temp_files(jobs: DataFrame, files: DataFrame, now: Column, fallback_days: int = 7, stuck: DataFrame | None = None) -> DataFrame:
+    """Action per file and job: expired, active, orphaned, or error if the file is among the ``stuck`` ones (path) that
+    could not be removed, whose job stays as it is.
 
     An open job's file expires at its stamp, or after seven days when the stamp
-    is missing or unreadable; files of closed or unknown jobs are orphans.
+    is missing or unreadable; files of closed or unknown jobs are orphans. A job
+    that loses its file is abandoned, unless it failed, and told when (``abandoned_at``).
     """
     open_jobs = jobs.where(~F.coalesce(F.col("status").isin(*CLOSED), F.lit(False)))
     joined = files.select("job_id", "path", "modified_at").join(
@@ -220,10 +222,15 @@ def sweep_temp_files(jobs: DataFrame, files: DataFrame, now: Column, fallback_da
     old = F.col("modified_at") < now - F.expr(f"INTERVAL {int(fallback_days)} DAYS")
     expired = F.when(stamp.isNotNull(), now > stamp).otherwise(old)
     rows = joined.withColumn("action", F.when(F.col("open").isNull(), "orphaned").when(expired, "expired").otherwise("active"))
+    if stuck is not None:
+        rows = rows.join(stuck.select("path", F.lit(True).alias("stuck")).distinct(), "path", "left").withColumn(
+            "action", F.when((F.col("action") != "active") & F.col("stuck"), "error").otherwise(F.col("action")))
+    abandoned = (F.col("action") == "expired") & ~F.col("status").isin("failed")
     reason = F.when(stamp.isNotNull(), "Temporary file expired").otherwise("Temporary file expired (7-day fallback)")
     return rows.select(
         "job_id", "path", "action",
-        F.when((F.col("action") == "expired") & ~F.col("status").isin("failed"), "abandoned").otherwise(F.col("status")).alias("new_status"),
+        F.when(abandoned, "abandoned").otherwise(F.col("status")).alias("new_status"),
+        F.when(abandoned, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss")).alias("abandoned_at"),
         F.when(F.col("action") == "expired", reason).alias("error_message"))
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import fixed
 from ..operators.extraction import with_lines
 from ..operators.learning import (build_template_rows, correction_counts, derive_field_extractors, ewma_field_accuracy,
-                                  ewma_rates, field_corrected, items_corrected, needs_new_template, running_edit_distance,
-                                  template_from_correction)
+                                  ewma_rates, field_corrected, items_corrected, map_mean, needs_new_template,
+                                  running_edit_distance, template_from_correction)
 
 
 def compare_corrections(corrections: DataFrame, templates: DataFrame) -> DataFrame:
@@ -54,3 +54,25 @@ def apply_corrections(corrections: DataFrame, templates: DataFrame, now: Column)
         "outcomes": outcomes, "new_templates": new_templates, "rates": ewma_rates(counts, templates),
         "accuracy": ewma_field_accuracy(compared, starts), "edit_distances": running_edit_distance(
             compared, starts=templates.select("template_id", F.explode("field_edit_distances").alias("field", "start")))}
+
+
+def _merged(old: Column, new: Column) -> Column:
+    """A map with the entries of another one put over its own."""
+    return F.when(new.isNull(), old).otherwise(F.map_concat(
+        F.coalesce(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), F.create_map().cast("map<string,double>")), new))
+
+
+def updated_templates(templates: DataFrame, applied: dict[str, DataFrame]) -> DataFrame:
+    """The template table after ``apply_corrections``: rates, accuracy and edit distance of each field, and the mean of
+    the distances. Templates without corrections, and fields that none of them touched, stay as they are."""
+    def per_field(name: str, value: str) -> DataFrame:
+        return applied[name].groupBy("template_id").agg(F.map_from_entries(F.collect_list(F.struct("field", value))).alias(f"new_{value}"))
+
+    rates = applied["rates"].select("template_id", F.col("success_rate").alias("new_success"), F.col("override_rate").alias("new_override"))
+    joined = (templates.join(rates, "template_id", "left").join(per_field("accuracy", "accuracy"), "template_id", "left")
+              .join(per_field("edit_distances", "edit_distance"), "template_id", "left"))
+    distances = _merged(F.col("field_edit_distances"), F.col("new_edit_distance"))
+    changed = {"success_rate": F.coalesce("new_success", "success_rate"), "override_rate": F.coalesce("new_override", "override_rate"),
+               "field_accuracy": _merged(F.col("field_accuracy"), F.col("new_accuracy")), "field_edit_distances": distances,
+               "avg_edit_distance": F.when(F.col("new_edit_distance").isNotNull(), map_mean(distances)).otherwise(F.col("avg_edit_distance"))}
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in templates.columns])
