@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ..functions import fixed, text as tx
+from ..functions import expr, fixed, text as tx
 from ..functions.expr import pattern
 from ..operators import extraction as ex, matching, receipts
 from ..plans import parse
@@ -103,8 +103,9 @@ LIBRARY = [(f, i, p) for f, patterns in fixed.FIELD_PATTERNS.items() for i, p in
 
 def library_hits(t):
     """What every library pattern of every field reads from every line, summed up per pattern."""
-    reads = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(i).alias("ord"), tx.library_value(F.col("line"), p).alias("value")) for f, i, p in LIBRARY])
-    rows = ex.ocr_lines(t.ocr_receipts, "receipt_id").select(F.explode(reads).alias("r")).select("r.*").where("value is not null")
+    reads = F.array_compact(F.array(*[F.when(tx.library_fits(F.col("line"), p), F.struct(
+        F.lit(f).alias("field"), F.lit(i).alias("ord"), F.regexp_extract("line", expr.FLAGS + p, 1).alias("value"))) for f, i, p in LIBRARY]))
+    rows = ex.ocr_lines(t.ocr_receipts, "receipt_id").select(F.explode(reads).alias("r")).select("r.*")
     return rows.groupBy("field", "ord").agg(F.count("*").alias("n"), F.sum(F.length("value")).alias("chars"),
                                             F.min("value").alias("first_value"), F.max("value").alias("last_value"))
 

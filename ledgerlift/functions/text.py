@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from . import fixed
-from .expr import FLAGS, any_of, bind, found, pattern
+from .expr import FLAGS, any_of, bind
 from .patterns import necessary
 
 _SPACE = r"\p{IsWhite_Space}\x1c-\x1f"
@@ -120,12 +120,16 @@ def currency_aware(patterns: Column, symbol: Column) -> Column:
     return F.concat(widened, patterns)
 
 
-def library_value(line: Column, text: str) -> Column:
-    """What a library pattern reads from a line, NULL if it doesn't fit. Most lines lack what the pattern needs and
-    are never searched with it."""
+def library_fits(line: Column, text: str) -> Column:
+    """Whether a library pattern fits a line. Most lines lack what the pattern needs and are never searched with it."""
     needs = necessary(text)
-    fits = found(line, pattern(text)) if needs is None else line.rlike(FLAGS + needs) & found(line, pattern(text))
-    return F.when(fits, F.call_function("regexp_extract", line, pattern(text), F.lit(1)))
+    fits = line.rlike(FLAGS + text)
+    return fits if needs is None else line.rlike(FLAGS + needs) & fits
+
+
+def library_value(line: Column, text: str) -> Column:
+    """What a library pattern reads from a line, NULL if it doesn't fit."""
+    return F.when(library_fits(line, text), F.regexp_extract(line, FLAGS + text, 1))
 
 
 def first_library_match(line: Column, field: str) -> Column:
