@@ -18,7 +18,7 @@ HEADLINE = [
     "w8_item_section_bounds", "l2_derive_item_pattern", "j11_fuzzy_merchant_match", "w6_template_candidates_by_name",
     "w1_ewma_rates", "w4_running_edit_distance",
     "p13_receipt_listing", "k2_export_json", "k8_upsert_receipts", "j16_merge_with_precedence", "m5_build_receipts",
-    "x1_sweep_temp_files", "x10_once_per_job", "r3_stream_job_expiry",
+    "x1_sweep_temp_files", "x10_once_per_job", "r3_stream_job_expiry", "f12_field_pattern_library", "l1_derive_field_extractors",
 ]
 
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..functions import expr, fixed, text as tx
-from ..functions.expr import pattern
 from ..operators import extraction as ex, matching, receipts
 from ..plans import parse
 from ..sources.derived import TEMPLATE_EXTRACTORS, TEMPLATE_ITEM_PATTERN, quote

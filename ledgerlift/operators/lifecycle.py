@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.expr import instant
 from ..functions.ledger import file_extension, format_minute
 from ..sources.scratch import written
-from .receipts import owned_by
 
 CLOSED = ("confirmed", "discarded")
 
