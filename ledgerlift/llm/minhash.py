@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from .blocks import digest, grouped, join_lists, runs, whole_sets
 from .jaccard import shingle_sets
-from .links import components
 from .store import free_name, stored, text_of
 from .tokens import parted
 
@@ -19,14 +18,10 @@ from .tokens import parted
 TUPLE = 3
 #: How likely a pair of exactly the asked similarity may share no key, and may be left out by its signature.
 MISS = 1e-5
-#: Rows of one bucket that a task holds, and rows of each side of a block of signatures.
+#: Rows of one bucket that a task holds.
 HELD = 1 << 15
-BLOCK = 1024
-#: Ranks of candidates in a block that are verified in one round.
-RANKS = ((0, 4), (4, 64), (64, 1 << 62))
-#: How many times open buckets get heads at random before their blocks are compared.
-TURNS = 2
-_FILTER_BITS = 24
+#: One in so many first values tells members of large buckets their head.
+HEADS = 4
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 
 
@@ -74,10 +69,6 @@ def collections(minhashes: np.ndarray, values: int) -> np.ndarray:
     return out + np.arange(2 * values, dtype=np.uint64) * _ODD[3]
 
 
-def _digest(held: np.ndarray) -> bytes:
-    return hashlib.blake2b(held.tobytes(), digest_size=16).digest()
-
-
 def _flat(column: pa.Array, kind: str, width: int) -> np.ndarray:
     """Binary values of equal size as rows of numbers."""
     joined = b"".join(column.to_pylist())
@@ -100,7 +91,7 @@ def member_table(docs: DataFrame, width: int, values: int, id_column: str, text_
                 pairs = iter(x.tobytes() for x in collections(minhashes, values))
                 low = iter(x.tobytes() for x in (minhashes >> np.uint64(24)).astype(np.uint16))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n), pa.array([_digest(s) if len(s) else None for s in sets], pa.binary()),
+                [batch.column(0), pa.array(n), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()),
                  pa.array([next(pairs) if x else None for x in n], pa.binary()), pa.array([next(low) if x else None for x in n], pa.binary())],
                 names=["doc_id", "n", "cls", "pairs", "lanes"])
 
@@ -109,31 +100,26 @@ def member_table(docs: DataFrame, width: int, values: int, id_column: str, text_
 
 
 def _first_values(classes: DataFrame, values: int) -> DataFrame:
-    """(first, cls, second): a row for each value of the first collection, with the whole second one, sorted over all tasks."""
+    """(first, cls, second, n): a row for each value of the first collection, with the whole second one, sorted over all tasks."""
     def run(batches):
         for batch in batches:
             if batch.num_rows:
                 both = _flat(batch.column(1), "<u8", 2 * values)
-                names = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), values)))
+                names, n = (batch.column(i).take(pa.array(np.repeat(np.arange(batch.num_rows), values))) for i in (0, 2))
                 second = [x.tobytes() for x in both[:, values:]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(both[:, :values].ravel().view(np.int64)), names, pa.array(np.repeat(np.array(second, object), values), pa.binary())],
-                    names=["first", "cls", "second"])
+                    [pa.array(both[:, :values].ravel().view(np.int64)), names, pa.array(np.repeat(np.array(second, object), values), pa.binary()), n],
+                    names=["first", "cls", "second", "n"])
 
-    rows = classes.select("cls", "pairs").mapInArrow(run, "first long, cls binary, second binary")
+    rows = classes.select("cls", "pairs", "n").mapInArrow(run, "first long, cls binary, second binary, n long")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartitionByRange(n, "first", "cls").sortWithinPartitions("first", "cls")
 
 
-def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    begin = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
-    return begin, np.diff(np.append(begin, len(x)))
-
-
-def _buckets(rows: pa.RecordBatch, cut: np.ndarray, values: int) -> pa.RecordBatch:
-    """Pairs and buckets of rows (first, cls, second) that are sorted; ``cut`` marks rows whose first value has rows elsewhere."""
+def _buckets(rows: pa.RecordBatch, cut: np.ndarray, values: int, percent: int) -> pa.RecordBatch:
+    """Pairs and buckets of rows (first, cls, second, n) that are sorted; ``cut`` marks rows whose first value has rows elsewhere."""
     first = rows.column(0).to_numpy().view(np.uint64)
-    begin, size = _runs(first)
+    begin, size = runs(first)
     rows = rows.filter(pa.array(np.repeat(size > 1, size) | cut))
     cut = cut[np.repeat(size > 1, size) | cut]
     first = rows.column(0).to_numpy().view(np.uint64)
@@ -141,14 +127,19 @@ def _buckets(rows: pa.RecordBatch, cut: np.ndarray, values: int) -> pa.RecordBat
     key = _mixed(first[:, None] * _ODD[0] + second).ravel()
     order = np.argsort(key, kind="stable")
     key, row = key[order], order // values
-    begin, size = _runs(key)
+    begin, size = runs(key)
     name = rows.column(1).dictionary_encode()
     code = name.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # every member with the first one of its bucket
-    head = code[np.repeat(row[begin], size)] if len(row) else row
-    met = np.unique(head * (len(name.dictionary) + 1) + code[row])
+    # both members of a bucket of two; of larger ones, for some first values, every member with its lowest head
+    head, large = np.repeat(row[begin], size) if len(row) else row, np.repeat(size > 2, size)
+    told = large & (_mixed(first[row]) % np.uint64(HEADS) == 0)
+    order = np.lexsort((head[told], row[told]))
+    at = runs(row[told][order])[0]
+    x, y = (np.concatenate([v[~large], v[told][order][at]]) for v in (head, row))
+    n = rows.column(3).to_numpy()
+    fits = (code[x] != code[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    met = np.unique(code[x[fits]] * (len(name.dictionary) + 1) + code[y[fits]])
     a, b = met // (len(name.dictionary) + 1), met % (len(name.dictionary) + 1)
-    a, b = a[a != b], b[a != b]
     # buckets of three or more, once for each set of members, and all that may have members elsewhere
     open_ = cut[row[begin]] if len(row) else np.zeros(0, bool)
     held = np.add.reduceat(_mixed(code[row].astype(np.uint64) + np.uint64(1)), begin) if len(row) else np.zeros(0, np.uint64)
@@ -164,9 +155,12 @@ def _buckets(rows: pa.RecordBatch, cut: np.ndarray, values: int) -> pa.RecordBat
          take(np.concatenate([b, code[row[of]]])).cast(pa.binary())], names=["key", "a", "b"])
 
 
-def bucket_table(classes: DataFrame, values: int) -> DataFrame:
-    """(key, a, b): without key, sets a and b that share a table's key, a being the first of its bucket; with one, a member b
-    of a bucket that has more than two members or that several tasks or slices hold.
+def bucket_table(classes: DataFrame, values: int, percent: int) -> DataFrame:
+    """(key, a, b): without key, sets a and b that share a table's key and whose sizes allow a link, a being the first of its
+    bucket; with one, a member b of a bucket that has more than two members or that several tasks or slices hold.
+
+    All pairs of buckets of two are there. In larger buckets, whose members are compared later, heads only save work; one
+    in HEADS of the first values tells each of its members one head.
 
     A table's key is a value of the first collection with one of the second. Rows are grouped by the first value; the
     keys are formed in the task, only where that value has company. A first value that very many sets have goes to
@@ -184,155 +178,50 @@ def bucket_table(classes: DataFrame, values: int) -> DataFrame:
             first = batch.column(0).to_numpy()
             last = int(np.searchsorted(first, first[-1]))
             if last:
-                yield _buckets(batch.slice(0, last), first[:last] == elsewhere, values)
+                yield _buckets(batch.slice(0, last), first[:last] == elsewhere, values, percent)
             held = batch.slice(last)
             if held.num_rows >= HELD:
-                yield _buckets(held, np.ones(held.num_rows, bool), values)
+                yield _buckets(held, np.ones(held.num_rows, bool), values, percent)
                 elsewhere, held = int(first[-1]), None
         if held is not None:
-            yield _buckets(held, np.ones(held.num_rows, bool), values)
+            yield _buckets(held, np.ones(held.num_rows, bool), values, percent)
 
     return _first_values(classes, values).mapInArrow(run, "key long, a binary, b binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, lanes: int, percent: int) -> DataFrame:
-    """Pairs (a, b, ...) whose sizes allow a link and whose signatures don't speak against it, with the count of equal minhashes."""
+    """Pairs (a, b) whose sizes allow a link and whose minhashes don't speak against it."""
     side = lambda s: classes.select(F.col("cls").alias(s), F.col("n").alias(f"n_{s}"), F.col("lanes").alias(f"lanes_{s}"))
     met = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    other = [c for c in pairs.columns if c not in ("a", "b")]
     least = least_equal(lanes, percent)
 
     def run(batches):
         for batch in batches:
             x, y = (_flat(batch.column(i), "<u2", lanes) if batch.num_rows else np.zeros((0, lanes)) for i in (0, 1))
-            same = (x == y).sum(axis=1)
-            out = pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(same.astype(np.int64))], names=["a", "b", *other, "same"])
-            yield out.filter(pa.array(same >= least))
-
-    kinds = {f.name: f.dataType.simpleString() for f in pairs.schema}
-    return met.select("lanes_a", "lanes_b", "a", "b", *other).mapInArrow(
-        run, ", ".join(f"{c} {kinds[c]}" for c in ("a", "b", *other)) + ", same long")
-
-
-def _whole_sets(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, held): the shingles of the sets named in ``wanted``, computed again from the texts.
-
-    A filter of fixed size tells tasks which sets may be wanted; a task sends a set that it has just sent only once.
-    """
-    at = F.conv(F.hex(F.substring("cls", 1, _FILTER_BITS // 8)), 16, 10).cast("long")
-    words = (wanted.select(at.alias("at")).select(F.expr("shiftright(at, 6)").alias("word"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("bit"))
-             .groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow())
-    mask = np.zeros(1 << _FILTER_BITS - 6, np.int64)
-    mask[words["word"].to_numpy()] = words["bits"].to_numpy()
-    mask = mask.view(np.uint64)
-
-    def run(batches):
-        sent: set[bytes] = set()
-        for batch in parted(batches):
-            names, held = [], []
-            for s in shingle_sets(batch.column(0), width):
-                if not len(s):
-                    continue
-                name = _digest(s)
-                bit = int.from_bytes(name[:_FILTER_BITS // 8], "big")
-                if int(mask[bit >> 6]) >> (bit & 63) & 1 and name not in sent:
-                    sent.add(name)
-                    names.append(name)
-                    held.append(s.view(np.int64))
-            if len(sent) > HELD:
-                sent.clear()
-            size = np.cumsum([0] + [len(s) for s in held])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.binary()), pa.ListArray.from_arrays(pa.array(size, pa.int32()), pa.array(np.concatenate(held) if held else [], pa.int64()))],
-                names=["cls", "held"])
+            out = pa.RecordBatch.from_arrays(batch.columns[2:], names=["a", "b"])
+            yield out.filter(pa.array((x == y).sum(axis=1) >= least))
 
-    return texts.mapInArrow(run, "cls binary, held array<long>").dropDuplicates(["cls"]).join(wanted, "cls", "left_semi")
+    return met.select("lanes_a", "lanes_b", "a", "b").mapInArrow(run, "a binary, b binary")
 
 
-def _verified(texts: DataFrame, width: int, pairs: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by the overlap of their whole sets."""
-    wanted = stored(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), "wanted")
-    sets = _whole_sets(texts, width, wanted)
-    met = (pairs.select("a", "b").join(sets.select(F.col("cls").alias("a"), F.col("held").alias("held_a")), "a")
-           .join(sets.select(F.col("cls").alias("b"), F.col("held").alias("held_b")), "b"))
+    met = (pairs.select("a", "b").join(known.select(F.col("cls").alias("a"), F.col("held").alias("held_a")), "a")
+           .join(known.select(F.col("cls").alias("b"), F.col("held").alias("held_b")), "b"))
     both = F.size(F.array_intersect("held_a", "held_b"))
     return met.where(100 * both >= percent * (F.size("held_a") + F.size("held_b") - both)).select("a", "b")
 
 
-def _open_buckets(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, cls, comp) of the buckets that hold several groups, once for equal buckets."""
-    rows = members.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    keys = (rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n"),
-                                    F.bit_xor(F.xxhash64("cls")).alias("x"), F.bit_xor(F.xxhash64("cls", F.lit(1))).alias("y"))
-            .where("low < high").groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n"))
-    return stored(rows.join(keys, "key"), "open")
-
-
-def _with_heads(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b, comp): members of open buckets with a head in another group, drawn anew for each bucket and turn."""
-    heads = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("cls", "key", F.lit(turn)).alias("at"), "cls", "comp")).alias("head"))
-    return (rows.join(heads, "key").where(F.col("comp") != F.col("head.comp"))
-            .select(F.col("cls").alias("a"), F.col("head.cls").alias("b"), F.col("head.comp").alias("comp")).distinct())
-
-
-def _blocks(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """(key, cls, n, lanes, outside, block, blocks): members of open buckets, dealt into blocks; ``outside`` marks those that aren't
-    in the bucket's largest group."""
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "comp")).alias("main")).select("key", F.col("main.comp").alias("main"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    marked = rows.join(main, "key").select("key", "cls", (F.col("comp") != F.col("main")).alias("outside"), blocks.alias("blocks"))
-    return (marked.withColumn("block", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
-            .join(classes.select("cls", F.col("n"), "lanes"), "cls"))
-
-
-def _block_pairs(blocks: DataFrame, groups: DataFrame, lanes: int, percent: int, low: int, high: int) -> DataFrame:
-    """(a, b): pairs of different groups with like signatures, those that rank from ``low`` to ``high`` among a's partners in a block.
-
-    Ranks count all like members of the block, whatever their groups, so they mean the same in each round. Two members
-    of a bucket's first largest group need no comparison; every other pair has a member outside of it.
-    """
-    rows = blocks.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    still = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high").select("key")
-    rows = rows.join(still, "key")
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    plain = ["key", "cls", "comp", "n", "lanes"]
-    asks = rows.where("outside").select(*plain, F.col("block").alias("x"), every.alias("y"), F.lit(True).alias("asks"))
-    told = rows.select(*plain, every.alias("x"), F.col("block").alias("y"), F.lit(False).alias("asks"))
-    least = least_equal(lanes, percent)
-
-    def compare(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy()
-        names, comps, sizes = (table.column(c).to_pylist() for c in ("cls", "comp", "n"))
-        sizes = np.array(sizes)
-        low_bits = np.frombuffer(b"".join(table.column("lanes").to_pylist()), "<u2").reshape(len(names), lanes)
-        told = np.flatnonzero(~asks)
-        told = told[np.argsort(np.array([names[i] for i in told], object), kind="stable")] if len(told) else told
-        a, b = [], []
-        for i in np.flatnonzero(asks):
-            same = (low_bits[told] == low_bits[i]).sum(axis=1)
-            fits = (same >= least) & (100 * np.minimum(sizes[told], sizes[i]) >= percent * np.maximum(sizes[told], sizes[i]))
-            like = told[fits][np.argsort(-same[fits], kind="stable")]
-            for j in [j for j in like if names[j] != names[i]][low:high]:
-                if comps[i] != comps[j]:
-                    a.append(names[i])
-                    b.append(names[j])
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
-
-    found = asks.unionByName(told).groupBy("key", "x", "y").applyInArrow(compare, "a binary, b binary")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
 def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, cls) of each document; linked if 100 * overlap >= percent * union of shingles.
 
     Minhashes are computed for two small collections of values. A key of a table is a value of the first with one of the
     second, so m values on each side give m * m tables; two sets meet if they share a value on both sides. Documents of
-    equal sets are one class. Classes that meet are first compared with the first member of each bucket, on signatures
-    and then on whole sets, which decide. Buckets that still hold several groups get other heads, and at last blocks of
-    their members are compared by signature, and all like pairs of different groups are verified on whole sets.
+    equal sets are one class. Classes that meet are first compared with the first member of each bucket, on minhashes
+    and then on whole sets, which decide. Members of buckets that still hold several groups are compared on whole sets, each
+    outside of the largest group with all others, in blocks of bounded size; what comes out of that are links only.
 
-    A link is missed only if two sets share no key or their signatures mislead: at the asked similarity with a chance of
+    A link is missed only if two sets share no key, or meet only in their first comparison, where minhashes may mislead: at the asked similarity with a chance of
     MISS, and less above it. No pair that doesn't link on whole sets is joined. component_id is the smallest id that links
     reach, a null id only if no other is reached; ``kept`` says that it is the document's own (null with null). Documents
     without words are alone. Repeated rows are documents of one class. Other columns are left out.
@@ -343,37 +232,20 @@ def near_groups(docs: DataFrame, width: int = 3, percent: int = 85, id_column: s
     members = stored(member_table(docs, width, values, id_column, text_column), "signatures")
     classes = stored(members.where("n > 0").groupBy("cls").agg(F.first("n").alias("n"), F.first("pairs").alias("pairs"),
                                                                F.first("lanes").alias("lanes")), "classes")
-    met = stored(bucket_table(classes, values), "buckets")
+    met = stored(bucket_table(classes, values, percent), "buckets")
     buckets = met.where("key is not null").select("key", F.col("b").alias("cls"))
-    links, groups = None, stored(classes.select("cls", F.col("cls").alias("comp")).limit(0), "groups")
-
-    def join_up(pairs: DataFrame) -> None:
-        nonlocal links, groups
-        likely = stored(pairs, "likely")
-        if likely.isEmpty():
-            return
-        found = stored(_verified(texts, width, likely, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = stored(components(links).select(F.col("node").alias("cls"), "comp"), "groups")
-
-    join_up(_likely(met.where("key is null").select("a", "b").distinct(), classes, lanes, percent))
-    rows = None
-    for turn in range(TURNS):
-        rows = _open_buckets(buckets, groups)
-        if rows.isEmpty():
-            break
-        likely = _likely(_with_heads(rows, turn), classes, lanes, percent)
-        best = F.row_number().over(Window.partitionBy("a", "comp").orderBy(F.desc("same"), "b"))
-        join_up(likely.withColumn("rank", best).where("rank <= 3").select("a", "b"))
-    rows = _open_buckets(buckets, groups)
-    if not rows.isEmpty():
-        blocks = stored(_blocks(rows, classes), "blocks")
-        for low, high in RANKS:
-            join_up(_block_pairs(blocks, groups, lanes, percent, low, high))
-    grouped = stored(members.select("doc_id", "n", "cls").join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "grouped")
-    least = grouped.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    some = grouped.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
-    none = grouped.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls")
+    groups = stored(classes.select("cls", F.col("cls").alias("comp")).limit(0), "groups")
+
+    first = stored(_likely(met.where("key is null").select("a", "b").distinct(), classes, lanes, percent), "likely")
+    wanted = stored(first.select(F.col("a").alias("cls")).union(first.select("b")).union(buckets.select("cls")).distinct(), "wanted")
+    known = stored(whole_sets(texts, lambda batch: shingle_sets(batch, width), wanted), "known")
+
+    links = stored(_verified(first, known, percent), "links")
+    groups = join_lists(buckets, grouped(links, groups), links, known, percent)
+    placed = stored(members.select("doc_id", "n", "cls").join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "grouped")
+    least = placed.where("n > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    some = placed.where("n > 0").join(least, "comp").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "cls")
+    none = placed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "cls")
     return some.unionByName(none).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
