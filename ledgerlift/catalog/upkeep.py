@@ -264,8 +264,9 @@ add("l8_apply_correction", lambda t: applied(t)["outcomes"], ("corrected_receipt
       CASE WHEN b.template_id IS NULL THEN 'Original template ID is required' WHEN t.template_id IS NULL THEN 'Original template ' || b.template_id || ' not found' END AS error,
       CASE WHEN t.template_id IS NOT NULL THEN CASE WHEN coalesce(total - correct, 0) > 1 THEN 'created' ELSE 'updated' END END AS template_action
     FROM batch b LEFT JOIN templates t ON t.template_id = b.template_id LEFT JOIN counts c ON c.receipt_id = b.receipt_id""")
-MAPPED = "array_to_string(list_sort(list_transform(map_entries({m}), lambda e: e.key || '=' || printf('%.4f', e.value))), ',')"
-mapped = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"])))), ",")
+# The hair added keeps values that end in 5 from being rounded up by one engine and down by the other.
+MAPPED = "array_to_string(list_sort(list_transform(map_entries({m}), lambda e: e.key || '=' || printf('%.4f', e.value + 1e-7))), ',')"
+mapped = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.4f", e["value"] + F.lit(1e-7))))), ",")
 add("l8_updated_templates", lambda t: correct.updated_templates(t.templates, applied(t)).select(
         "template_id", F.round("success_rate", 6).alias("success_rate"), F.round("override_rate", 6).alias("override_rate"),
         mapped("field_accuracy").alias("accuracy"), mapped("field_edit_distances").alias("distances"), F.round("avg_edit_distance", 4).alias("avg_edit_distance")),
