@@ -13,11 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .store import free_name, label_sample, text_of
+from .tokens import slices
 
 #: Characters at both ends of a word that are no part of its token.
 EDGES = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 #: A token is a word or its beginning of so many letters.
 STEMS = (4, 5, 6, 7)
+#: Bytes of text that a task scans at a time.
+AT_ONCE = 1 << 20
+#: Decays that the law of extreme values is tried with.
+DECAYS = np.linspace(0.1, 3.0, 59)
 
 
 @dataclass
@@ -90,6 +95,13 @@ def _scored_words(texts: pa.Array, model: Model) -> Iterator[tuple[int, list[int
         yield int(starts[i + 1] - starts[i]), (part - starts[i]).tolist(), flat[part].tolist()
 
 
+def _parts(*columns: pa.Array) -> Iterator[list[pa.Array]]:
+    """The columns, the first of which holds texts, cut by bytes of text."""
+    rows = pa.RecordBatch.from_arrays(list(columns), names=[str(i) for i in range(len(columns))])
+    for part in slices(rows, "0", AT_ONCE):
+        yield part.columns
+
+
 def evidence(n_words: int, found: list[tuple[int, int, float]], model: Model) -> float:
     """Sum over segments of how far each passes the score expected by chance in so many words (extreme-value law)."""
     if not found:
@@ -106,15 +118,15 @@ def score_of(x: float, model: Model) -> float:
 def _token_counts(rows: DataFrame) -> DataFrame:
     """(token, toxic and other texts that hold it) of rows (text, label)."""
     def run(batches):
-        for batch in batches:
-            split = pc.ascii_split_whitespace(batch.column(0).fill_null(""))
+        for texts, labels in (part for batch in batches for part in _parts(*batch.columns)):
+            split = pc.ascii_split_whitespace(texts.fill_null(""))
             bounds = split.offsets.to_numpy()
             coded = split.values[bounds[0]:bounds[-1]].dictionary_encode()
             index: dict[str, int] = {}
             of_word = [[index.setdefault(t, len(index)) for t in tokens_of(w)] for w in coded.dictionary.to_pylist()]
             at = coded.indices.to_numpy(zero_copy_only=False)
             seen = np.zeros((2, len(index) + 1), np.int64)
-            for i, label in enumerate(batch.column(1).to_pylist()):
+            for i, label in enumerate(labels.to_pylist()):
                 words = np.unique(at[bounds[i] - bounds[0]:bounds[i + 1] - bounds[0]])
                 held = {t for w in words.tolist() for t in of_word[w]}
                 seen[label, list(held)] += 1
@@ -132,22 +144,25 @@ def train_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, most: in
     """(text, label) of at most ``most`` labelled documents, each distinct text once.
 
     The sample takes the labels of smallest id hash, so it is the same in each run; its bound makes it safe to send
-    to all tasks. Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
+    to all tasks. Of more distinct texts, if ids repeat, those of smallest hash stay. Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
     """
     sample = label_sample(labels, keep, most, id_column, label_column)
     rows = (docs.select(docs[id_column].alias("_id"), text_of(docs, text_column).alias("text"))
             .join(F.broadcast(sample), "_id"))
-    return rows.groupBy(F.sha2("text", 256)).agg(F.first("text").alias("text"), F.max("label").alias("label")).select("text", "label")
+    distinct = rows.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
+    return distinct.orderBy("_hash").limit(most).select("text", "label")
 
 
 def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens: int = 20_000) -> Model:
     """Learn the model from (text, label) rows.
 
     Each token gets the log-odds of standing in a toxic text against another one, with a Dirichlet prior of weight
-    ``prior`` that follows the token's share of all texts. Tokens whose log-odds pass ``least_z`` standard deviations
-    are kept, at most ``most_tokens`` of them, strongest first; all other words share one small negative score, so
-    segments end. The law of extreme values is fitted to segments in texts without the label, and a logistic curve
-    turns the summed evidence into a probability. Without toxic or without other rows the score is the share of
+    ``prior`` that follows the token's share of all texts, and half a text at least, so that a word that stands in
+    toxic texts only is judged by how many they are, however large the sample. Tokens whose log-odds pass ``least_z``
+    standard deviations are kept, at most ``most_tokens`` of them, strongest first; all other words share one small
+    negative score, so segments end. The law of extreme values is fitted to texts without the label: its decay is where
+    the mean of exp(decay * score) over their words is 1, its scale follows from how many segments they have. A
+    logistic curve turns the summed evidence into a probability. Without toxic or without other rows the score is the share of
     toxic labels.
     """
     rows = rows.persist()
@@ -158,7 +173,7 @@ def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens:
         share = (n_tox + 0.01) / (n_tox + n_other + 1)
         return Model({}, -1.0, intercept=math.log(share / (1 - share)), slope=0.0)
     share = (F.col("toxic") + F.col("other")) / F.lit(float(n_tox + n_other))
-    a = F.lit(prior) * share
+    a = F.greatest(F.lit(prior) * share, F.lit(0.5))
     b = F.lit(prior) * (1 - share)
     odds = (F.log((F.col("toxic") + a) / (n_tox - F.col("toxic") + b + 1e-9))
             - F.log((F.col("other") + a) / (n_other - F.col("other") + b + 1e-9)))
@@ -172,28 +187,43 @@ def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens:
     model = Model(scores, -0.25)
 
     def run(batches):
-        for batch in batches:
+        for texts, labels in (part for batch in batches for part in _parts(*batch.columns)):
             out = []
-            for (words, places, gains), label in zip(_scored_words(batch.column(0), model), batch.column(1).to_pylist()):
+            for (words, places, gains), label in zip(_scored_words(texts, model), labels.to_pylist()):
                 found = segments(places, gains, model.other)
-                out.append((label, words, [s for _, _, s in found]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float64())))],
-                names=["label", "words", "segments"])
+                powers = np.exp(np.outer(DECAYS, gains)).sum(axis=1) if label == 0 else []
+                out.append((label, words, len(places), [s for _, _, s in found], powers))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)],
+                                             names=["label", "words", "known", "segments", "powers"])
 
-    scored = rows.mapInArrow(run, "label int, words long, segments array<double>").collect()
+    scored = rows.mapInArrow(run, "label int, words long, known long, segments array<double>, powers array<double>").collect()
     rows.unpersist()
-    clean = [(r["words"], r["segments"]) for r in scored if r["label"] == 0]
+    clean = [r for r in scored if r["label"] == 0]
+    words, known = sum(r["words"] for r in clean), sum(r["known"] for r in clean)
+    model.decay = _decay(words, known, np.sum([r["powers"] for r in clean], axis=0), model.other)
     # segments of one word by chance: the smallest gain, met so often in so many words
     base = min((s for s in scores.values() if s > 0), default=1.0)
-    above = sum(1 for _, s in clean for x in s if x >= base)
-    model.scale = (above + 1) / (sum(w for w, _ in clean) + 1) * math.exp(model.decay * base)
+    above = sum(1 for r in clean for x in r["segments"] if x >= base)
+    model.scale = (above + 1) / (words + 1) * math.exp(model.decay * base)
     xs = np.array([evidence(r["words"], [(0, 0, s) for s in r["segments"]], model) for r in scored])
     ys = np.array([r["label"] for r in scored], float)
     model.intercept, model.slope = _logistic(np.log1p(xs), ys)
     return model
 
 
+def _decay(words: int, known: int, powers: np.ndarray, other: float) -> float:
+    """The decay, between the least and the greatest of DECAYS, at which the mean of exp(decay * score) over words is 1."""
+    means = ((words - known) * np.exp(DECAYS * other) + powers) / max(words, 1)
+    above = np.flatnonzero(means >= 1)
+    if not len(above):
+        return float(DECAYS[-1])
+    at = int(above[0])
+    if not at:
+        return float(DECAYS[0])
+    return float(np.interp(1.0, means[at - 1:at + 1], DECAYS[at - 1:at + 1]))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[float, float]:
     """Intercept and slope of a logistic curve, by Newton steps with a small ridge; the slope is never negative."""
     m = np.stack([np.ones_like(x), x], 1)
@@ -214,30 +244,31 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", keep: list[s
 
     With passages there is also ``passages``: the significant segments as (first word, last word, score), words
     counted from 0. A null or empty text has no segment and gets the model's lowest score. Rows stay as they are,
-    repeated ones included.
+    repeated ones included; a column that is called like the score gives way to it.
     """
-    kept = list(keep if keep is not None else [c for c in docs.columns if c != text_column])
-    rows = docs.select(*[docs[c] for c in kept], text_of(docs, text_column))
-    fields = [T.StructField(c, docs.schema[c].dataType) for c in kept] + [T.StructField(score_name, T.DoubleType())]
-    passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])
-    if with_passages:
-        fields.append(T.StructField("passages", T.ArrayType(passage)))
+    kept = [c for c in (keep if keep is not None else [c for c in docs.columns if c != text_column]) if c.lower() != score_name.lower()]
+    passage = pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())])
+    judged = pa.struct([("score", pa.float64()), ("passages", pa.list_(passage))])
 
-    def run(batches):
+    @F.arrow_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("passages", T.ArrayType(T.StructType([
+        T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])))]))
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out, spans = [], []
-            for words, places, gains in _scored_words(batch.column(batch.num_columns - 1), model):
-                found = segments(places, gains, model.other) if places else []
-                out.append(score_of(math.log1p(evidence(words, found, model)), model))
-                if with_passages:
-                    chance = math.log(max(model.scale, 1e-12) * max(words, 1))
-                    spans.append([{"first": a, "last": b, "score": s} for a, b, s in found if model.decay * s > chance])
-            columns = [batch.column(i) for i in range(len(kept))] + [pa.array(out, pa.float64())]
-            if with_passages:
-                columns.append(pa.array(spans, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))))
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
-
-    return rows.mapInArrow(run, T.StructType(fields))
+            out = []
+            for (texts,) in _parts(batch):
+                for words, places, gains in _scored_words(texts, model):
+                    found = segments(places, gains, model.other) if places else []
+                    spans = None
+                    if with_passages:
+                        chance = math.log(max(model.scale, 1e-12) * max(words, 1))
+                        spans = [{"first": a, "last": b, "score": s} for a, b, s in found if model.decay * s > chance]
+                    out.append({"score": score_of(math.log1p(evidence(words, found, model)), model), "passages": spans})
+            yield pa.array(out, judged)
+
+    # only the text goes to Python, and only the verdict comes back
+    verdict = free_name(docs, "verdict_")
+    rows = docs.select(*[docs[c] for c in kept], judge(text_of(docs, text_column)).alias(verdict))
+    return rows.select(*kept, F.col(verdict)["score"].alias(score_name), *([F.col(verdict)["passages"].alias("passages")] if with_passages else []))
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, keep: Column | None = None, most: int = 20_000,
@@ -250,6 +281,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, text_
     """The documents that score below the threshold, all columns and rows as they were otherwise."""
     model = toxicity_model(docs, labels, text_column=text_column, **options)
     name = free_name(docs, "toxicity_score")
-    scored = docs.select("*", docs[text_column].alias(free_name(docs, "scored_text")))
-    return (score(scored, model, scored.columns[-1], docs.columns, score_name=name).where(F.col(name) < threshold)
-            .select(*[F.col(c) for c in docs.columns]))
+    return score(docs, model, text_column, docs.columns, score_name=name).where(F.col(name) < threshold).select(*[F.col(c) for c in docs.columns])

@@ -14,7 +14,7 @@ from ledgerlift.llm import ensemble, mixing, queries, rules, toxicity
 from ledgerlift.llm.store import documents, in_fold, labels as label_table, stored
 from tests.oracle import connect, plain
 
-from .cases import empty, labels, odd, odd_rows
+from .cases import WORDS, empty, labels, odd, odd_rows
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -71,6 +71,7 @@ def test_toxicity_odd_rows(spark):
     assert bad.score > 0.7 and [(p.first, p.last) for p in bad.passages] == [(1, 2)]
     left = toxicity.drop_toxic(odd(spark), labels(spark, [(1, 1, 0)]))
     assert left.columns == odd(spark).columns and left.count() == len(odd_rows())
+    assert toxicity.score(odd(spark), model).columns.count("score") == 1
     none = toxicity.toxicity_model(empty(spark), labels(spark))
     assert toxicity.score(empty(spark), none, keep=["doc_id"]).count() == 0
     assert toxicity.drop_toxic(odd(spark), labels(spark).where("false")).count() == len(odd_rows())
@@ -182,3 +183,21 @@ def test_stages_on_odd_tables(spark):
             docs = stored(stage(spark, docs, SF_DIR), f"odd-{name}")
             if name != "packing":
                 assert docs.columns == expected
+
+
+def test_rare_word_of_toxic_texts_alone_counts(spark):
+    """Twenty toxic texts among twenty thousand hold a word that no other has."""
+    rng = random.Random(5)
+    rows = [(" ".join(rng.choice(WORDS) for _ in range(8)) + (" vileword" if i < 20 else " grim" if i < 1000 else ""), int(i < 1000)) for i in range(20000)]
+    model = toxicity.fit(spark.createDataFrame(rows, "text string, label int").repartition(8))
+    assert model.scores["vileword"] > 3 and model.scores["grim"] > 3
+
+
+def test_decay_is_where_the_mean_is_one():
+    gains = np.array([1.5, 2.0, -0.7])
+    share = np.array([0.02, 0.01, 0.1])
+    powers = (np.exp(np.outer(toxicity.DECAYS, gains)) * share * 1e6).sum(axis=1)
+    decay = toxicity._decay(10 ** 6, int(share.sum() * 1e6), powers, -0.25)
+    mean = (np.exp(decay * gains) * share).sum() + (1 - share.sum()) * math.exp(-0.25 * decay)
+    assert abs(mean - 1) < 0.01 and 0.5 < decay < 2
+    assert toxicity._decay(10, 0, np.zeros(len(toxicity.DECAYS)), -0.25) == toxicity.DECAYS[-1]
