@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .store import text_of
 from .tokens import default_path, slices, word_ids
 
+#: Bytes of text whose distinct words a task looks up together.
+AT_ONCE = 16 << 20
+
 #: Rests of documents that wait in a task; half of them are packed whenever so many have gathered.
 POOL = 2048
 
@@ -142,7 +145,7 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, capacity: int = 204
 
         for batch in batches:
             types = batch.column(0).type
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", AT_ONCE):
                 ids, sizes = encoder.batch(part.column(1))
                 data, at = ids.tobytes(), 0
                 for doc_id, n in zip(part.column(0).to_pylist(), sizes.tolist()):
