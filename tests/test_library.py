@@ -29,3 +29,12 @@ def test_library_reads_the_same_with_and_without_clues(spark):
     read = df.select("line", F.array(*plain).alias("plain"), F.array(*[tx.library_value(F.col("line"), p) for p in LIBRARY]).alias("read")).collect()
     assert sum(v is not None for r in read for v in r["plain"]) > 3000
     assert [r["line"] for r in read if r["plain"] != r["read"]] == []
+
+
+def test_item_section_is_computed_once(spark):
+    """A filter on the section must not bring its expression along, least of all into a join."""
+    from ledgerlift.catalog import QUERIES
+
+    for name in ("o4_pattern_order", "a12_pattern_coverage", "j17_item_lines_by_pattern", "l2_derive_item_pattern"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("array_min(") == 1, name
