@@ -38,3 +38,20 @@ def test_item_section_is_computed_once(spark):
     for name in ("o4_pattern_order", "a12_pattern_coverage", "j17_item_lines_by_pattern", "l2_derive_item_pattern"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("array_min(") == 1, name
+
+
+def test_extraction_reads_no_more_than_it_needs(spark):
+    """Lines before a stored start are not read, nor patterns after the one that fits or positions after the one that gave a value."""
+    from ledgerlift.operators import extraction as ex
+
+    groups = F.create_map(F.lit("quantity"), F.lit(1), F.lit("item_name"), F.lit(2), F.lit("total_price"), F.lit(3))
+    items = F.array(F.struct(F.lit(r"(\d+) (\w+) (\d+\.\d{2})").alias("pattern"), groups.alias("groups")))
+    df = spark.createDataFrame([(["1 TEA 2.00", "x", "3 JAM 9.99"], 1), (["1 TEA 2.00", "x", "3 JAM 9.99"], None)], "lines array<string>, start int")
+    rows = df.select(F.transform(ex.item_matches(F.col("lines"), ex.compiled_items(items, F.lit("")), F.col("start")), lambda m: m["item_name"])).collect()
+    assert [r[0] for r in rows] == [[None, None, "JAM"], ["TEA", None, "JAM"]]
+    # the second pattern is broken: it would end the job if it were tried
+    fits = F.array(F.lit(r"(\w+) TEA|(\d+)"), F.lit("(["))
+    entry = F.struct(F.lit("f").alias("field"), F.lit(True).alias("expected_present"), fits.alias("patterns"), F.lit(0).alias("line"),
+                     F.lit(7).alias("offset"), F.lit(False).alias("fuzzy"))
+    found = df.select(ex.both_passes(F.col("lines"), F.array(entry), F.lit(""), F.lit(2)).alias("fields")).collect()
+    assert [r["fields"] for r in found] == [{"f": "1"}] * 2
