@@ -55,3 +55,31 @@ def test_extraction_reads_no_more_than_it_needs(spark):
                      F.lit(7).alias("offset"), F.lit(False).alias("fuzzy"))
     found = df.select(ex.both_passes(F.col("lines"), F.array(entry), F.lit(""), F.lit(2)).alias("fields")).collect()
     assert [r["fields"] for r in found] == [{"f": "1"}] * 2
+
+
+def test_lines_that_cannot_win_are_not_scored(monkeypatch):
+    """Located values are those of scoring every line; a value that stands in its line costs no pair."""
+    import pandas as pd
+
+    from ledgerlift.operators import learning
+
+    rng = random.Random(3)
+    words = ["TEA", "jam", "12.50", "12/03/2024", "TOTAL", "vat", "ACME", "LTD", "", " ", "7", "Order:", "SUPPLIER", "SUPLIER", "00012"]
+
+    def text(n):
+        return " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+
+    lines = pd.Series([[text(4) for _ in range(rng.randint(1, 9))] for _ in range(500)])
+    values = pd.Series([[rng.choice([None, text(3), rng.choice(doc)]) for _ in range(7)] for doc in lines])
+    start = pd.Series([min(rng.randint(-1, 4), len(doc) - 1) for doc in lines])
+    end = pd.Series([at + rng.randint(0, 3) for at in start])
+    got = list(learning.locate_fields.func(lines, values, start, end))
+    with monkeypatch.context() as all_lines:
+        all_lines.setattr(learning, "_to_score", lambda field, value, doc, spots: spots)
+        assert got == list(learning.locate_fields.func(lines, values, start, end))
+    seen = []
+    monkeypatch.setattr(learning, "_line_scores", lambda pairs: seen.extend(pairs) or {p: 100.0 for p in pairs})
+    given = [None] * 7
+    given[fixed.FIELDS.index("total_amount")] = "9.99"
+    learning.locate_fields.func(pd.Series([["A", "B", "C", "TOTAL 9.99", "CARD"]]), pd.Series([given]), pd.Series([1]), pd.Series([1]))
+    assert seen == [("9.99", "total 9.99")]
