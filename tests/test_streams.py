@@ -90,6 +90,17 @@ def test_expiry_for_any_cut(spark, tmp_path, parts):
     assert want and sorted((r.job_id, r.status, r.expired_at) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("parts", [1, 2])
+def test_expiry_does_not_wait_for_the_end_of_an_hour(spark, tmp_path, parts):
+    """A job whose four hours ended within the last hour before the watermark is abandoned; one closed in that hour isn't."""
+    at = lambda h, m=0: START + datetime.timedelta(hours=h, minutes=m)
+    rows = [("a", at(10, 5), 1, "pending"), ("b", at(10, 5), 2, "pending"), ("b", at(14, 4), 3, "confirmed"), ("c", at(10, 15), 4, "pending"),
+            ("d", at(9), 5, "pending"), ("d", at(14), 6, "confirmed"), (None, at(10), 7, "confirmed"), ("e", None, 8, "pending"), ("z", at(15, 10), 9, None)]
+    got = streams.run_to_table(streams.stream_job_expiry(sliced(spark, tmp_path, rows, parts, SCHEMA)), "expiry").collect()
+    assert sorted((r.job_id or "", r.status, r.expired_at) for r in got) == [
+        ("", "abandoned", at(14)), ("a", "abandoned", at(14, 5)), ("d", "abandoned", at(13))]
+
+
 @pytest.mark.parametrize("late_hours", [None, 1000, 0])
 def test_shuffled_corrections_fold_in_order(spark, tmp_path, late_hours):
     """Files cut corrections in two and come in any order."""
