@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -70,6 +71,37 @@ def test_dictionary_never_skips_the_best_name():
         assert got == ((min(n for n in names if scores[n] == top), top) if top >= 70 else (None, 0.0))
 
 
+def test_dictionary_with_and_without_a_finder_on_longer_texts():
+    """Names of several lengths, beyond the machine word too, in texts of several lines."""
+    rng = random.Random(12)
+    for round_ in range(150):
+        names = sorted({rng.choice(["Shop ", "SHOP ", "The Shop of "]) + word(rng, "0011ab ", 0, 9) + "x" * rng.choice([0, 0, 0, 60]) for _ in range(40)})
+        text = rng.choice(["Shop ", "SHP ", "Sh op "]) + word(rng, "0011abc ", 0, 9) + rng.choice(["", "\nDate: 01/10", "\n" + "x" * 70])
+        scores = {n: best_of_three(text, n) for n in names}
+        top = max(scores.values())
+        dictionary = _Dictionary(names)
+        if round_ % 2:
+            dictionary.finder = None
+        assert dictionary.best(text, 40) == ((min(n for n in names if scores[n] == top), top) if top >= 40 else (None, 0.0))
+
+
+def test_work_for_a_head_does_not_grow_with_the_names(monkeypatch):
+    counted, count = [0], np.bitwise_count
+
+    def counting(bits):
+        counted[0] += bits.size
+        return count(bits)
+
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    work = []
+    for n in (1000, 30000):
+        dictionary, counted[0] = _Dictionary([f"Shop {i:06d}" for i in range(n)]), 0
+        for i in range(1, 900, 100):
+            assert dictionary.best(f"Shp {i:06d}\nDate: 01/02/2024\nTotal") == (f"Shop {i:06d}", 200 * 10 / 21)
+        work.append(counted[0])
+    assert work[1] < 5 * work[0]
+
+
 def test_match_on_spark_equals_brute_force_also_in_slices(spark):
     rng = random.Random(3)
     names = sorted({word(rng, "abcde ", 4, 10).strip() or "x" for _ in range(40)})
