@@ -1,5 +1,6 @@
 """Ordered folds against loops, corrections, sweeps and sinks."""
 
+import collections
 import datetime
 import random
 
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlift.functions.ledger import file_extension, parse_transaction_time, to_money
 from ledgerlift.operators import accounts, learning, lifecycle, receipts
+from ledgerlift.plans import correct
 from ledgerlift.sources import readers, writers
 
 START = datetime.datetime(2024, 1, 1)
@@ -127,3 +129,22 @@ def test_landing_folder_and_json_files(spark, tmp_path):
     (tmp_path / "j.json").write_text('{"total": "3.50"}\nnot json\n')
     got = {r["total"]: r["template_correspondence"] for r in readers.load_json_receipts(spark, str(tmp_path / "j.json"), "total string").collect()}
     assert got == {"3.50": 2.0, None: None}
+
+
+def test_ids_that_no_template_has_are_spread_over_tasks(spark):
+    ids = [None] * 300 + ["unknown"] * 100 + ["T1"] * 40 + [""] * 5
+    schema = "correction_id long, template_id string, corrected map<string,string>, cost_items array<string>"
+    rows = [(i, name, {"total_amount": "1"} if i % 10 else None, None) for i, name in enumerate(ids)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(before, ("-1", "false", "64")):
+            spark.conf.set(k, v)
+        got = correct.check_corrections(spark.createDataFrame(rows, schema), spark.createDataFrame([("T1",), ("T2",)], "template_id string")).select(
+            "correction_id", "template_id", "known", "error", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    text = {None: "Original template ID is required", "": "Original template ID is required", "unknown": "Original template unknown not found", "T1": None}
+    assert sorted((r.correction_id, r.template_id, r.known, r.error) for r in got) == [
+        (i, name, True if name == "T1" else None, "Corrected data is required" if i % 10 == 0 else text[name]) for i, name in enumerate(ids)]
+    assert max(collections.Counter(r.task for r in got).values()) < len(ids) / 8
