@@ -4,6 +4,7 @@ import collections
 import datetime
 import random
 
+import numpy as np
 import pytest
 
 from ledgerlift.operators import learning, lifecycle
@@ -135,3 +136,28 @@ def test_statistics_go_on_where_they_ended(spark, tmp_path):
         rate = rate * 0.7 + (30.0 if ok else 0.0)
     row = steps.first()
     assert row.n == 20 and abs(50 * row.scale + row.success_shift - rate) < 1e-9
+
+
+def test_quiet_starts_equals_a_loop():
+    rng = random.Random(7)
+    for jobs in (1, 5, 40):
+        seconds = sorted({(rng.randrange(jobs), rng.randrange(-3000, 3000)) for _ in range(300)})
+        since = [rng.choice([-2**62, rng.randrange(-4000, 4000)]) for _ in range(jobs)]
+        want, free = [], list(since)
+        for i, (job, s) in enumerate(seconds):
+            if s >= free[job]:
+                free[job] = s + 100
+                want.append(i)
+        got = streams.quiet_starts(np.array([j for j, _ in seconds]), np.array([s for _, s in seconds]), np.array(since), 100)
+        assert got.tolist() == want
+
+
+def test_quiet_hour_keeps_a_row_of_state_per_group_of_jobs(spark, tmp_path):
+    """However many jobs there are; null is a job like others, and one without a time doesn't count."""
+    rows = [(f"j{i % 700}" if i % 700 else None, START + datetime.timedelta(seconds=i), i, "x") for i in range(1400)]
+    rows += [("j1", None, 1400, "x"), ("end", START + datetime.timedelta(hours=9), 1401, "x")]
+    out = streams.dedup_corrections(sliced(spark, tmp_path, rows, 1, SCHEMA))
+    query = streams._run(out.writeStream.format("parquet").option("path", str(tmp_path / "out")).outputMode("append"), str(tmp_path / "run"))
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress) <= 512
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert sorted(r.event_id for r in got) == list(range(700)) and sum(r.job_id is None for r in got) == 1
