@@ -203,3 +203,15 @@ def test_columns_keep_null(spark):
     row = spark.createDataFrame([("a", None)], "a string, b string").select(fuzzy.fuzz_ratio("a", "b").alias("s")).first()
     assert row["s"] is None
     assert spark.range(1).select(fuzzy.fuzz_ratio(F.lit("ab"), F.lit("ab")).alias("s")).first()["s"] == 100.0
+
+
+def test_partial_ratios_above_a_floor_leave_out_only_what_is_not_above(monkeypatch):
+    rng = random.Random(4)
+    texts = [("".join(rng.choice("ab cd") for _ in range(rng.randrange(9))), "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(12)))) for _ in range(3000)]
+    left, right = [x for x, _ in texts], [y for _, y in texts]
+    want, scored, whole = fuzzy.partial_ratios(left, right), [], fuzzy.partial_ratios
+    monkeypatch.setattr(fuzzy, "partial_ratios", lambda a, b: scored.extend(a) or whole(a, b))
+    for floor in (70.0, 90.0):
+        scored.clear()
+        got = fuzzy.partial_ratios_above(left, right, floor)
+        assert ((got == want) | (got == 0) & (want <= floor)).all() and len(scored) < len(texts) / 2
