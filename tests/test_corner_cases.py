@@ -98,3 +98,49 @@ def test_item_without_quantity_fits_a_library_pattern(spark):
     rows = spark.createDataFrame([([("2 Milk 3.50", ("Milk", None, "3.50"))],), ([("2 Milk 3.50", ("Milk", "2", "3.50"))],)], f"items {item}")
     scores = [r.s for r in rows.select(extraction.library_item_scores(F.col("items")).alias("s")).collect()]
     assert max(scores[1]) >= 1 and all(a >= b for a, b in zip(scores[0], scores[1]))
+
+
+def _regexes(table):
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    return plan.count("RLIKE") + plan.count("regexp_replace")
+
+
+def test_line_rules_equal_plain_definitions_with_few_searches(spark):
+    """Noise and continuation on random lines, and how many patterns are run on each."""
+    import random
+    import re
+
+    from ledgerlift.functions import fixed, text as tx
+    rng = random.Random(3)
+    parts = ["a", "Z", "9", "1", "m1", " ", "  ", ".", "-", "----", "*", "£", "|", ":::::", "\t", "\x1f", "\x85", "　", "é", "total ", "VAT:", "1.25", "cc", "_", "/"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randrange(8))),) for _ in range(4000)]
+    table = spark.createDataFrame([*rows, (None,)], "line string")
+
+    def noise(s):
+        shapes = [fixed.NOISE_SPACED, fixed.NOISE_REPEATED, *fixed.NOISE_SHAPES]
+        return (len(s) < 2 or any(re.search(p, s) for p in shapes) or len(re.sub(r"[a-zA-Z0-9\s£$€]|[\x1c-\x1f]", lambda m: m[0] if m[0] in "\x1c\x1d\x1e\x1f" else "", s)) > len(s) * 0.4
+                or len(re.sub(r"[^a-zA-Z0-9]", "", s)) < 2 and len(s) > 3)
+
+    lines = [s for (s,) in rows if not re.search("[\x1c-\x1f]", s)]  # which \s holds in Python and not on the JVM
+    got = {r.line: (r.noise, r.more, r.bare) for r in table.select(
+        "line", tx.is_noise_line(table.line).alias("noise"), tx.is_continuation(table.line).alias("more"), tx.strip(table.line).alias("bare")).collect()}
+    for s in lines:
+        more = len(s.strip()) > 2 and not any(re.search("(?i)" + p, s.strip()) for p in fixed.NOT_CONTINUATION)
+        assert got[s] == (noise(s), more, s.strip()), repr(s)
+    assert all(got[s][2] == s.strip() for (s,) in rows) and got[None] == (None, None, None)
+    assert _regexes(table.select(tx.is_noise_line(table.line).alias("x"))) <= 3 and _regexes(table.select(tx.is_continuation(table.line).alias("x"))) == 1
+    assert _regexes(table.select(tx.fix_misreads(table.line).alias("x"))) == 3
+
+
+def test_words_are_derived_once(spark):
+    """Several steps of the search for names that hold a word read the words; the hints are read in one of them."""
+    from pyspark.sql import functions as F
+
+    from ledgerlift.operators import matching
+    hints = spark.createDataFrame([("Supplier one",), ("MR two",), ("x",), (None,), ("",)], "hint string").withColumn("hint", F.concat("hint", F.lit("")))
+    templates = spark.createDataFrame([(f"T{i}", f"{n}", i, i % 2 == 0) for i, n in enumerate(["Supplier", "old supplier", "mr x", None])],
+                                      "template_id string, merchant_name string, usage_count int, is_archived boolean")
+    out = matching.contains_matches(hints, templates)
+    assert "hint" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.match_key, r.template_id) for r in out.collect()) == [
+        ("", "T0"), ("", "T1"), ("", "T2"), ("mr", "T2"), ("supplier", "T0"), ("supplier", "T1"), ("x", "T2")]
