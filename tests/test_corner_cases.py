@@ -138,7 +138,7 @@ def test_words_are_derived_once(spark):
 
     from ledgerlift.operators import matching
     hints = spark.createDataFrame([("Supplier one",), ("MR two",), ("x",), (None,), ("",)], "hint string").withColumn("hint", F.concat("hint", F.lit("")))
-    templates = spark.createDataFrame([(f"T{i}", f"{n}", i, i % 2 == 0) for i, n in enumerate(["Supplier", "old supplier", "mr x", None])],
+    templates = spark.createDataFrame([(f"T{i}", n, i, i % 2 == 0) for i, n in enumerate(["Supplier", "old supplier", "mr x", None])],
                                       "template_id string, merchant_name string, usage_count int, is_archived boolean")
     out = matching.contains_matches(hints, templates)
     assert "hint" not in out._jdf.queryExecution().optimizedPlan().toString()
