@@ -27,12 +27,13 @@ def dense_names(rows: DataFrame, keys: list[str], salt: Column, purpose: str) ->
     Rows are sorted over all partitions by key, equal keys by ``salt``, so a key with a third of all rows spreads over
     many tasks. Each task counts its distinct keys and notes its first and last one; from these notes, one row per
     task, follows where the names of each task begin: one lower where its first key continues the task before. The
-    sorted content is read once and crosses the network once; only narrow rows are written.
+    sorted content is read once and crosses the network once; only narrow rows are written, in as few files as their
+    size needs.
     """
     spark = rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     carried = [c for c in rows.columns if c not in keys]
-    ordered = (rows.withColumn("__salt", salt).repartitionByRange(parts, *keys, "__salt")
+    # without a number of partitions, Spark merges small ones, so late rounds of few rows are few tasks
+    ordered = (rows.withColumn("__salt", salt).repartitionByRange(*keys, "__salt")
                .sortWithinPartitions(*keys).select(*keys, *carried))
     fields = [ordered.schema[c] for c in carried]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in fields] + [
@@ -71,7 +72,7 @@ def dense_names(rows: DataFrame, keys: list[str], salt: Column, purpose: str) ->
     usual = spark.conf.get(setting)
     spark.conf.set(setting, "20")
     try:
-        ranked = stored(ordered.mapInArrow(run, schema), purpose)
+        ranked = stored(ordered.mapInArrow(run, schema), purpose, few=True)
     finally:
         spark.conf.set(setting, usual)
     along = Window.orderBy("part")
@@ -128,7 +129,7 @@ def exact_groups(docs: DataFrame, row: Column | None = None, id_column: str = "d
     than any other. Counts are summed before they are shuffled; the join of documents to groups is one that Spark can
     split where one group is hot. Other columns are left out. An empty table gives no row.
     """
-    ids = stored(identities(docs, row, id_column, text_column), "identities")
+    ids = stored(identities(docs, row, id_column, text_column), "identities", few=True)
     groups = stored(ids.groupBy("level", "name").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return (ids.join(groups, ["level", "name"])
             .select("row", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlift.llm import induced, jaccard, links, naming, repeats
+from ledgerlift.llm import induced, jaccard, links, naming, repeats, store
 
 from .cases import empty, odd, odd_rows, prose
 
@@ -45,6 +45,18 @@ def test_exact_groups(spark):
     assert naming.exact_groups(empty(spark)).count() == 0 and naming.drop_copies(empty(spark)).count() == 0
 
 
+def test_names_are_written_in_few_files(spark, monkeypatch, tmp_path):
+    paths = iter(tmp_path / str(i) for i in range(99))
+    monkeypatch.setattr(store, "shared_dir", lambda _, purpose: str(next(paths)))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        assert sum(r.kept for r in naming.exact_groups(odd(spark)).collect()) == len({t or "" for _, t, _ in odd_rows()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert all(len(list(p.glob("part-*"))) <= 4 for p in tmp_path.iterdir())
+
+
 def sets_of(rows, width):
     low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     out = []
