@@ -10,9 +10,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .store import free_name, label_sample, text_of
+from .store import free_name, label_sample, stored, text_of
 from .tokens import slices
 
 #: Characters at both ends of a word that are no part of its token.
@@ -145,12 +146,15 @@ def train_rows(docs: DataFrame, labels: DataFrame, keep: Column | None, most: in
 
     The sample takes the labels of smallest id hash, so it is the same in each run; its bound makes it safe to send
     to all tasks. Of more distinct texts, if ids repeat, those of smallest hash stay. Labels other than 0 and 1 and null ids are left out; of several labels of an id the largest counts.
+    The limit is found on hashes alone, so no task gathers the texts.
     """
     sample = label_sample(labels, keep, most, id_column, label_column)
     rows = (docs.select(docs[id_column].alias("_id"), text_of(docs, text_column).alias("text"))
             .join(F.broadcast(sample), "_id"))
-    distinct = rows.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("label").alias("label"))
-    return distinct.orderBy("_hash").limit(most).select("text", "label")
+    distinct = stored(rows.groupBy(F.sha2("text", 256).alias("_hash")).agg(F.first("text").alias("text"), F.max("label").alias("label")), "training")
+    # the least hash that goes; null where there are no more texts than that, and then all stay
+    beyond = distinct.select("_hash").orderBy("_hash").offset(most).limit(1).agg(F.min("_hash").alias("_beyond"))
+    return distinct.crossJoin(F.broadcast(beyond)).where("_beyond IS NULL OR _hash < _beyond").select("text", "label")
 
 
 def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens: int = 20_000) -> Model:
@@ -165,7 +169,7 @@ def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens:
     logistic curve turns the summed evidence into a probability. Without toxic or without other rows the score is the share of
     toxic labels.
     """
-    rows = rows.persist()
+    rows = rows.persist(StorageLevel.DISK_ONLY)
     n = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_tox, n_other = n.get(1, 0), n.get(0, 0)
     if not n_tox or not n_other:
@@ -187,18 +191,21 @@ def fit(rows: DataFrame, prior: float = 50.0, least_z: float = 4.0, most_tokens:
     model = Model(scores, -0.25)
 
     def run(batches):
-        for texts, labels in (part for batch in batches for part in _parts(*batch.columns)):
+        for texts, labels, hashes in (part for batch in batches for part in _parts(*batch.columns)):
             out = []
-            for (words, places, gains), label in zip(_scored_words(texts, model), labels.to_pylist()):
+            for (words, places, gains), label, key in zip(_scored_words(texts, model), labels.to_pylist(), hashes.to_pylist()):
                 found = segments(places, gains, model.other)
                 powers = np.exp(np.outer(DECAYS, gains)).sum(axis=1) if label == 0 else []
-                out.append((label, words, len(places), [s for _, _, s in found], powers))
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+                out.append((label, words, len(places), [s for _, _, s in found], powers, key))
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds)],
-                                             names=["label", "words", "known", "segments", "powers"])
+                                             names=["label", "words", "known", "segments", "powers", "hash"])
 
-    scored = rows.mapInArrow(run, "label int, words long, known long, segments array<double>, powers array<double>").collect()
+    hashed = rows.select("text", "label", F.sha2("text", 256))
+    scored = hashed.mapInArrow(run, "label int, words long, known long, segments array<double>, powers array<double>, hash string").collect()
     rows.unpersist()
+    # floating sums depend on the order of rows, which tasks don't fix
+    scored.sort(key=lambda r: (r["hash"] or "", r["label"]))
     clean = [r for r in scored if r["label"] == 0]
     words, known = sum(r["words"] for r in clean), sum(r["known"] for r in clean)
     model.decay = _decay(words, known, np.sum([r["powers"] for r in clean], axis=0), model.other)

@@ -1,6 +1,7 @@
 """Scores, rules, mixing and the pipeline."""
 
 import collections
+import hashlib
 import math
 import random
 import zlib
@@ -77,6 +78,22 @@ def test_toxicity_odd_rows(spark):
     assert toxicity.drop_toxic(odd(spark), labels(spark).where("false")).count() == len(odd_rows())
 
 
+def test_no_task_gathers_the_training_texts(spark):
+    rows = [(i % 40, f"text number {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = labels(spark, [(i, 1, i % 2) for i in range(40)])
+    merge = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(merge, "false")
+    try:
+        got = toxicity.train_rows(docs, marks, None, 50, "doc_id", "text", "toxic")
+        assert got.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset(merge)
+    texts = sorted((t for _, t in rows), key=lambda t: hashlib.sha256(t.encode()).hexdigest())[:50]
+    assert sorted((r.text, r.label) for r in got.collect()) == sorted((t, dict((b, a) for a, b in rows)[t] % 2) for t in texts)
+    assert toxicity.train_rows(docs, marks, None, 80, "doc_id", "text", "toxic").count() == 80
+
+
 def test_quality_on_held_out(spark):
     sf_dir = "/root/testdata/sf0.1"
     scored = queries.op5_rule_ensemble(spark, sf_dir).join(label_table(spark, sf_dir), "doc_id").where("held_out")
