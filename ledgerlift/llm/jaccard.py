@@ -13,9 +13,9 @@ from .links import components
 from .store import free_name, stored, text_of
 from .tokens import parted
 
-#: Ranges of the global order. Sizes of a set's parts bound the overlap of pairs; FRAGMENTS of them are counted apart.
+#: Ranges of the global order. Sizes of a set's parts bound the overlap of pairs; FRAGMENTS of them, a power of 2, are counted apart.
 SLICES = 32
-FRAGMENTS = 4
+FRAGMENTS = 8
 #: A shingle that so large a share of a batch's documents holds is noted as frequent; most that are kept.
 FREQUENT_SHARE = 1 / 500
 MOST_FREQUENT = 1 << 18
@@ -178,7 +178,7 @@ def _shared_postings(sets: DataFrame) -> DataFrame:
 
 
 def _set_parts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
-    """(cls, fragment, part) of the sets named in ``wanted``: each fragment's shingle hashes, sorted, as bytes.
+    """(cls, part0, part1, ...) of the sets named in ``wanted``: each fragment's shingle hashes, sorted, as bytes.
 
     A filter of fixed size tells the tasks which sets may be wanted; what it lets through by mistake goes in the join.
     """
@@ -188,10 +188,12 @@ def _set_parts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
     mask = np.zeros(FILTER_WORDS, np.int64)
     mask[words["word"].to_numpy()] = words["bits"].to_numpy()
     mask = mask.view(np.uint64)
+    names = [f"part{f}" for f in range(FRAGMENTS)]
+    ends = np.array([f * ((1 << 64) // FRAGMENTS) for f in range(1, FRAGMENTS)], np.uint64)
 
     def run(batches):
         for batch in parted(batches):
-            cls, fragment, part = [], [], []
+            cls, parts = [], [[] for _ in names]
             for held in shingle_sets(batch.column(0), width):
                 if not len(held):
                     continue
@@ -199,36 +201,46 @@ def _set_parts(texts: DataFrame, width: int, wanted: DataFrame) -> DataFrame:
                 at = key & (64 * FILTER_WORDS - 1)
                 if not int(mask[at >> 6]) >> (at & 63) & 1:
                     continue
-                ends = np.searchsorted(held, np.array([f << 62 for f in range(1, FRAGMENTS)], np.uint64))
-                for f, x in enumerate(np.split(held, ends)):
-                    cls.append(key)
-                    fragment.append(f)
+                cls.append(key)
+                for part, x in zip(parts, np.split(held, np.searchsorted(held, ends))):
                     part.append(x.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(fragment, pa.int32()), pa.array(part, pa.binary())],
-                                             names=["cls", "fragment", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), *[pa.array(x, pa.binary()) for x in parts]], names=["cls", *names])
 
-    parts = texts.select("text").mapInArrow(run, "cls long, fragment int, part binary")
-    return parts.join(wanted, "cls", "left_semi").dropDuplicates(["cls", "fragment"])
+    parts = texts.select("text").mapInArrow(run, "cls long" + "".join(f", {x} binary" for x in names))
+    return parts.join(wanted, "cls", "left_semi").dropDuplicates(["cls"])
 
 
 def linked_pairs(parts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """(a, b, overlap) of the pairs (a, b, n_a, n_b) of sets that link, from the parts of their sets.
 
-    Each fragment of the order counts its own overlap of a pair; the sums decide.
+    Each fragment of the order counts its own overlap of a pair; the sums decide. Fragments are taken one after another
+    or some at a time, the fewer the more pairs there are for a set, as each pair takes parts of both its sets along.
     """
-    met = (pairs.join(parts.select(F.col("cls").alias("a"), "fragment", F.col("part").alias("part_a")), "a")
-           .join(parts.select(F.col("cls").alias("b"), "fragment", F.col("part").alias("part_b")), ["b", "fragment"])
-           .select("a", "b", "n_a", "n_b", "part_a", "part_b"))
+    passes = min(FRAGMENTS, 1 + 4 * pairs.count() // max(parts.count(), 1))
+    counted = None
+    for names in np.array_split([f"part{f}" for f in range(FRAGMENTS)], passes):
+        some = _overlaps(parts, pairs, names.tolist())
+        some = stored(some, "overlaps") if passes > 1 else some
+        counted = some if counted is None else counted.unionByName(some)
+    return (counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
+            .where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap"))
+
+
+def _overlaps(parts: DataFrame, pairs: DataFrame, names: list[str]) -> DataFrame:
+    """(a, b, n_a, n_b, overlap) of each pair in the fragments of the given columns."""
+    met = (pairs.join(parts.select(F.col("cls").alias("a"), *[F.col(x).alias(f"{x}_a") for x in names]), "a")
+           .join(parts.select(F.col("cls").alias("b"), *[F.col(x).alias(f"{x}_b") for x in names]), "b")
+           .select("a", "b", "n_a", "n_b", *[f"{x}_{side}" for x in names for side in ("a", "b")]))
 
     def run(batches):
         for batch in batches:
-            n = [len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                 for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], names=["a", "b", "n_a", "n_b", "overlap"])
+            n = np.zeros(batch.num_rows, np.int64)
+            for at in range(4, batch.num_columns, 2):
+                n += np.array([len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                               for x, y in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist())], np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n)], names=["a", "b", "n_a", "n_b", "overlap"])
 
-    counted = met.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
-    return (counted.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
-            .where(100 * F.col("overlap") >= percent * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b", "overlap"))
+    return met.mapInArrow(run, "a long, b long, n_a long, n_b long, overlap long")
 
 
 def _may_link(x: str, y: str, percent: int):
@@ -339,10 +351,10 @@ def similar_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
             known = stored(_set_parts(texts, width, stored(wanted, "wanted")), "parts")
         elif parts is None:
             # from now on, all pairs come from these lists
-            more = stored(lists.select("cls").distinct().join(known.select("cls").distinct(), "cls", "left_anti"), "wanted")
-            parts = known.join(lists.select("cls").distinct(), "cls", "left_semi")
+            more = stored(lists.select("cls").distinct().join(known.select("cls"), "cls", "left_anti"), "wanted")
+            parts = known
             if not more.isEmpty():
-                parts = stored(parts.unionByName(_set_parts(texts, width, more)), "parts")
+                parts = known.unionByName(stored(_set_parts(texts, width, more), "parts"))
         turn += 1
         if not pairs.isEmpty():
             found = stored(linked_pairs(known if parts is None else parts, pairs, percent).select("a", "b"), "links")

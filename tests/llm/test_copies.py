@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -57,6 +58,20 @@ def test_names_are_written_in_few_files(spark, monkeypatch, tmp_path):
     assert all(len(list(p.glob("part-*"))) <= 4 for p in tmp_path.iterdir())
 
 
+def test_shuffles_of_stored_tables_go(spark):
+    def shuffles():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return sum(re.search(r"/shuffle_\d+_\d+_\d+\.data$", f) is not None for f in files.split("\n"))
+
+    before = shuffles()
+    kept = store.stored(spark.range(1000).repartition(7).groupBy((F.col("id") % 10).alias("k")).count(), "counts")
+    for _ in range(50):
+        if shuffles() <= before:
+            break
+        time.sleep(0.1)
+    assert shuffles() <= before and kept.agg(F.sum("count")).first()[0] == 1000
+
+
 def sets_of(rows, width):
     low = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     out = []
