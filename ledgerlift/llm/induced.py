@@ -224,7 +224,7 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
     raw = np.zeros(len(text) + 8, np.uint8)
     raw[at] = joined
     del at
-    words = np.lib.stride_tricks.as_strided(raw, (len(text) + 1, 8), (1, 1))
+    words = np.ndarray(len(text) + 1, np.uint64, raw, strides=(1,))  # the eight bytes from each place on
     same = np.zeros(max(len(order) - 1, 0), bool)
     for first in range(0, len(same), COMPARED):
         live = np.arange(first, min(first + COMPARED, len(same)))
@@ -232,7 +232,7 @@ def repeated_starts(strings: list[bytes], length: int) -> list[np.ndarray]:
             if not len(live):
                 break
             x, y = order[live] + step, order[live + 1] + step
-            live = live[(words[x] == words[y]).all(axis=1) if length >= 8 else raw[x] == raw[y]]
+            live = live[words[x] == words[y] if length >= 8 else raw[x] == raw[y]]
         same[live] = True
     hit = np.zeros(len(order), bool)
     hit[:-1] |= same

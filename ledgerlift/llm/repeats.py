@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -23,8 +24,10 @@ SHARD_BYTES = 4 << 20
 NAME_BYTES = 1 << 20
 #: Neighbouring window places that are first told apart by the bytes that all of them hold.
 CELL = 16
-#: Bytes of whole texts whose regions are found at once.
-PART_BYTES = 1 << 20
+#: Bytes of whole texts whose regions are found at once; the arrays for so many stay in the processor's cache.
+PART_BYTES = 1 << 17
+#: Powers that a worker keeps, for texts of so many bytes; for longer ones they are computed again.
+POWERS = 1 << 20
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = {int(m): pow(int(m), -1, 1 << 64) for m in (_A, _B)}
 
@@ -35,18 +38,23 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    """The powers 0 to n of a base."""
+    out = np.empty(n + 1, np.uint64)
+    out[0] = 1
+    np.cumprod(np.full(n, base, np.uint64), out=out[1:])
+    return out
+
+
+_kept_powers = functools.cache(lambda base: _powers(base, POWERS))
+
+
 class _Hashes:
     """Hashes of any substring of a text in constant time, from sums of its bytes times powers."""
 
     def __init__(self, data: np.ndarray, base: np.uint64):
-        inverse = np.uint64(_INVERSE[int(base)])
         n = len(data)
-        down = np.empty(n + 1, np.uint64)
-        down[0] = 1
-        np.cumprod(np.full(n, inverse), out=down[1:])
-        self.up = np.empty(n + 1, np.uint64)
-        self.up[0] = 1
-        np.cumprod(np.full(n, base), out=self.up[1:])
+        self.up, down = (_kept_powers(b)[:n + 1] if n <= POWERS else _powers(b, n) for b in (int(base), _INVERSE[int(base)]))
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * down[:-1], out=self.sums[1:])
 

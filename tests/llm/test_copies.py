@@ -162,6 +162,21 @@ def brute_removed(texts, length):
     return out
 
 
+def test_powers_are_computed_once(monkeypatch):
+    data = np.random.default_rng(3).integers(0, 256, 900).astype(np.uint8)
+    first, second = repeats._Hashes(data, repeats._A), repeats._Hashes(data[:500], repeats._A)
+    assert np.shares_memory(first.up, second.up)
+    monkeypatch.setattr(repeats, "POWERS", 600)  # a text that is longer than what is kept
+    long = repeats._Hashes(data, repeats._A)
+    assert not np.shares_memory(first.up, long.up)
+    start = np.arange(400)
+    assert (long.of(start, start + 99) == first.of(start, start + 99)).all() and (second.of(start, start + 99) == first.of(start, start + 99)).all()
+    bounds = np.array([0, 300, 300, 900])
+    whole = repeats.regions(data, bounds, 200)
+    monkeypatch.setattr(repeats, "PART_BYTES", 100)
+    assert all((x == y).all() for x, y in zip(whole, repeats.regions(data, bounds, 200)))
+
+
 @pytest.mark.parametrize("length", [60, 200])
 def test_remove_repeats(spark, length):
     passage = prose(40, 9, 77)
