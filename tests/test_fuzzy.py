@@ -3,12 +3,14 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from pyspark.sql import functions as F
 
 from ledgerlift.functions import fuzzy
-from ledgerlift.operators.matching import _Dictionary, attach_candidates, contains_matches, fuzzy_merchant_match, score_heads
+from ledgerlift.operators import matching
+from ledgerlift.operators.matching import _Dictionary, _score_cells, attach_candidates, contains_matches, fuzzy_merchant_match, score_heads
 
 
 def lcs_table(a, b):
@@ -102,6 +104,33 @@ def test_work_for_a_head_does_not_grow_with_the_names(monkeypatch):
     assert work[1] < 5 * work[0]
 
 
+def test_heads_of_a_cell_are_searched_together(monkeypatch):
+    """The steps do not grow with the heads, and small bounds change no result."""
+    rng = random.Random(21)
+    names = sorted({f"Shop {i:04d}" for i in range(0, 900, 7)} | {f"The Shop {i:03d}" for i in range(0, 300, 11)})
+    heads = [f"{rng.choice(['Shp', 'Sh op', 'ZZ'])} {rng.randrange(900):04d}\nDate: {rng.randrange(10, 30)}/0{rng.randrange(1, 10)}" for _ in range(300)]
+    frame = pd.DataFrame([(cell, 0, n) for cell in (0, 3) for n in names[cell:]] + [(cell, 1, h) for cell in (0, 3) for h in heads],
+                         columns=["cell", "kind", "text"]).sort_values(["cell", "kind"], kind="stable")
+    calls, count = [0], np.bitwise_count
+
+    def counting(bits):
+        calls[0] += 1
+        return count(bits)
+
+    monkeypatch.setattr(np, "bitwise_count", counting)
+    rows = [tuple(r) for out in _score_cells(iter([frame[:500], frame[500:]]), 70) for r in out.itertuples(index=False)]
+    assert calls[0] < 2 * len(heads)
+    for cell in (0, 3):
+        for head in heads[::9]:
+            scores = {n: best_of_three(head, n) for n in names[cell:]}
+            top = max(scores.values())
+            assert [r[2:] for r in rows if r[:2] == (cell, head)][:1] == ([(min(n for n in scores if scores[n] == top), top)] if top >= 70 else [])
+    want = _Dictionary(names).best_of(heads, 40)
+    for name, value in (("_CELLS", 40), ("_TEXTS", 7), ("_MASKS", 900)):
+        monkeypatch.setattr(matching, name, value)
+    assert _Dictionary(names).best_of(heads, 40) == want
+
+
 def test_match_on_spark_equals_brute_force_also_in_slices(spark):
     rng = random.Random(3)
     names = sorted({word(rng, "abcde ", 4, 10).strip() or "x" for _ in range(40)})
