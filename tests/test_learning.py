@@ -6,6 +6,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from __spark_entry__ import SMOKE_DIR
+from ledgerlift.catalog.registry import Tables
 from ledgerlift.functions.ledger import file_extension, parse_transaction_time, to_money
 from ledgerlift.operators import accounts, learning, lifecycle, receipts
 from ledgerlift.plans import correct
@@ -148,3 +150,35 @@ def test_ids_that_no_template_has_are_spread_over_tasks(spark):
     assert sorted((r.correction_id, r.template_id, r.known, r.error) for r in got) == [
         (i, name, True if name == "T1" else None, "Corrected data is required" if i % 10 == 0 else text[name]) for i, name in enumerate(ids)]
     assert max(collections.Counter(r.task for r in got).values()) < len(ids) / 8
+
+
+def test_two_folds_share_their_shuffles(spark):
+    rng = random.Random(31)
+    rows = [(rng.choice("ab"), i, START + datetime.timedelta(seconds=rng.randrange(200000)), rng.random(), rng.random() * 9) for i in range(400)]
+    events = spark.createDataFrame(rows, "k string, no int, ts timestamp, f double, x double")
+    both = {"one": (F.col("f"), {"up": F.col("x"), "down": -F.col("x")}), "two": (F.lit(0.5), {"half": F.col("x") + 1})}
+    got = {r["k"]: r for r in learning.affine_folds(events, ["k"], both, "ts", "no").collect()}
+    for k in "ab":
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[2], r[1]))
+        up = half = 0.0
+        for _, _, _, f, x in mine:
+            up, half = f * up + x, 0.5 * half + x + 1
+        assert got[k]["n"] == len(mine)
+        assert abs(got[k]["up"] - up) < 1e-9 and abs(got[k]["down"] + up) < 1e-9 and abs(got[k]["half"] - half) < 1e-9
+    one = learning.affine_fold(events, ["k"], F.lit(0.5), F.col("x"), "ts", "no")
+    shuffles = [df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+                for df in (one, learning.affine_folds(events, ["k"], both, "ts", "no"))]
+    assert shuffles[0] == shuffles[1] <= 3
+
+
+def test_documents_are_gathered_once_and_stay_where_their_order_is(spark):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = Tables(spark, SMOKE_DIR).corrected_receipts.select("receipt_id", "ocr_text", "cost_items")
+        plan = docs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert plan.count(" partial_collect_list") + plan.count("[partial_collect_list") == 1
+    after = [plan.splitlines()[i + 1] for i, line in enumerate(plan.splitlines()) if "Exchange hashpartitioning(o_custkey" in line]
+    assert after and all("suppkey" not in line and "item" not in line for line in after)
